@@ -21,12 +21,15 @@ def quoted(x: Column) -> Column:
     return F.when(x.isNull(), F.lit("null")).otherwise(F.substring(whole, F.lit(6), F.length(whole) - 6))
 
 
-def _ok(value: Column, rule: Column) -> Column:
-    fits = F.lit(False)
+def _fits(value: Column, rule: Column) -> Column:
+    fits = rule["type"] == "string"
     for name, pattern in TYPES.items():
         fits = fits | ((rule["type"] == name) & value.rlike(pattern))
-    fits = fits | (rule["type"] == "string")
-    return F.coalesce(fits, F.lit(False)) & (rule["minimum"].isNull() | F.coalesce(value.try_cast("double") >= rule["minimum"], F.lit(False)))
+    return F.coalesce(fits, F.lit(False))
+
+
+def _ok(value: Column, rule: Column) -> Column:
+    return _fits(value, rule) & (rule["minimum"].isNull() | F.coalesce(value.try_cast("double") >= rule["minimum"], F.lit(False)))
 
 
 def validated(calls: DataFrame, tools: DataFrame) -> DataFrame:
@@ -48,7 +51,7 @@ def validated(calls: DataFrame, tools: DataFrame) -> DataFrame:
         .when(F.col("args_").isNull(), F.array(F.lit("no JSON object")))
         .otherwise(F.array_sort(F.concat(F.coalesce(missing, none), F.coalesce(unknown, none), F.coalesce(wrong, none))))
     )
-    plain = lambda e: F.exists(rule_of(e["key"]), lambda r: (r["type"] != "string") & _ok(e["value"], r))
+    plain = lambda e: F.exists(rule_of(e["key"]), lambda r: (r["type"] != "string") & _fits(e["value"], r))
     args = F.concat(F.lit("{"), F.array_join(F.transform(entries, lambda e: F.concat(quoted(e["key"]), F.lit(":"), F.when(F.coalesce(plain(e), F.lit(False)), e["value"]).otherwise(quoted(e["value"])))), ","), F.lit("}"))
     return df.withColumn("problems", problems).withColumn("args_json", F.coalesce(args, F.lit("null"))).drop("rules", "tool_", "args_")
 
