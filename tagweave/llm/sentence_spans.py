@@ -90,9 +90,10 @@ def repeated(docs: DataFrame) -> DataFrame:
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), "text")
     found = durable(map_arrow(source, _spans, "doc_id long, key long, i int, n int, h1 long, h2 long"), "spans")
-    often = found.groupBy("h1", "h2").agg(F.count("*").alias("times")).where("times > 1").select("h1", "h2")
+    # Written out, counts stand beside the spans as plain tables, and a hot span's join can be split.
+    often = durable(found.groupBy("h1", "h2").agg(F.count("*").alias("times")).where("times > 1").select("h1", "h2"), "often")
     again = durable(found.join(often, ["h1", "h2"]), "repeats")
-    head = again.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "key", "i")).alias("head"))
+    head = durable(again.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "key", "i")).alias("head")), "heads")
     later = again.join(head, ["h1", "h2"]).where(~(F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("key") == F.col("head.key")) & (F.col("i") == F.col("head.i"))))
     return later.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set(F.struct("i", "n"))).alias("marks"))
 
