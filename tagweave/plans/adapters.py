@@ -94,3 +94,28 @@ def item_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     price = F.concat(F.lit("¥ "), F.format_number(F.col("p_retailprice").cast("int"), 0))
     obj = F.struct(F.array(F.struct(F.col("p_brand").alias("name")), F.struct(F.lit(" ").alias("name"))).alias("tags"), F.concat(F.lit(" "), F.col("p_name"), F.lit("\n\n"), F.col("p_type")).alias("description"), F.col("p_size").alias("wish_lists_count"), price.alias("price"))
     return read(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("item_id"), F.to_json(obj).alias("json"))
+
+
+def dictionary(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(vocabulary, synonyms, combos): part names as tags, brands as surfaces, types as prefixes of the smaller parts' names."""
+    part = read(spark, sf_dir, "part").withColumn("tag", F.translate("p_name", " ", "_"))
+    synonyms = part.groupBy(F.col("p_brand").alias("surface")).agg(F.min("tag").alias("tag"), F.min("p_partkey").alias("ord"))
+    kind = F.lower("p_type")
+    combos = part.where("p_size <= 10").select(F.concat(kind, F.lit(" ")).alias("prefix"), F.col("tag").alias("base"), F.concat(kind, F.lit("_"), F.col("tag")).alias("tag")).distinct()
+    return part.select("tag").distinct(), synonyms, combos
+
+
+def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(token): names, brands, types and forms of them as a user might type them."""
+    forms = F.array(
+        "p_name", "p_brand", F.upper("p_brand"), F.concat_ws(" ", "p_type", "p_brand"), F.concat(F.lit(" "), F.substring_index("p_name", " ", -1), F.lit(" ")),
+        F.concat(F.col("p_name"), F.lit(" XL")), "p_type",
+    )
+    return read(spark, sf_dir, "part").select(F.explode(forms).alias("token"))
+
+
+def overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(surface, tag, ord): brands and types with other tags than the dictionary's."""
+    part = read(spark, sf_dir, "part").withColumn("tag", F.translate("p_name", " ", "_"))
+    one = lambda c, size: part.where(size).groupBy(F.col(c).alias("surface")).agg(F.max("tag").alias("tag"), F.max("p_partkey").alias("ord"))
+    return one("p_brand", "p_size > 49").unionAll(one("p_type", "p_size > 40"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagweave.functions import fields
-from tagweave.operators import browse, catalog, entities, evaluate, search, vectors
+from tagweave.operators import browse, catalog, entities, evaluate, resolve, search, vectors
 from tagweave.plans import adapters as ad
 from tagweave.plans import sql
 from tagweave.sources import readers
@@ -340,3 +340,36 @@ def a5_item_entities(s, d):
 @query("WITH " + _META + " SELECT name, count(DISTINCT item_id) AS n_items FROM named GROUP BY name HAVING count(DISTINCT item_id) >= 2")
 def g7_entity_vocab(s, d):
     return entities.avatar_vocab(_names(s, d))
+
+
+@query("WITH " + sql.RESOLVED + " SELECT token, tag FROM resolved")
+def t5_resolve_tags(s, d):
+    """Each typed form's tag: exact, synonym, normal form, composed, underscored or contained."""
+    return resolve.resolve_tags(ad.tokens(s, d), *ad.dictionary(s, d))
+
+
+@query("WITH " + sql.DICTIONARY + " SELECT coalesce(syn.surface, o.surface) AS surface, coalesce(o.tag, syn.tag) AS tag, coalesce(syn.ord, o.ord + 1000000) AS ord FROM syn FULL JOIN overlay o ON o.surface = syn.surface")
+def t3_merge_synonyms(s, d):
+    return resolve.merge_synonyms(ad.dictionary(s, d)[1], ad.overlay(s, d))[0]
+
+
+@query("WITH " + sql.DICTIONARY + " SELECT count(*) AS n FROM overlay o LEFT JOIN syn ON syn.surface = o.surface WHERE o.tag IS DISTINCT FROM syn.tag")
+def t3_merge_changes(s, d):
+    return resolve.merge_synonyms(ad.dictionary(s, d)[1], ad.overlay(s, d))[1]
+
+
+@query("WITH " + sql.DICTIONARY + " SELECT 'combo' AS kind, prefix || '|' || base AS entry, tag FROM combos WHERE tag NOT IN (SELECT tag FROM vocab)")
+def t7_lint_dict(s, d):
+    vocab, synonyms, combos = ad.dictionary(s, d)
+    return resolve.lint_dict(synonyms, combos, vocab)
+
+
+@query("WITH " + sql.RANKING + """, best AS (SELECT CAST(query_id AS INTEGER) % 3 = 0 AS far, max(score) AS score FROM bm GROUP BY query_id),
+sides AS (SELECT min(score) FILTER (NOT far) AS a, quantile_cont(score, 0.5) FILTER (NOT far) AS b, max(score) FILTER (NOT far) AS c, min(score) FILTER (far) AS d, quantile_cont(score, 0.5) FILTER (far) AS e, max(score) FILTER (far) AS f FROM best)
+SELECT round(a, 6) AS min_scored, round(b, 6) AS median_scored, round(c, 6) AS max_scored, round(d, 6) AS min_distractor, round(e, 6) AS median_distractor, round(f, 6) AS max_distractor,
+  CASE WHEN a > f THEN 'separable' WHEN b > e THEN 'shifted' ELSE 'not separable' END AS verdict, CASE WHEN a > f THEN round((a + f) / 2, 6) END AS threshold FROM sides""")
+def e7_separability(s, d):
+    """Best scores of the queries, every third of which counts as a distractor."""
+    best = evaluate.first_rank(_base(s, d)).select("score", (F.col("query_id").cast("int") % 3 == 0).alias("is_distractor"))
+    done = evaluate.separability(best)
+    return done.select(*[c if c == "verdict" else F.round(c, 6).alias(c) for c in done.columns])

@@ -48,3 +48,16 @@ catalog AS (SELECT CAST(c_custkey AS VARCHAR) AS item_id FROM customer WHERE c_c
 IMAGES = """images AS (SELECT o_custkey AS item_id, o_orderkey AS image_no FROM orders),
 n_images AS (SELECT item_id, count(DISTINCT image_no) AS n FROM images GROUP BY item_id),
 img AS (SELECT o_custkey AS item_id, o_orderkey AS image_no, 's' || (l_suppkey % 20) AS tag, max(l_quantity) / 50 AS conf FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL)"""
+DICTIONARY = """words AS (SELECT *, replace(p_name, ' ', '_') AS tag FROM part),
+vocab AS (SELECT DISTINCT tag FROM words),
+syn AS (SELECT p_brand AS surface, min(tag) AS tag, min(p_partkey) AS ord FROM words GROUP BY p_brand),
+combos AS (SELECT DISTINCT lower(p_type) || ' ' AS prefix, tag AS base, lower(p_type) || '_' || tag AS tag FROM words WHERE p_size <= 10),
+overlay AS (SELECT p_brand AS surface, max(tag) AS tag, max(p_partkey) AS ord FROM words WHERE p_size > 49 GROUP BY p_brand UNION ALL SELECT p_type, max(tag), max(p_partkey) FROM words WHERE p_size > 40 GROUP BY p_type)"""
+RESOLVED = DICTIONARY + """,
+tok AS (SELECT DISTINCT unnest([p_name, p_brand, upper(p_brand), p_type || ' ' || p_brand, ' ' || split_part(p_name, ' ', -1) || ' ', p_name || ' XL', p_type]) AS token FROM part),
+n AS (SELECT token, trim(token) AS t, lower(trim(token)) AS norm, replace(lower(trim(token)), ' ', '_') AS us FROM tok),
+made AS (SELECT token, coalesce(c.tag, s.tag) AS tag FROM n JOIN (SELECT DISTINCT prefix FROM combos) p ON starts_with(norm, p.prefix) JOIN syn s ON lower(s.surface) = substr(norm, length(p.prefix) + 1)
+  LEFT JOIN combos c ON c.prefix = p.prefix AND c.base = s.tag QUALIFY row_number() OVER (PARTITION BY token ORDER BY length(p.prefix) DESC) = 1),
+near AS (SELECT token, tag FROM n JOIN vocab ON contains(tag, us) OR contains(us, tag) QUALIFY row_number() OVER (PARTITION BY token ORDER BY length(tag), tag) = 1),
+resolved AS (SELECT token, coalesce(e.tag, s.tag, i.tag, made.tag, u.tag, near.tag) AS tag FROM n LEFT JOIN vocab e ON e.tag = t LEFT JOIN syn s ON s.surface = t LEFT JOIN syn i ON lower(i.surface) = norm
+  LEFT JOIN made USING (token) LEFT JOIN vocab u ON u.tag = us LEFT JOIN near USING (token))"""
