@@ -1,8 +1,10 @@
 """Substring de-duplication by sliding sentence spans.
 
-A span starts at each sentence and takes at least two consecutive sentences, and further ones until it has at least
-MIN_WORDS words. Spans are joined over all documents by hash; every sentence that a repeated span covers is removed,
-except in the span's first occurrence (the least doc_id, then the earliest place).
+At each sentence a span starts, and at each one a span ends: the shortest of at least two consecutive sentences and
+MIN_WORDS words. So every sentence of a longer repeated run lies in a span within the run. Spans are taken with line ends
+as ends of sentences, and again without, so that a passage wrapped at other widths is found as well. They are joined over
+all documents by hash; every sentence that a repeated span covers is removed, except in the span's first occurrence (the
+least doc_id, then the earliest place).
 """
 
 from __future__ import annotations
@@ -22,38 +24,50 @@ CLOSING = "\"'”’»)]"
 
 
 def sentences(texts: list[str]):
-    """(words, first word of each sentence, their end as a word index, text index).
+    """(words, first word of each sentence, their end as a word index, text index, the sentence ends whatever the wrapping).
 
     A sentence ends after a word whose last character, closing quotes and brackets aside, is one of ENDS, at a line's
     end, and at the text's end. Characters between sentences belong to the earlier one.
     """
     w = words([t.lower() if len(t.lower()) == len(t) else t for t in texts])
     if not len(w.start):
-        return w, *(np.empty(0, np.int64),) * 3
+        return w, *(np.empty(0, np.int64),) * 3, np.empty(0, bool)
     p = w.points
     last = w.end - 1
     for _ in range(2):
         last = np.where(np.isin(p[last], [ord(c) for c in CLOSING]) & (last > w.start), last - 1, last)
     stop = np.isin(p[last], [ord(c) for c in ENDS])
     lines = np.concatenate([[0], np.cumsum(p == 10)])
-    stop[:-1] |= (lines[w.start[1:]] > lines[w.end[:-1]]) | (w.text[1:] != w.text[:-1])
-    stop[-1] = True
+    apart = lines[w.start[1:]] - lines[w.end[:-1]]
+    firm = stop.copy()
+    firm[:-1] |= (apart > 1) | (w.text[1:] != w.text[:-1])
+    firm[-1] = True
+    stop[:-1] |= apart > 0
+    stop |= firm
     end = np.flatnonzero(stop) + 1
     first = np.concatenate([[0], end[:-1]])
-    return w, first, end, w.text[first]
+    return w, first, end, w.text[first], firm[end - 1]
 
 
 def spans(texts: list[str], min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS):
     """(text index, number of its first sentence in the text, sentences, two hashes) of every span."""
-    w, first, end, doc = sentences(texts)
-    n = len(first)
-    if not n:
+    w, first, end, doc, firm = sentences(texts)
+    if not len(first):
         e = np.empty(0, np.int64)
         return e, e, e, e.view(np.uint64), e.view(np.uint64)
-    at = np.arange(n)
-    to = np.maximum(at + min_sentences, np.searchsorted(end, first + min_words) + 1)  # one past the span's last sentence
-    ok = to <= n
-    ok[ok] &= doc[to[ok] - 1] == doc[at[ok]]
+    found = []
+    for last in (np.arange(len(first)), np.flatnonzero(firm)):  # last line of each sentence, with line ends as ends and without
+        begin = np.concatenate([[0], last[:-1] + 1])
+        f, e, n = first[begin], end[last], len(last)
+        i = np.arange(n)
+        to = np.maximum(i + min_sentences, np.searchsorted(e, f + min_words) + 1)  # one past the last sentence of the span that starts here
+        ok = to <= n
+        found.append((begin[i[ok]], last[to[ok] - 1] + 1))
+        of = np.minimum(i + 1 - min_sentences, np.searchsorted(f, e - min_words, side="right") - 1)  # first sentence of the span that ends here
+        ok = of >= 0
+        found.append((begin[of[ok]], last[i[ok]] + 1))
+    at, to = np.unique(np.concatenate([np.stack(x, 1) for x in found]), axis=0).T
+    ok = doc[to - 1] == doc[at]
     at, to = at[ok], to[ok]
     h = part_hash(w, w.start, w.end)
     power = np.full(len(h) + 1, np.uint64(0x9E3779B97F4A7C15), np.uint64)
@@ -103,7 +117,7 @@ def _clean(batch: pa.RecordBatch, keep: list[str]):
     marks = batch.column(batch.schema.get_field_index("marks_")).to_pylist()
     kept, count, cut, ranges = [], [], [], []
     for lo, hi in spans_of_size(texts):
-        w, first, end, doc = sentences(texts[lo:hi])
+        w, first, end, doc, _ = sentences(texts[lo:hi])
         at = np.searchsorted(doc, np.arange(hi - lo + 1))
         for k in range(lo, hi):
             a, b = at[k - lo], at[k - lo + 1]
