@@ -1,19 +1,21 @@
 """Benchmark decontamination by templates: numbers, names and units become typed slots, windows of templates are joined
 by hash, and the slots of a match must be filled consistently. So a question with other numbers or names is found too.
+Windows with names are joined in a second form as well, with names as literal words, so that capitals do not matter.
 """
 
 from __future__ import annotations
 
 from functools import cache
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagweave.llm.letters import letter_table
 from tagweave.llm.shared import durable, map_arrow, spans_of_size, texts_of
-from tagweave.llm.text_arrays import part_hash, signed, window_hash, words
+from tagweave.llm.text_arrays import mix, part_hash, signed, window_hash, words
 
 WINDOW = 8
 MIN_LITERALS = 4
@@ -44,7 +46,7 @@ def _units() -> np.ndarray:
 
 
 def template(texts: list[str]):
-    """(text index, template token, value, first, end) of each word with a letter or digit; value is 0 for literals.
+    """(text index, template token, value, first, end, hash) of each word with a letter or digit; value is 0 for literals.
 
     Words are compared lower-cased and without the punctuation around them. A word of digits and number signs is a
     number; a unit is one of UNITS after a number; a name is a capitalised word that does not begin a sentence.
@@ -75,22 +77,33 @@ def template(texts: list[str]):
     begins[1:] = stop[:-1] | (doc[1:] != doc[:-1]) | (lines[start[1:]] > lines[end[:-1]])
     name = upper[raw[start]] & ~begins & ~number & ~unit
     token = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, h)))
-    value = np.where(number | unit | name, h | np.uint64(1), np.uint64(0))
-    return doc, token, value, start - w.first[doc], end - w.first[doc]
+    value = np.where(number | unit | name, mix(h ^ token) | np.uint64(1), np.uint64(0))
+    return doc, token, value, start - w.first[doc], end - w.first[doc], h
+
+
+def _forms(texts: list[str]):
+    """(text index, the template's tokens and values, those with names as literals, whether a word is a name)."""
+    doc, token, value, _, _, h = template(texts)
+    name = token == NAME
+    return doc, ((token, value), (np.where(name, h, token), np.where(name, np.uint64(0), value))), name
 
 
 def _windows(batch: pa.RecordBatch, sizes: tuple, wanted: np.ndarray | None, keep: list[str]):
     texts = texts_of(batch)
     for lo, hi in spans_of_size(texts):
-        doc, token, value, _, _ = template(texts[lo:hi])
-        slot = np.concatenate([[0], np.cumsum(value > 0)])
+        doc, forms, name = _forms(texts[lo:hi])
+        names = np.concatenate([[0], np.cumsum(name)])
         count = np.bincount(doc, minlength=hi - lo)
         first = np.cumsum(count) - count
-        for n in sizes:
+        for n, (with_names, (token, value)) in product(sizes, enumerate(forms)):
             h = window_hash(token, n, n)
             if not len(h):
                 continue
-            at = np.flatnonzero((doc[: len(h)] == doc[n - 1 :]) & (n - (slot[n : n + len(h)] - slot[: len(h)]) >= min(MIN_LITERALS, n)))
+            slot = np.concatenate([[0], np.cumsum(value > 0)])
+            ok = (doc[: len(h)] == doc[n - 1 :]) & (n - (slot[n : n + len(h)] - slot[: len(h)]) >= min(MIN_LITERALS, n))
+            if with_names:  # windows without names have one form
+                ok &= names[n : n + len(h)] > names[: len(h)]
+            at = np.flatnonzero(ok)
             if wanted is not None and len(wanted):
                 h_ = h[at]
                 i = np.minimum(np.searchsorted(wanted, h_), len(wanted) - 1)
@@ -121,9 +134,9 @@ def _size(batch: pa.RecordBatch):
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_cover: float = MIN_COVER, max_sent: int = MAX_SENT) -> DataFrame:
     """(doc_id, key, item_id, covered, size): benchmark items found in documents; key tells texts of one doc_id apart.
 
-    Items shorter than a window are matched whole. An item is found if windows at one offset cover at least min_cover of
-    its words (and a whole window), and slots on them are filled by a one-to-one map from the item's values to the
-    document's. Benchmark windows are sent to the tasks in blocks of at most max_sent hashes, with a pass over the
+    Items shorter than a window are matched whole. An item is found if windows at one offset, or at neighbouring ones (words
+    put in or left out between them), cover at least min_cover of its words (and a whole window). Windows with a value of the
+    item that the document fills with several values do not count; different values may be filled with the same. Benchmark windows are sent to the tasks in blocks of at most max_sent hashes, with a pass over the
     documents for each block; what passes is joined with the benchmark by hash. Null texts match nothing.
     """
     items = map_arrow(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text"), _size, "item_id long, text string, size int").distinct()
@@ -139,15 +152,22 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_cov
         own = _windowed(source, ["doc_id", "key"], sizes, wanted) if len(wanted) else _windowed(source.limit(0), ["doc_id", "key"], sizes or (window,), wanted)
         found = own if found is None else found.unionAll(own)
     hit = durable(found.drop("size").distinct().join(parts, ["hash", "n"]).withColumn("shift", F.col("pos") - F.col("item_pos")).select("doc_id", "key", "item_id", "shift", "item_pos", "n", "size", "slots", "item_slots"), "hits")
-    where = ["doc_id", "key", "item_id", "shift"]
-    cover = hit.groupBy(*where, "size", "n").agg(F.sort_array(F.collect_set("item_pos")).alias("at")).select(
-        *where, "size", F.expr("aggregate(transform(at, (p, i) -> if(i + 1 = size(at), n, least(n, at[i + 1] - p))), 0, (a, x) -> a + x)").alias("covered")
+    pair = ["doc_id", "key", "item_id"]
+    # Offsets no further than a window from the next are neighbours.
+    order = Window.partitionBy(*pair).orderBy("shift")
+    step = F.col("shift") - F.lag("shift").over(order)
+    near = hit.withColumn("run", F.coalesce((step > window).cast("int"), F.lit(0))).withColumn("run", F.sum("run").over(order))
+    way = lambda level, x: F.struct(F.lit(level).alias("level"), F.col(x).cast("long").alias("at"))
+    each = durable(near.withColumn("way", F.explode(F.array(way(0, "shift"), way(1, "run")))).select(*pair, "way", "item_pos", "n", "size", "slots", "item_slots"), "alignments")
+    where = [*pair, "way"]
+    filled = each.select(*where, F.explode(F.arrays_zip("item_slots", "slots")).alias("s")).where("s.item_slots <> 0")
+    several = filled.groupBy(*where, F.col("s.item_slots").alias("x")).agg(F.countDistinct("s.slots").alias("ys")).where("ys > 1").groupBy(*where).agg(F.collect_set("x").alias("bad"))
+    same = [F.col(f"h.{x}").eqNullSafe(F.col(f"f.{x}")) for x in where]
+    good = each.alias("h").join(several.alias("f"), same, "left").where("f.bad is null or not arrays_overlap(h.item_slots, f.bad)").select("h.*")
+    cover = good.groupBy(*where, "size", "n").agg(F.sort_array(F.collect_set("item_pos")).alias("at")).select(
+        *pair, "size", F.expr("aggregate(transform(at, (p, i) -> if(i + 1 = size(at), n, least(n, at[i + 1] - p))), 0, (a, x) -> a + x)").alias("covered")
     )
-    filled = hit.select(*where, F.explode(F.arrays_zip("item_slots", "slots")).alias("s")).where("s.item_slots <> 0").select(*where, F.col("s.item_slots").alias("x"), F.col("s.slots").alias("y")).distinct()
-    filled = filled.groupBy(*where).agg(F.count("*").alias("pairs"), F.countDistinct("x").alias("xs"), F.countDistinct("y").alias("ys"))
-    same = [F.col(f"c.{x}").eqNullSafe(F.col(f"f.{x}")) for x in where]
-    good = cover.alias("c").join(filled.alias("f"), same, "left").where("f.pairs is null or (f.pairs = f.xs and f.pairs = f.ys)")
-    return good.where(F.col("c.covered") >= min_cover * F.col("c.size")).groupBy("c.doc_id", "c.key", "c.item_id").agg(F.max("c.covered").alias("covered"), F.max("c.size").alias("size"))
+    return cover.where(F.col("covered") >= min_cover * F.col("size")).groupBy(*pair).agg(F.max("covered").alias("covered"), F.max("size").alias("size"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, **args) -> DataFrame:
