@@ -22,7 +22,8 @@ PATTERNS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][ -]?[0-9][ -]?[0-9]", "phone": r"\+[0-9]"}
-CONTEXT = 200
+#: Digits of a number that are looked at as its prefix.
+PREFIX = 4
 MIN_TEXTS = 3
 DISCLOSURE = 0.9
 MARKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
@@ -81,22 +82,22 @@ def _terms(words: Column) -> Column:
     return F.array_distinct(F.filter(bare, lambda w: w.rlike(r"^\p{L}{3,}$")))
 
 
-def disclosing_terms(based: DataFrame, context: int = CONTEXT, min_texts: int = MIN_TEXTS, share: float = DISCLOSURE) -> DataFrame:
-    """(term, reveals): terms near an entity in at least min_texts different texts whose mutual information with it
-    reaches `share` of the entity's information content. Copies of a text count once; df covers the whole corpus."""
+def _levels(e: Column) -> Column:
+    """What recurs of an entity besides its value: its kind; an e-mail's account name and domain; a number's first digits."""
+    kind, value = e["kind"].cast("string"), F.lower(e["value"])
+    mail = F.array(F.concat(kind, F.lit(":@"), F.substring_index(value, "@", -1)), F.concat(kind, F.lit(":"), F.substring_index(value, "@", 1), F.lit("@")))
+    number = F.array(F.concat(kind, F.lit(":^"), F.when(e["kind"] == KINDS.index("ip"), F.substring_index(value, ".", 2)).otherwise(F.substring(_digits(value), 1, PREFIX))))
+    return F.concat(F.array(kind, F.concat(kind, F.lit(":"), value)), F.when(e["kind"] == KINDS.index("email"), mail).otherwise(number))
+
+
+def disclosing_terms(based: DataFrame, min_texts: int = MIN_TEXTS, share: float = DISCLOSURE) -> DataFrame:
+    """(term, reveals): terms that stand in at least min_texts different texts with an entity, or with what recurs of it,
+    and whose mutual information with it reaches `share` of its information content. Copies of a text count once."""
     based = based.select(F.xxhash64("t_").alias("key"), "t_", "base_")
-    near = based.where(F.size("base_") > 0).select("key", "t_", F.explode("base_").alias("e")).select(
-        "key",
-        F.concat(F.col("e.kind").cast("string"), F.lit(":"), F.lower("e.value")).alias("entity"),
-        _terms(words_of(F.concat(
-            F.substring(F.col("t_"), F.greatest(F.col("e.start") - context, F.lit(0)) + 1, F.least(F.lit(context), F.col("e.start"))),
-            F.lit(" "),
-            F.substring(F.col("t_"), F.col("e.end") + 1, F.lit(context)),
-        ))).alias("terms"),
-    )
-    near = durable(near, "contexts")
+    near = based.where(F.size("base_") > 0).dropDuplicates(["key"]).select("key", F.array_distinct(F.flatten(F.transform("base_", _levels))).alias("entities"), _terms(words_of(F.col("t_"))).alias("terms"))
+    near = durable(near, "contexts").select("key", F.explode("entities").alias("entity"), "terms")
     entities = near.select("entity", "key").distinct().groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= min_texts)
-    shared = near.join(entities, "entity", "left_semi").select("entity", "key", F.explode("terms").alias("term")).distinct()
+    shared = near.join(entities, "entity", "left_semi").select("entity", "key", F.explode("terms").alias("term"))
     both = durable(shared.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= min_texts), "cooccurrence")
     wanted = durable(both.select("term").distinct(), "terms")
     corpus = based.select("key", F.explode(_terms(words_of(F.col("t_")))).alias("term")).join(wanted, "term", "left_semi").distinct()
