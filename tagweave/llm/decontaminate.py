@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagweave.llm.letters import letter_table
-from tagweave.llm.shared import durable, map_arrow, spans_of_size, texts_of
+from tagweave.llm.shared import durable, map_arrow, slices, texts_of
 from tagweave.llm.text_arrays import mix, part_hash, signed, window_hash, words
 
 WINDOW = 8
@@ -89,9 +89,8 @@ def _forms(texts: list[str]):
 
 
 def _windows(batch: pa.RecordBatch, sizes: tuple, wanted: np.ndarray | None, keep: list[str]):
-    texts = texts_of(batch)
-    for lo, hi in spans_of_size(texts):
-        doc, forms, name = _forms(texts[lo:hi])
+    for lo, hi, texts in slices(batch):
+        doc, forms, name = _forms(texts)
         names = np.concatenate([[0], np.cumsum(name)])
         count = np.bincount(doc, minlength=hi - lo)
         first = np.cumsum(count) - count

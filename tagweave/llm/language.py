@@ -10,11 +10,12 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagweave.llm.letters import OTHER, letter_runs, script_table
-from tagweave.llm.shared import map_arrow, spans_of_size, texts_of
+from tagweave.llm.shared import column, map_arrow, slices
 from tagweave.llm.text_arrays import mix
 
 BUCKETS = 1 << 16
@@ -41,12 +42,12 @@ def _trigrams(points: np.ndarray) -> np.ndarray:
 
 
 def _count(batch: pa.RecordBatch):
-    texts, langs = texts_of(batch), batch.column(batch.schema.get_field_index("lang")).to_pylist()
-    for lang in sorted(set(langs)):
-        own = [t for t, x in zip(texts, langs) if x == lang]
+    langs = column(batch, "lang")
+    for lang in sorted(set(langs.to_pylist())):
+        own = batch.filter(pc.equal(langs, lang))
         counts, scripts = np.zeros(BUCKETS, np.int64), np.zeros(OTHER + 1, np.int64)
-        for lo, hi in spans_of_size(own):
-            w = letter_runs(own[lo:hi])
+        for _, _, texts in slices(own):
+            w = letter_runs(texts)
             letters = w.points > 32
             counts += np.bincount(_trigrams(w.points)[letters], minlength=BUCKETS)
             scripts += np.bincount(script_table()[w.points[letters]], minlength=OTHER + 1)
@@ -126,11 +127,10 @@ def label_words(texts: list[str], model: Model, penalty: float = PENALTY):
 
 
 def _predict(batch: pa.RecordBatch, model: Model, penalty: float):
-    texts = texts_of(batch)
     k, names = len(model.languages), np.array([*model.languages, UNKNOWN], object)
-    for lo, hi in spans_of_size(texts, 4_000_000):
+    for lo, hi, texts in slices(batch):
         n = hi - lo
-        w, label = label_words(texts[lo:hi], model, penalty)
+        w, label = label_words(texts, model, penalty)
         letters = np.bincount(w.text, weights=w.end - w.start, minlength=n)
         share = np.bincount(w.text * max(k, 1) + label, weights=w.end - w.start, minlength=n * max(k, 1)).reshape(n, max(k, 1))
         known = (letters > 0) & (k > 0)

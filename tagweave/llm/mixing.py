@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagweave.llm.shared import durable, map_arrow, texts_of
+from tagweave.llm.shared import column, durable, map_arrow, slices
 from tagweave.llm.text_arrays import mix, words
 
 BLOCK_WORDS = 128
@@ -181,25 +181,24 @@ def mixed_counts(docs: DataFrame, **args) -> DataFrame:
 
 
 def _cut(batch: pa.RecordBatch, columns: list[str]):
-    texts, pieces = texts_of(batch), batch.column(batch.schema.get_field_index("pieces_")).to_pylist()
-    sizes_ = batch.column(batch.schema.get_field_index("size_")).to_pylist()
-    out = []
-    for text, piece, size in zip(texts, pieces, sizes_):
-        ranges = sorted((p["from_word"], p["to_word"]) for p in piece)
-        if sum(b - a for a, b in ranges) == size:
-            out.append(text)
-            continue
-        w = words([text])
-        end = np.append(w.start[1:], len(text))
-        runs: list[list[int]] = []
-        for a, b in ranges:
-            if runs and runs[-1][1] == a:
-                runs[-1][1] = b
-            else:
-                runs.append([a, b])
-        out.append("\n".join(text[w.start[a] : end[b - 1]].rstrip() for a, b in runs))
-    new = {"text": pa.array(out, pa.string()), "n_chars": pa.array([len(t) for t in out], pa.int64())}
-    yield pa.RecordBatch.from_arrays([new.get(c, batch.column(batch.schema.get_field_index(c))) for c in columns], columns)
+    for lo, hi, texts in slices(batch):
+        part, out = batch.slice(lo, hi - lo), []
+        for text, piece, size in zip(texts, column(part, "pieces_").to_pylist(), column(part, "size_").to_pylist()):
+            ranges = sorted((p["from_word"], p["to_word"]) for p in piece)
+            if sum(b - a for a, b in ranges) == size:
+                out.append(text)
+                continue
+            w = words([text])
+            end = np.append(w.start[1:], len(text))
+            runs: list[list[int]] = []
+            for a, b in ranges:
+                if runs and runs[-1][1] == a:
+                    runs[-1][1] = b
+                else:
+                    runs.append([a, b])
+            out.append("\n".join(text[w.start[a] : end[b - 1]].rstrip() for a, b in runs))
+        new = {"text": pa.array(out, pa.string()), "n_chars": pa.array([len(t) for t in out], pa.int64())}
+        yield pa.RecordBatch.from_arrays([new.get(c, column(part, c)) for c in columns], columns)
 
 
 def mix_documents(docs: DataFrame, **args) -> DataFrame:

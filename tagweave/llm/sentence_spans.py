@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagweave.llm.shared import durable, map_arrow, spans_of_size, texts_of
+from tagweave.llm.shared import column, durable, map_arrow, slices
 from tagweave.llm.text_arrays import mix, part_hash, signed, words
 
 MIN_SENTENCES = 2
@@ -86,9 +86,8 @@ def spans(texts: list[str], min_sentences: int = MIN_SENTENCES, min_words: int =
 
 
 def _spans(batch: pa.RecordBatch):
-    texts = texts_of(batch)
-    for lo, hi in spans_of_size(texts):
-        doc, i, n, h1, h2 = spans(texts[lo:hi])
+    for lo, _, texts in slices(batch):
+        doc, i, n, h1, h2 = spans(texts)
         if len(doc):
             take = pa.array(doc + lo)
             yield pa.RecordBatch.from_arrays(
@@ -113,14 +112,14 @@ def repeated(docs: DataFrame) -> DataFrame:
 
 
 def _clean(batch: pa.RecordBatch, keep: list[str]):
-    texts = texts_of(batch, "text")
-    marks = batch.column(batch.schema.get_field_index("marks_")).to_pylist()
-    kept, count, cut, ranges = [], [], [], []
-    for lo, hi in spans_of_size(texts):
-        w, first, end, doc, _ = sentences(texts[lo:hi])
+    for lo, hi, texts in slices(batch):
+        part = batch.slice(lo, hi - lo)
+        marks = column(part, "marks_").to_pylist()
+        kept, count, cut, ranges = [], [], [], []
+        w, first, end, doc, _ = sentences(texts)
         at = np.searchsorted(doc, np.arange(hi - lo + 1))
-        for k in range(lo, hi):
-            a, b = at[k - lo], at[k - lo + 1]
+        for k in range(hi - lo):
+            a, b = at[k], at[k + 1]
             count.append(int(b - a))
             gone = np.zeros(b - a, bool)
             for m in marks[k] or ():
@@ -130,17 +129,16 @@ def _clean(batch: pa.RecordBatch, keep: list[str]):
                 kept.append(texts[k])
                 ranges.append([])
                 continue
-            begin = w.start[first[a:b]] - w.first[k - lo]
+            begin = w.start[first[a:b]] - w.first[k]
             begin[0] = 0
             stop = np.append(begin[1:], len(texts[k]))
             kept.append("".join(texts[k][x:y] for x, y, g in zip(begin, stop, gone) if not g))
             edge = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0))
             ranges.append([f"{begin[x]}:{stop[y - 1]}" for x, y in zip(edge[0::2], edge[1::2])])
-    own = [batch.column(batch.schema.get_field_index(c)) for c in keep]
-    yield pa.RecordBatch.from_arrays(
-        [*own, pa.array(kept, pa.string()), pa.array(count, pa.int64()), pa.array(cut, pa.int64()), pa.array(ranges, pa.list_(pa.string()))],
-        [*keep, "clean_text", "n_sentences", "n_removed", "removed"],
-    )
+        yield pa.RecordBatch.from_arrays(
+            [*(column(part, c) for c in keep), pa.array(kept, pa.string()), pa.array(count, pa.int64()), pa.array(cut, pa.int64()), pa.array(ranges, pa.list_(pa.string()))],
+            [*keep, "clean_text", "n_sentences", "n_removed", "removed"],
+        )
 
 
 def remove_repeats(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:

@@ -11,6 +11,8 @@ import numpy as np
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Powers that a worker keeps for the next texts.
+HELD = 1 << 20
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -27,9 +29,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
     have = _powers.get(name)
     if have is None or len(have) < n:
-        steps = np.full(max(n, 1 << 21), base, np.uint64)
+        steps = np.full(max(n, HELD), base, np.uint64)
         steps[0] = 1
-        have = _powers[name] = np.cumprod(steps)
+        have = np.cumprod(steps)
+        if len(have) == HELD:  # those of a longer text are not kept
+            _powers[name] = have
     return have[:n]
 
 

@@ -12,9 +12,12 @@ A shard file is a sequence of frames, an index and a seek table, all readable by
 
 from __future__ import annotations
 
+import re
 import struct
 import unicodedata
 import zlib
+from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,85 +28,94 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tagweave.llm.shared import new_path
+from tagweave.llm.shared import new_path, release, slices
 
 FRAME_BYTES = 1 << 20
-CACHE = 600_000
+#: Words that a worker keeps with their ids before it begins anew.
+CACHE = 150_000
+#: Characters of a shard, at least and at most, and the number of shards up to which they stay at the least.
+SHARD_CHARS, MOST_SHARD_CHARS, SHARDS = 16_000_000, 1_000_000_000, 4096
 SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEKABLE = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 
 
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself if printable, else the next from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return [chr(b) if b in plain else chr(256 + rest.index(b)) for b in range(256)]
+
+
 class Encoder:
     """Token ids of whole texts, as the tokenizers library gives them, with each distinct word encoded once.
 
-    Valid for tokenizers that drop white space and treat the parts of PARTS one by one, as word_bpe_49k.json does.
-    A text goes to the library whole if it holds what could read differently by the word: the start of a special
-    token, a letter whose lower case depends on its place, or control characters that only Python takes for white space.
+    Valid for byte-level tokenizers that normalise by NFC and then lower case, drop white space and treat the parts of
+    PARTS one by one, as word_bpe_49k.json does: a part goes to the library's model alone. A text goes to the library
+    whole if it holds what could read differently by the word: the start of a special token, a letter whose lower case
+    depends on its place, control characters that only Python takes for white space, or characters on which the Unicode
+    versions of the library and of Python differ.
     """
 
     PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    ASCII_PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+"
+    ODD = ("<|", "Σ", "İ", "\x1c", "\x1d", "\x1e", "\x1f")
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = CACHE):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.ends = np.zeros(self.whole.get_vocab_size(), bool)
-        for token, i in self.whole.get_vocab().items():
-            self.ends[i] = token.endswith("</w>")
-        self.parts = regex.compile(self.PARTS)
-        self.odd = regex.compile("[\x1c-\x1fΣİ]|<\\|")
-        self.of_word: dict[str, bytes] = {}
-        self.of_part: dict[str, bytes] = {}
+        self.tokenize = self.whole.model.tokenize
+        self.parts, self.ascii_parts = regex.compile(self.PARTS), re.compile(self.ASCII_PARTS)
+        self.letters = byte_letters()
+        self.most = most
+        self.known: dict[str, bytes] = {}
+        self.checked: set[str] = set()
+        self.odd: set[str] = set(self.ODD)
+
+    def _lettered(self, part: str) -> str:
+        return part if part.isascii() and part.isprintable() else "".join([self.letters[b] for b in part.encode()])
+
+    def _part(self, part: str) -> bytes:
+        out = self.known[part] = array("I", [t.id for t in self.tokenize(self._lettered(part))]).tobytes()
+        return out
+
+    def _check(self, new: set[str]) -> None:
+        """Note characters that the library's Unicode version splits or lowers otherwise than Python's."""
+        for c in new:
+            text = f"a{c}{c}a !{c}! a\u0301{c}\u0323"
+            own = [self._lettered(p) for w in unicodedata.normalize("NFC", text).lower().split() for p in self.parts.findall(w)]
+            if own != [p for p, _ in self.whole.pre_tokenizer.pre_tokenize_str(self.whole.normalizer.normalize_str(text))]:
+                self.odd.add(c)
+        self.checked |= new
 
     def _learn(self, new: set[str]) -> None:
-        if len(self.of_word) + len(new) > CACHE:
-            self.of_word = {}
-        if len(self.of_part) > CACHE:
-            self.of_part = {}
-        split = {}
+        known = self.known
         for word in new:
-            if word.isascii() and word.isalpha():
-                split[word] = (word,)
-            else:
-                composed = word if word.isascii() else unicodedata.normalize("NFC", word).lower()
-                split[word] = (composed,) if composed.isalpha() else tuple(self.parts.findall(composed))
-        unseen = list({p for parts in split.values() for p in parts} - self.of_part.keys())
-        for lo in range(0, len(unseen), 2000):
-            some = unseen[lo : lo + 2000]
-            ids = np.array(self.whole.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-            cut = np.flatnonzero(self.ends[ids]) + 1
-            if len(cut) == len(some):
-                data, at = ids.tobytes(), 0
-                for part, end in zip(some, (cut * 4).tolist()):
-                    self.of_part[part] = data[at:end]
-                    at = end
+            if word.isalpha():
+                self._part(word)
             else:
-                for part in some:
-                    self.of_part[part] = np.array(self.whole.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
-        for word, parts in split.items():
-            self.of_word[word] = self.of_part[parts[0]] if len(parts) == 1 else b"".join([self.of_part[p] for p in parts])
+                parts = (self.ascii_parts if word.isascii() else self.parts).findall(word)
+                known[word] = b"".join([known.get(p) or self._part(p) for p in parts])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
+        out: list[bytes] = [b""] * len(texts)
         plain, words = [], []
         for i, text in enumerate(texts):
-            if self.odd.search(text):
-                out[i] = np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            if not text.isascii() and (new := set(text) - self.checked):
+                self._check(new)
+            if any(x in text for x in (self.ODD if text.isascii() else self.odd)):
+                out[i] = array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
             else:
                 plain.append(i)
-                words.append(text.lower().split())
-        got = [list(map(self.of_word.get, w)) for w in words]
-        new = {w for ws, g in zip(words, got) if None in g for w, x in zip(ws, g) if x is None}
-        if new:
-            known = self.of_word
-            self._learn(new)
-            fresh = self.of_word
-            got = [[x if x is not None else fresh[w] for w, x in zip(ws, g)] if None in g else g for ws, g in zip(words, got)]
-            del known
-        for i, g in zip(plain, got):
-            out[i] = b"".join(g)
+                words.append((text if text.isascii() else unicodedata.normalize("NFC", text)).lower().split())
+        if len(self.known) > self.most:
+            self.known = {}
+        self._learn(set(chain.from_iterable(words)) - self.known.keys())
+        ids = self.known.__getitem__
+        for i, w in zip(plain, words):
+            out[i] = b"".join(map(ids, w))
         return out
 
 
@@ -131,12 +143,12 @@ class ShardWriter:
         self.out = self.fs.open_output_stream(self.temporary)
         self.frame_bytes, self.pending, self.size = frame_bytes, [], 0
         self.frames: list[tuple[int, int, int]] = []
-        self.index: list[tuple[int, int, int, int]] = []
+        self.index = array("q")
         self.ids = 0
         self.pack = zstandard.ZstdCompressor(level=1, write_checksum=False, write_content_size=True)
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
-        self.index.append((doc_id or 0, int(doc_id is None), self.ids, len(ids) // 4))
+        self.index.extend((doc_id or 0, int(doc_id is None), self.ids, len(ids) // 4))
         self.ids += len(ids) // 4
         self.pending.append(ids)
         self.size += len(ids)
@@ -161,7 +173,7 @@ class ShardWriter:
         self.out.write(struct.pack("<II", SKIPPABLE_SEEK, len(table)) + table)
         self.out.close()
         self.fs.move(self.temporary, self.path)
-        return len(self.index), self.ids
+        return len(self.index) // 4, self.ids
 
 
 class ShardReader:
@@ -206,14 +218,15 @@ class ShardReader:
 def write_shards(docs: DataFrame, tokenizer: str, folder: str, shards: int | None = None, end_id: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Write documents in ascending doc_id order (null first) as shards under folder; return (shard, uri, documents, ids).
 
-    Null texts are empty; each document ends with end_id. Documents of one doc_id follow in the order of their texts.
+    Without `shards`, their number follows from the texts' size. Null texts are empty; each document ends with end_id. Documents of one doc_id follow in the order of their texts.
     An empty table gives no shards. A task that runs again writes the same bytes under the same name.
     """
-    spark = docs.sparkSession
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if shards is None:
+        chars = docs.agg(F.sum(F.length(text))).first()[0] or 0
+        shards = max(1, -(-chars // min(MOST_SHARD_CHARS, max(SHARD_CHARS, chars // SHARDS))))
     ordered = (
         docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-        .repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+        .repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
     )
 
     def write(batches):
@@ -228,12 +241,12 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, shards: int | Non
             if writer is None:
                 uri = f"{folder}/shard-{task.partitionId():06d}.ids.zst"
                 writer = ShardWriter(uri, f"part-{task.taskAttemptId()}")
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lo in range(0, len(ids), 500):
-                for i, t in zip(ids[lo : lo + 500], encode.encode(texts[lo : lo + 500])):
-                    writer.add(i, t + end)
+            for lo, hi, texts in slices(batch, 2_000_000):
+                for i, ids in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), encode.encode(texts)):
+                    writer.add(i, ids + end)
         if writer is not None:
             documents, count = writer.close()
+            release()
             yield pa.RecordBatch.from_arrays([pa.array([task.partitionId()], pa.int32()), pa.array([uri]), pa.array([documents]), pa.array([count])], ["shard", "uri", "documents", "ids"])
 
     return ordered.mapInArrow(write, "shard int, uri string, documents long, ids long")
@@ -254,7 +267,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                         ["shard", "doc_id", "start_in_shard", "n_tokens", "ids_crc32"],
                     )
 
-    spread = manifest.select("shard", "uri").repartition(max(1, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "shard")
+    spread = manifest.select("shard", "uri").repartitionByRange(max(1, manifest.count()), "shard")
     return spread.mapInArrow(read, "shard int, doc_id long, start_in_shard long, n_tokens long, ids_crc32 long")
 
 

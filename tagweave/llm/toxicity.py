@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagweave.llm.letters import letter_runs
-from tagweave.llm.shared import map_arrow, spans_of_size, texts_of
+from tagweave.llm.shared import column, map_arrow, slices
 from tagweave.llm.text_arrays import mix, part_hash
 
 BUCKETS = 1 << 20
@@ -51,9 +51,9 @@ def terms(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _features(batch: pa.RecordBatch):
-    texts, toxic = texts_of(batch), batch.column(batch.schema.get_field_index("toxic"))
-    for lo, hi in spans_of_size(texts):
-        doc, bucket = terms(texts[lo:hi])
+    toxic = column(batch, "toxic")
+    for lo, hi, texts in slices(batch):
+        doc, bucket = terms(texts)
         cut = np.searchsorted(doc, np.arange(hi - lo + 1)).astype(np.int32)
         yield pa.RecordBatch.from_arrays([toxic.slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(cut), pa.array(bucket.astype(np.int32)))], ["toxic", "terms"])
 
@@ -154,9 +154,8 @@ def scores(texts: list[str], model: Model) -> np.ndarray:
 
 
 def _score(batch: pa.RecordBatch, model: tuple):
-    texts = texts_of(batch)
     m = unpacked(model)
-    got = np.concatenate([scores(texts[lo:hi], m) for lo, hi in spans_of_size(texts)])
+    got = np.concatenate([scores(texts, m) for _, _, texts in slices(batch)])
     keep = [c for c in batch.schema.names if c not in ("text_", "toxicity")]
     yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in keep] + [pa.array(got)], [*keep, "toxicity"])
 
