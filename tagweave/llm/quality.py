@@ -14,9 +14,10 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MIN_KEPT_PERCENT = 50
 #: A line of prose ends with a sentence's end, or with a closing quote or bracket after one.
-PUNCTUATION = r"[.!?:;…。！？][\"'”’»)\]]*$"
-#: Menus, breadcrumbs and table rows: two or more separators with blanks around, or a line of arrows.
-NAVIGATION = r"(\S*\s+(\||»|›|>|•|·|::)\s+.*){2}|^\s*(»|›|•|·|<<|>>|←|→)"
+PUNCTUATION = r"[.!?:;…。！？][\"'”’»)\]]*[ \t\n\x0b\f\r]*\z"
+#: Menus, breadcrumbs and table rows: two or more separators with blanks around, or a line of arrows. Each separator is
+#: tried once, so long lines take linear time.
+NAVIGATION = r"\s(\||»|›|>|•|·|::)\s[^\n]*\s(\||»|›|>|•|·|::)\s|^\s*(»|›|•|·|<<|>>|←|→)"
 #: Phrases of page furniture rather than text.
 BOILERPLATE = (
     r"(?i)(all rights reserved|privacy policy|cookie policy|we use cookies|terms of (use|service)|copyright (\(c\)|©|[0-9]{4})"
@@ -27,35 +28,33 @@ BOILERPLATE = (
 
 def words_of(text: Column) -> Column:
     """Runs of characters other than space and U+0009..U+000D."""
-    plain = F.btrim(F.translate(text, BLANKS[1:], " " * (len(BLANKS) - 1)), F.lit(" "))
-    return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " +"))
+    return F.array_remove(F.split(text, f"[{BLANKS}]+"), "")
 
 
-def _chars(text: Column) -> Column:
-    return F.length(F.translate(text, BLANKS, ""))
+def lines_of(text: Column) -> Column:
+    """Lines with a word."""
+    return F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{BLANKS}]"))
 
 
 def measures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words in a struct column `m`; null text: empty."""
+    """docs with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words in a struct column `m`, and the lines with a
+    word in `l_`; null text: empty."""
     t = F.coalesce(F.col(text), F.lit(""))
-    df = docs.withColumn("w_", words_of(t))
+    df = docs.withColumns({"w_": words_of(t), "l_": lines_of(t)})
     df = df.withColumn("h_", F.expr("transform(slice(w_, 1, greatest(size(w_) - 2, 0)), (x, i) -> xxhash64(x, w_[i + 1], w_[i + 2]))"))
-    df = df.withColumn("s_", F.sort_array("h_"))
-    df = df.withColumn("d_", F.expr("exists(transform(s_, (x, i) -> i > 0 and x = s_[i - 1]), x -> x)"))
     # Windows that are found again: sorted with their places, they stand beside an equal one.
-    df = df.withColumn("p_", F.expr("case when d_ then sort_array(transform(h_, (x, i) -> struct(x as h, i as i))) else array() end"))
+    df = df.withColumn("p_", F.expr("case when size(array_distinct(h_)) < size(h_) then sort_array(transform(h_, (x, i) -> struct(x as h, i as i))) else array() end"))
     df = df.withColumn("q_", F.expr("sort_array(transform(filter(p_, (e, k) -> (k > 0 and e.h = p_[k - 1].h) or (k + 1 < size(p_) and e.h = p_[k + 1].h)), e -> e.i))"))
-    lines = F.filter(F.split(t, "\n"), lambda x: _chars(x) > 0)
     return df.withColumn(
         "m",
         F.struct(
             F.size("w_").cast("long").alias("n_words"),
-            _chars(t).cast("long").alias("word_chars"),
-            (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-            (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
+            F.length(F.array_join("w_", "")).cast("long").alias("word_chars"),
+            F.regexp_count(t, F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
+            (F.size("l_") - F.size(F.array_distinct("l_"))).cast("long").alias("n_dup_lines"),
             F.expr("aggregate(transform(q_, (p, k) -> if(k + 1 = size(q_), 3, least(3, q_[k + 1] - p))), 0L, (a, x) -> a + x)").alias("n_repeat_words"),
         ),
-    ).drop("w_", "h_", "s_", "d_", "p_", "q_")
+    ).drop("w_", "h_", "p_", "q_")
 
 
 def line_fails(line: Column) -> Column:
@@ -64,27 +63,26 @@ def line_fails(line: Column) -> Column:
 
 
 def clean_lines(docs: DataFrame, text: str = "text", min_kept_percent: int = MIN_KEPT_PERCENT) -> DataFrame:
-    """docs with the measures, n_lines, n_lines_removed, clean_text, base_failed and kept.
+    """docs with the measures, n_lines, n_lines_removed, kept_chars, clean_text, base_failed and kept.
 
     base_failed: under 50 words, or more than half of the words in repeated 3-word windows. kept: not base_failed, and
     the lines that stay hold at least min_kept_percent of the text's characters other than blanks. A null or empty text
-    has no words and fails. Repeated rows are judged alike; other columns pass through, except that a column with the
-    name of a result is replaced.
+    has no words and fails. Repeated rows are judged alike; an empty table gives no rows; lines and texts may have any
+    length. Other columns pass through, except that a column with the name of a result is replaced.
     """
-    df = measures(docs, text)
-    t = F.coalesce(F.col(text), F.lit(""))
-    df = df.withColumn("l_", F.filter(F.split(t, "\n"), lambda x: _chars(x) > 0))
-    df = df.withColumn("g_", F.filter("l_", lambda x: ~line_fails(F.rtrim(F.translate(x, BLANKS[1:], " " * 5)))))
+    df = measures(docs, text).withColumn("v_", F.transform("l_", line_fails))
+    df = df.withColumns({"g_": F.expr("filter(l_, (x, i) -> not v_[i])"), "b_": F.expr("filter(l_, (x, i) -> v_[i])")})
     df = df.withColumn("clean_text", F.array_join("g_", "\n"))
     failed = (F.col("m.n_words") < MIN_WORDS) | (100 * F.col("m.n_repeat_words") > MAX_REPEAT_PERCENT * F.col("m.n_words"))
+    lost = F.length(F.translate(F.array_join("b_", ""), BLANKS, ""))
     return (
         df.withColumns({x: F.col(f"m.{x}") for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")})
         .withColumns({
             "n_lines": F.size("l_").cast("long"),
-            "n_lines_removed": (F.size("l_") - F.size("g_")).cast("long"),
-            "kept_chars": _chars(F.col("clean_text")).cast("long"),
+            "n_lines_removed": F.size("b_").cast("long"),
+            "kept_chars": (F.col("m.word_chars") - lost).cast("long"),
             "base_failed": failed,
         })
         .withColumn("kept", ~F.col("base_failed") & (100 * F.col("kept_chars") >= min_kept_percent * F.col("word_chars")))
-        .drop("m", "l_", "g_")
+        .drop("m", "l_", "v_", "g_", "b_")
     )

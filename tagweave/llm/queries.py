@@ -120,7 +120,7 @@ c AS (SELECT row_id, count(DISTINCT i + k) AS n_repeat_words FROM r, (SELECT unn
 l AS (
   SELECT row_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d
 ), k AS (
-  SELECT row_id, ls, list_filter(ls, lambda x: regexp_matches(rtrim(regexp_replace(x, '[\x09-\x0D]', ' ', 'g'), ' '), '{quality.PUNCTUATION.replace("'", "''")}')
+  SELECT row_id, ls, list_filter(ls, lambda x: regexp_matches(x, '{quality.PUNCTUATION.replace("'", "''")}')
     AND NOT regexp_matches(regexp_replace(x, '[\x09-\x0D]', ' ', 'g'), '{quality.NAVIGATION.replace("'", "''")}')
     AND NOT regexp_matches(x, '{quality.BOILERPLATE.replace("'", "''")}')) AS good FROM l
 ), s AS (
