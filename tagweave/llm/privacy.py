@@ -9,8 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagweave.llm.quality import words_of
-from tagweave.llm.shared import durable
+from tagweave.llm.shared import discard, durable
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: They match what the plain patterns match, but start only where a match can start and give nothing back, so long runs
@@ -22,6 +21,8 @@ PATTERNS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][ -]?[0-9][ -]?[0-9]", "phone": r"\+[0-9]"}
+#: A word's letters, at least three, between other characters than letters and digits and blanks.
+TERM = r"(?<![^ \t\n\x0b\f\r])[^\p{L}\p{N} \t\n\x0b\f\r]*+(\p{L}{3,}+)[^\p{L}\p{N} \t\n\x0b\f\r]*+(?![^ \t\n\x0b\f\r])"
 #: Digits of a number that are looked at as its prefix.
 PREFIX = 4
 MIN_TEXTS = 3
@@ -76,10 +77,9 @@ def find_base(docs: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("base_", F.array_sort(F.concat(*[f"{k}_" for k in KINDS[:4]]))).drop(*[f"{k}_" for k in KINDS[:4]])
 
 
-def _terms(words: Column) -> Column:
+def _terms(text: Column) -> Column:
     """Lower-cased words of three or more letters, punctuation around them left out, each once."""
-    bare = F.transform(words, lambda w: F.lower(F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")))
-    return F.array_distinct(F.filter(bare, lambda w: w.rlike(r"^\p{L}{3,}$")))
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(1)))
 
 
 def _levels(e: Column) -> Column:
@@ -90,37 +90,51 @@ def _levels(e: Column) -> Column:
     return F.concat(F.array(kind, F.concat(kind, F.lit(":"), value)), F.when(e["kind"] == KINDS.index("email"), mail).otherwise(number))
 
 
+def _class_of(entity: Column) -> Column:
+    """What a term that reveals an entity, or what recurs of it, is generalised to."""
+    kind, part = F.substring_index(entity, ":", 1).cast("int"), F.substring_index(entity, ":", -1)
+    return (
+        F.when((kind == KINDS.index("email")) & part.startswith("@"), "[ORGANISATION]").when(kind == KINDS.index("ip"), "[NETWORK]")
+        .when(kind == KINDS.index("card"), "[ACCOUNT]").when((kind == KINDS.index("phone")) & part.startswith("^"), "[PLACE]").otherwise("[PERSON]")
+    )
+
+
 def disclosing_terms(based: DataFrame, min_texts: int = MIN_TEXTS, share: float = DISCLOSURE) -> DataFrame:
-    """(term, reveals): terms that stand in at least min_texts different texts with an entity, or with what recurs of it,
-    and whose mutual information with it reaches `share` of its information content. Copies of a text count once."""
+    """(term, reveals, class): terms that stand in at least min_texts different texts with an entity, or with what recurs of
+    it, and whose mutual information with it reaches `share` of its information content; class follows from the entity that
+    it reveals most. Copies of a text count once. Terms are counted with partial counts, after one row of each text is left.
+    """
     based = based.select(F.xxhash64("t_").alias("key"), "t_", "base_")
-    near = based.where(F.size("base_") > 0).dropDuplicates(["key"]).select("key", F.array_distinct(F.flatten(F.transform("base_", _levels))).alias("entities"), _terms(words_of(F.col("t_"))).alias("terms"))
-    near = durable(near, "contexts").select("key", F.explode("entities").alias("entity"), "terms")
-    entities = near.select("entity", "key").distinct().groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= min_texts)
-    shared = near.join(entities, "entity", "left_semi").select("entity", "key", F.explode("terms").alias("term"))
+    near = based.where(F.size("base_") > 0).dropDuplicates(["key"]).select("key", F.array_distinct(F.flatten(F.transform("base_", _levels))).alias("entities"), _terms(F.col("t_")).alias("terms"))
+    near = durable(near, "contexts")
+    spread = near.select(F.explode("entities").alias("entity"), "terms")
+    entities = spread.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= min_texts)
+    shared = spread.join(entities, "entity", "left_semi").select("entity", F.explode("terms").alias("term"))
     both = durable(shared.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= min_texts), "cooccurrence")
-    wanted = durable(both.select("term").distinct(), "terms")
-    corpus = based.select("key", F.explode(_terms(words_of(F.col("t_")))).alias("term")).join(wanted, "term", "left_semi").distinct()
-    df = corpus.groupBy("term").agg(F.count("*").alias("n_term"))
-    total = based.select("key").distinct().agg(F.count("*").alias("n")).first()["n"]
-    n = F.lit(float(max(total, 1)))
+    corpus = based.select("key", "t_").dropDuplicates(["key"]).select(F.explode(F.concat(_terms(F.col("t_")), F.array(F.lit("")))).alias("term"))  # "" counts the texts
+    df = durable(corpus.groupBy("term").agg(F.count("*").alias("n_term")), "terms")
+    total = df.where("term = ''").first()
+    n = F.lit(float(total["n_term"] if total else 1))
     pmi = F.log2(n * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
     content = F.log2(n / F.col("n_entity"))
-    told = both.join(entities, "entity").join(df, "term").where((content > 0) & (pmi >= share * content))
-    return durable(told.groupBy("term").agg(F.count("*").alias("reveals")), "disclosing")
+    told = both.join(entities, "entity").join(df, "term").withColumn("pmi", pmi).where((content > 0) & (F.col("pmi") >= share * content))
+    out = durable(told.groupBy("term").agg(F.count("*").alias("reveals"), _class_of(F.max_by("entity", F.struct("pmi", "entity"))).alias("class")), "disclosing")
+    discard(near, both, df)
+    return out
 
 
 def sanitise(docs: DataFrame, text: str = "text", **args) -> DataFrame:
     """docs with base_, spans_ (base and terms: start, kind, end, value) and clean_text.
 
-    Entities become [EMAIL], [IP], [CARD] or [PHONE]; capitalised disclosing terms become [NAME], others are removed. A
-    span that begins inside an earlier one is covered by it. Null texts are empty. Repeated rows are treated alike.
+    Entities become [EMAIL], [IP], [CARD] or [PHONE]; disclosing terms become a class: [PERSON], [ORGANISATION], [PLACE],
+    [NETWORK] or [ACCOUNT]. A span that begins inside an earlier one is covered by it. Null texts are empty. Repeated rows
+    are treated alike; an empty table gives no rows; texts may have any length. Columns named base_, spans_ or clean_text
+    are replaced, others pass through.
     """
-    based = find_base(docs, text)
-    told = disclosing_terms(based, **args)
-    keyed = based.withColumn("key_", F.xxhash64("t_"))
-    where = keyed.select("key_", F.explode(_terms(words_of(F.col("t_")))).alias("term")).join(told.select("term"), "term", "left_semi").distinct()
-    own = durable(where.groupBy("key_").agg(F.collect_set("term").alias("own_")), "revealing").select(F.col("key_").alias("k_"), "own_")
+    told = disclosing_terms(find_base(docs.select(text), text), **args)
+    keyed = find_base(docs, text).withColumn("key_", F.xxhash64("t_"))
+    where = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t")).select(F.xxhash64("t").alias("k_"), F.explode(_terms(F.col("t"))).alias("term"))
+    own = durable(where.join(told, "term").groupBy("k_").agg(F.map_from_entries(F.collect_set(F.struct("term", "class"))).alias("own_")), "revealing")
     df = keyed.join(own, F.col("key_") == F.col("k_"), "left").drop("key_", "k_")
     blank = r"[^\x20\x09-\x0D]+"
     empty = F.expr("cast(array() as array<struct<start: int, kind: int, end: int, value: string>>)")
@@ -130,7 +144,7 @@ def sanitise(docs: DataFrame, text: str = "text", **args) -> DataFrame:
         core = F.regexp_replace(pair["h"], r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
         lead = F.length(pair["h"]) - F.length(F.regexp_replace(pair["h"], r"^[^\p{L}\p{N}]+", ""))
         one = F.struct((start + lead).alias("start"), F.lit(4).alias("kind"), (start + lead + F.length(core)).alias("end"), core.alias("value"))
-        hit = F.array_contains(F.col("own_"), F.lower(core))
+        hit = F.map_contains_key(F.col("own_"), F.lower(core))
         return F.struct((start + F.length(pair["h"])).alias("pos"), F.when(hit, F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
 
     hits, between = F.regexp_extract_all("t_", F.lit(blank), F.lit(0)), F.split("t_", blank, -1)
@@ -140,7 +154,7 @@ def sanitise(docs: DataFrame, text: str = "text", **args) -> DataFrame:
 
     def mark(s):
         by_kind = F.element_at(F.array(*[F.lit(MARKS[k]) for k in KINDS[:4]]), s["kind"] + 1)
-        return F.when(s["kind"] < 4, by_kind).when(s["value"].rlike(r"^\p{Lu}"), F.lit("[NAME]")).otherwise(F.lit(""))
+        return F.when(s["kind"] < 4, by_kind).otherwise(F.element_at(F.col("own_"), F.lower(s["value"])))
 
     def put(acc, s):
         new = F.struct(s["end"].alias("pos"), F.concat(acc["out"], F.substring(F.col("t_"), acc["pos"] + 1, s["start"] - acc["pos"]), mark(s)).alias("out"))
