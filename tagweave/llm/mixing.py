@@ -1,9 +1,8 @@
 """Mixing sources to target weights by blocks.
 
 Each source's documents form one stream of words, cut into blocks of a fixed number of words. Output shards have a fixed
-number of slots; each draws how many slots a source gets (the whole part of its expectation, the rest multinomially).
-A source's j-th slot takes the block that a pseudorandom permutation of its block numbers gives for j; every pass over
-the blocks has a permutation of its own. Slots and blocks meet in a join by source and block number.
+number of slots; each shard draws multinomially how many slots a source gets. A source's j-th slot takes the block that a
+pseudorandom permutation of its block numbers gives for j; every pass over the blocks has a permutation of its own. Slots and blocks meet in a join by source and block number.
 """
 
 from __future__ import annotations
@@ -17,10 +16,12 @@ from pyspark.sql import functions as F
 from tagweave.llm.shared import column, durable, map_arrow, slices
 from tagweave.llm.text_arrays import mix, words
 
-BLOCK_WORDS = 128
+BLOCK_WORDS = 32
 SHARD_SLOTS = 4096
 BUCKETS = 4096
 MOST = 3
+#: Shards whose slots are added up at a time.
+RUN = 1024
 SEED = 20_240_501
 
 
@@ -73,31 +74,34 @@ def _permute(j: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out
 
 
-def draw(shards: DataFrame, want: np.ndarray, slots: int, total: int, seed: int) -> DataFrame:
-    """(shard, source_no, n): slots of each shard by source. want: expected slots of each source over all shards."""
-    share = want / want.sum() if want.sum() else want
+def draw(shards: DataFrame, want: np.ndarray, seed: int, wave: int) -> DataFrame:
+    """(shard, source_no, n): multinomial counts of the sources in the n slots of each shard (shard, n); want: the sources'
+    weights. Each task holds one number per source."""
+    share = want / want.sum()
 
     def one(batches):
         for pdf in batches:
-            shard, source, n = [], [], []
-            for k in pdf["id"]:
-                size = min(slots, total - k * slots)
-                expected = share * size
-                whole = np.floor(expected + 1e-9).astype(np.int64)
-                rest = size - int(whole.sum())
-                part = np.clip(expected - whole, 0, None)
-                if rest > 0:
-                    part = part if part.sum() > 0 else share
-                    whole += np.random.default_rng([seed, int(k)]).multinomial(rest, part / part.sum())
-                some = np.flatnonzero(whole)
-                shard += [int(k)] * len(some)
-                source += some.tolist()
-                n += whole[some].tolist()
-            yield pd.DataFrame({"shard": pd.Series(shard, dtype="int64"), "source_no": pd.Series(source, dtype="int32"), "n": pd.Series(n, dtype="int64")})
+            drawn = [np.random.default_rng([seed, wave, int(k)]).multinomial(int(n), share) for k, n in zip(pdf["shard"], pdf["n"])]
+            some = [np.flatnonzero(x) for x in drawn]
+            yield pd.DataFrame({
+                "shard": np.repeat(pdf["shard"].to_numpy(np.int64), [len(x) for x in some]),
+                "source_no": np.concatenate([np.empty(0, np.int64), *some]).astype(np.int32),
+                "n": np.concatenate([np.empty(0, np.int64), *(x[i] for x, i in zip(drawn, some))]).astype(np.int64),
+            })
 
     return shards.mapInPandas(one, "shard long, source_no int, n long")
 
 
+def _begins(counts: DataFrame) -> DataFrame:
+    """counts with `begin`: the source's slots in the shards before, by sums over runs of shards and within them."""
+    c = counts.withColumn("run", F.expr(f"shard div {RUN}"))
+    before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    per = c.groupBy("source_no", "run").agg(F.sum("n").alias("all_"))
+    base = per.select("source_no", "run", F.coalesce(F.sum("all_").over(before("source_no").orderBy("run")), F.lit(0)).alias("base"))
+    inside = c.withColumn("inside", F.coalesce(F.sum("n").over(before("source_no", "run").orderBy("shard")), F.lit(0)))
+    return inside.join(base, ["source_no", "run"]).select("shard", "source_no", "n", (F.col("base") + F.col("inside")).alias("begin"))
+
+
 def placed(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """docs with size, key and `at`: the words of its source before it.
 
@@ -117,7 +121,10 @@ def placed(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
 def taken_blocks(table: DataFrame, block: int = BLOCK_WORDS, slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
     """(source, block, epoch) of every slot of the mix. table: source, source_size, target.
 
-    The sources' table goes to the driver: it has a row per source, not per document.
+    The shards draw in waves of three quarters of those left, down to one: the weights of a wave are what the sources
+    still lack, so chance moves a source's total by no more than one shard's draw does. A source takes MOST passes over its
+    blocks at most; slots drawn beyond that are drawn again in the next wave among the others. The driver sees the sources'
+    table and their totals: a row per source, not per document, shard or slot.
     """
     spark = table.sparkSession
     t = table.where("source_size > 0").toPandas()
@@ -125,22 +132,33 @@ def taken_blocks(table: DataFrame, block: int = BLOCK_WORDS, slots: int = SHARD_
     size = t["source_size"].to_numpy(np.int64)
     blocks = -(-size // block)
     want = t["target"].to_numpy(float) * blocks / size if len(t) else np.empty(0)
-    total = int(round(want.sum()))
+    total, limit = int(round(want.sum())), MOST * blocks
     n_shards = -(-total // slots)
-    counts = draw(spark.range(n_shards, numPartitions=max(1, min(n_shards, 64))), want, slots, total, seed)
-    before = Window.partitionBy("source_no").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("begin", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    each = counts.select("source_no", F.explode(F.sequence("begin", F.col("begin") + F.col("n") - 1)).alias("j"))
-    names = [None if x else s for s, x in zip(t["source"], t["null"])] if len(t) else []
+    filled, pending, each, lo, wave = np.zeros(len(t), np.int64), None, None, 0, 0
+    while lo < n_shards or pending is not None:
+        hi = lo + max(1, 3 * (n_shards - lo) // 4) if lo < n_shards else lo
+        of = spark.range(lo, hi, numPartitions=max(1, (hi - lo) // RUN)).select(F.col("id").alias("shard"), F.least(F.lit(slots), F.lit(total) - F.col("id") * slots).alias("n"))
+        of = of if pending is None else of.unionAll(pending)
+        lack = np.where(filled < limit, np.clip(want - filled, 0, None), 0)
+        counts = durable(_begins(draw(of, lack if lack.sum() > 0 else limit - filled, seed, wave)), "counts")
+        got = counts.groupBy("source_no").agg(F.sum("n").alias("n")).toPandas()
+        drawn = np.zeros(len(t), np.int64)
+        drawn[got["source_no"]] = got["n"]
+        room = spark.createDataFrame(pd.DataFrame({"source_no": np.arange(len(t), dtype=np.int32), "room": limit - filled, "filled": filled}))
+        c = counts.join(F.broadcast(room), "source_no").withColumn("fits", F.greatest(F.lit(0), F.least("n", F.col("room") - F.col("begin"))))
+        some = c.where("fits > 0").select("source_no", (F.col("filled") + F.col("begin")).alias("j"), "fits")
+        each = some if each is None else each.unionAll(some)
+        pending = durable(c.where("fits < n").groupBy("shard").agg(F.sum(F.col("n") - F.col("fits")).alias("n")), "again") if (drawn > limit - filled).any() else None
+        filled, lo, wave = np.minimum(limit, filled + drawn), hi, wave + 1
+    if each is None:
+        return spark.createDataFrame([], "source string, block long, epoch int")
+    each = each.select("source_no", F.explode(F.sequence("j", F.col("j") + F.col("fits") - 1)).alias("j"))
+    names = [None if x else s for s, x in zip(t["source"], t["null"])]
 
     def number(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
             no, j = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             n = blocks[no]
-            on = j < MOST * n
-            no, j, n = no[on], j[on], n[on]
             epoch = j // n
             key = mix((no.astype(np.uint64) << np.uint64(8)) + epoch.astype(np.uint64) + np.uint64(seed))
             b = _permute(j % n, n.astype(np.uint64), key).astype(np.int64)
