@@ -1,10 +1,9 @@
 """Substring de-duplication by sliding sentence spans.
 
-At each sentence a span starts, and at each one a span ends: the shortest of at least two consecutive sentences and
-MIN_WORDS words. So every sentence of a longer repeated run lies in a span within the run. Spans are taken with line ends
-as ends of sentences, and again without, so that a passage wrapped at other widths is found as well. They are joined over
-all documents by hash; every sentence that a repeated span covers is removed, except in the span's first occurrence (the
-least doc_id, then the earliest place).
+Every run of RUN consecutive sentences is hashed, so a longer repeated passage is covered by its runs. Runs are taken with
+line ends as ends of sentences, and again without, so that a passage wrapped at other widths is found as well. They are
+joined over all documents by hash; every sentence that a repeated run covers is removed, except in the run's first
+occurrence (the least doc_id, then the earliest place).
 """
 
 from __future__ import annotations
@@ -14,11 +13,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagweave.llm.shared import column, durable, map_arrow, slices
+from tagweave.llm.shared import column, discard, durable, map_arrow, slices
 from tagweave.llm.text_arrays import mix, part_hash, signed, words
 
-MIN_SENTENCES = 2
-MIN_WORDS = 20
+#: Sentences of a run.
+RUN = 2
 ENDS = ".!?…。！？"
 CLOSING = "\"'”’»)]"
 
@@ -49,8 +48,8 @@ def sentences(texts: list[str]):
     return w, first, end, w.text[first], firm[end - 1]
 
 
-def spans(texts: list[str], min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS):
-    """(text index, number of its first sentence in the text, sentences, two hashes) of every span."""
+def spans(texts: list[str], run: int = RUN):
+    """(text index, number of its first sentence in the text, sentences, two hashes) of every run of `run` sentences."""
     w, first, end, doc, firm = sentences(texts)
     if not len(first):
         e = np.empty(0, np.int64)
@@ -58,14 +57,7 @@ def spans(texts: list[str], min_sentences: int = MIN_SENTENCES, min_words: int =
     found = []
     for last in (np.arange(len(first)), np.flatnonzero(firm)):  # last line of each sentence, with line ends as ends and without
         begin = np.concatenate([[0], last[:-1] + 1])
-        f, e, n = first[begin], end[last], len(last)
-        i = np.arange(n)
-        to = np.maximum(i + min_sentences, np.searchsorted(e, f + min_words) + 1)  # one past the last sentence of the span that starts here
-        ok = to <= n
-        found.append((begin[i[ok]], last[to[ok] - 1] + 1))
-        of = np.minimum(i + 1 - min_sentences, np.searchsorted(f, e - min_words, side="right") - 1)  # first sentence of the span that ends here
-        ok = of >= 0
-        found.append((begin[of[ok]], last[i[ok]] + 1))
+        found.append((begin[: max(0, len(last) - run + 1)], last[run - 1 :] + 1))
     at, to = np.unique(np.concatenate([np.stack(x, 1) for x in found]), axis=0).T
     ok = doc[to - 1] == doc[at]
     at, to = at[ok], to[ok]
@@ -107,6 +99,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     often = durable(found.groupBy("h1", "h2").agg(F.count("*").alias("times")).where("times > 1").select("h1", "h2"), "often")
     again = durable(found.join(often, ["h1", "h2"]), "repeats")
     head = durable(again.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "key", "i")).alias("head")), "heads")
+    discard(found, often)
     later = again.join(head, ["h1", "h2"]).where(~(F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("key") == F.col("head.key")) & (F.col("i") == F.col("head.i"))))
     return later.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set(F.struct("i", "n"))).alias("marks"))
 
@@ -144,7 +137,7 @@ def _clean(batch: pa.RecordBatch, keep: list[str]):
 def remove_repeats(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` of docs (all, if not given) with clean_text, n_sentences, n_removed and removed (start:end, in characters of the text).
 
-    A null text is empty; texts with fewer than two sentences or 20 words have no span and stay as they are. Rows with
+    A null text is empty; texts with fewer than two sentences have no run and stay as they are; others may have any length. An empty table gives no rows. Rows with
     equal doc_id and text are one document: none of them is the other's repeat. A null doc_id comes before all others.
     Columns with the names of results are replaced.
     """

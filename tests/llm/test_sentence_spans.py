@@ -1,5 +1,7 @@
 """Whole repeated passages are covered."""
 
+import re
+
 
 def clean(spark, first, second):
     from tagweave.llm import sentence_spans
@@ -30,3 +32,52 @@ def test_repeated_lines_without_marks_go(spark):
     lines = "\n".join(f"line {i} one two three four five six" for i in range(4))
     first, second = f"Top here.\n{lines}\nmore own text", f"Other top.\n{lines}\nelse it ends"
     assert clean(spark, first, second) == {1: first, 2: "Other top.\nelse it ends"}
+
+
+def test_short_repeated_documents(spark):
+    assert clean(spark, "Same short text. Twice here.", "Same short text. Twice here.") == {1: "Same short text. Twice here.", 2: ""}
+    assert clean(spark, "One. Other words.", "One. Own words.") == {1: "One. Other words.", 2: "One. Own words."}
+
+
+def split(text, lines):
+    """Sentences of words, by line ends too if lines; blank lines always end one."""
+    out, run = [], []
+    for block in re.split(r"\n[ \t\x0b-\r]*\n\s*", text):
+        for line in block.split("\n"):
+            for w in re.findall(r"[^\x20\x09-\x0D]+", line.lower()):
+                run.append(w)
+                bare = w[:-1] if w[-1] in "\"'”’»)]" and len(w) > 1 else w
+                bare = bare[:-1] if bare[-1] in "\"'”’»)]" and len(bare) > 1 else bare
+                if bare[-1] in ".!?…。！？":
+                    out, run = [*out, tuple(run)], []
+            if lines and run:
+                out, run = [*out, tuple(run)], []
+        if run:
+            out, run = [*out, tuple(run)], []
+    return out
+
+
+def test_against_brute_force(spark):
+    """All runs of two sentences of a small table, in both forms, by a dictionary of whole runs: kept words are the same."""
+    from tagweave.llm import sentence_spans
+    from tests.conftest import SF
+    from tests.oracle import duck
+
+    docs = duck("SELECT doc_id, text FROM documents ORDER BY doc_id", SF)
+    gone: dict[int, set[int]] = {}
+    seen: dict[tuple, tuple] = {}
+    for i, t in zip(docs.doc_id, docs.text):
+        for lines in (True, False):
+            s, at = split(t, lines), 0
+            for a, b in zip(s, s[1:]):
+                run = (a, b) if len(a) and len(b) else None
+                here = (i, at)
+                whole = a + b
+                if seen.setdefault(whole, here) != here:
+                    gone.setdefault(i, set()).update(range(at, at + len(whole)))
+                at += len(a)
+                assert run
+    r = sentence_spans.remove_repeats(spark.read.parquet(f"{SF}/documents.parquet"), ["doc_id"]).toPandas().sort_values("doc_id")
+    for i, t, got in zip(docs.doc_id, docs.text, r.clean_text):
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        assert re.findall(r"[^\x20\x09-\x0D]+", got) == [x for k, x in enumerate(w) if k not in gone.get(i, ())], i
