@@ -1,6 +1,7 @@
 """Benchmark decontamination by templates: numbers, names and units become typed slots, windows of templates are joined
 by hash, and the slots of a match must be filled consistently. So a question with other numbers or names is found too.
-Windows with names are joined in a second form as well, with names as literal words, so that capitals do not matter.
+Windows with names are joined in a second form as well, with names as literal words, so that capitals do not matter;
+windows of hardly anything but numbers and units, whose template says too little, are joined word by word.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagweave.llm.letters import letter_table
-from tagweave.llm.shared import durable, map_arrow, slices, texts_of
+from tagweave.llm.shared import durable, map_arrow, new_path, slices, texts_of
 from tagweave.llm.text_arrays import mix, part_hash, signed, window_hash, words
 
 WINDOW = 8
@@ -82,10 +83,10 @@ def template(texts: list[str]):
 
 
 def _forms(texts: list[str]):
-    """(text index, the template's tokens and values, those with names as literals, whether a word is a name)."""
+    """(text index, the template's tokens and values, those with names as literals, those with all words as literals, whether a word is a name)."""
     doc, token, value, _, _, h = template(texts)
     name = token == NAME
-    return doc, ((token, value), (np.where(name, h, token), np.where(name, np.uint64(0), value))), name
+    return doc, ((token, value), (np.where(name, h, token), np.where(name, np.uint64(0), value)), (mix(h + np.uint64(1)), np.zeros(len(h), np.uint64))), name
 
 
 def _windows(batch: pa.RecordBatch, sizes: tuple, wanted: np.ndarray | None, keep: list[str]):
@@ -94,13 +95,14 @@ def _windows(batch: pa.RecordBatch, sizes: tuple, wanted: np.ndarray | None, kee
         names = np.concatenate([[0], np.cumsum(name)])
         count = np.bincount(doc, minlength=hi - lo)
         first = np.cumsum(count) - count
-        for n, (with_names, (token, value)) in product(sizes, enumerate(forms)):
+        for n, (form, (token, value)) in product(sizes, enumerate(forms)):
             h = window_hash(token, n, n)
             if not len(h):
                 continue
-            slot = np.concatenate([[0], np.cumsum(value > 0)])
-            ok = (doc[: len(h)] == doc[n - 1 :]) & (n - (slot[n : n + len(h)] - slot[: len(h)]) >= min(MIN_LITERALS, n))
-            if with_names:  # windows without names have one form
+            slot = np.concatenate([[0], np.cumsum(forms[min(form, 1)][1] > 0)])
+            told = n - (slot[n : n + len(h)] - slot[: len(h)]) >= min(MIN_LITERALS, n)
+            ok = (doc[: len(h)] == doc[n - 1 :]) & (~told if form == 2 else told)
+            if form == 1:  # windows without names have the first form alone
                 ok &= names[n : n + len(h)] > names[: len(h)]
             at = np.flatnonzero(ok)
             if wanted is not None and len(wanted):
@@ -135,8 +137,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_cov
 
     Items shorter than a window are matched whole. An item is found if windows at one offset, or at neighbouring ones (words
     put in or left out between them), cover at least min_cover of its words (and a whole window). Windows with a value of the
-    item that the document fills with several values do not count; different values may be filled with the same. Benchmark windows are sent to the tasks in blocks of at most max_sent hashes, with a pass over the
-    documents for each block; what passes is joined with the benchmark by hash. Null texts match nothing.
+    item that the document fills with several values do not count; different values may be filled with the same. Benchmark
+    windows are sent to the tasks in blocks of about max_sent hashes, one block at a time, with a pass over the documents
+    for each; what passes is appended to a table and joined with the benchmark by hash. Null texts match nothing; empty
+    tables give no rows.
     """
     items = map_arrow(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text"), _size, "item_id long, text string, size int").distinct()
     sizes = tuple(sorted({min(window, r["size"]) for r in items.select(F.least("size", F.lit(window)).alias("size")).distinct().collect() if r["size"]}))
@@ -145,11 +149,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_cov
     hashes = parts.select("hash").distinct()
     blocks = max(1, -(-hashes.count() // max_sent))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), "text")
-    found = None
+    path, spark = new_path(docs.sparkSession, "windows"), docs.sparkSession
     for k in range(blocks):
-        wanted = np.sort(np.array([r["hash"] for r in hashes.where(F.pmod("hash", F.lit(blocks)) == k).toLocalIterator()], np.int64).view(np.uint64))
-        own = _windowed(source, ["doc_id", "key"], sizes, wanted) if len(wanted) else _windowed(source.limit(0), ["doc_id", "key"], sizes or (window,), wanted)
-        found = own if found is None else found.unionAll(own)
+        wanted = np.sort(hashes.where(F.pmod("hash", F.lit(blocks)) == k).toPandas()["hash"].to_numpy(np.int64).view(np.uint64))
+        own = _windowed(source if len(wanted) else source.limit(0), ["doc_id", "key"], sizes or (window,), wanted)
+        own.write.mode("append").parquet(path)
+    found = spark.read.schema(own.schema).parquet(path)
     hit = durable(found.drop("size").distinct().join(parts, ["hash", "n"]).withColumn("shift", F.col("pos") - F.col("item_pos")).select("doc_id", "key", "item_id", "shift", "item_pos", "n", "size", "slots", "item_slots"), "hits")
     pair = ["doc_id", "key", "item_id"]
     # Offsets no further than a window from the next are neighbours.

@@ -41,3 +41,22 @@ def test_word_put_in(spark):
 
 def test_unlike_texts_stay_clean(spark):
     assert not found(spark, ITEM, ITEM.replace("120 km", "7 miles").replace("Anna walks", "Berta walks"))
+
+
+def test_items_of_numbers_and_names(spark):
+    item = "12 km 13 km 14 km 15 km 16 km 17 km"
+    assert found(spark, item, f"Table: {item} end")
+    assert not found(spark, item, f"Table: {item.replace('1', '2')} end")
+    names = "Anna Berta Clara Doris Emma Fiona Greta Hanna Ida"
+    assert found(spark, names, f"They are {names} here.")
+    assert not found(spark, names, "They are Xenia Yvonne Zoe Wanda Vera Uta Tina Sina Rita here.")
+
+
+def test_passes_over_the_documents(spark):
+    """Several blocks of hashes find what one finds."""
+    from tagweave.llm import decontaminate
+
+    bench = spark.createDataFrame([(i, f"we saw {' '.join(f'thing{i}x{k}' for k in range(12))} today") for i in range(9)], "item_id long, text string")
+    d = spark.createDataFrame([(i, f"a text: we saw {' '.join(f'thing{i}x{k}' for k in range(12))} today") for i in range(0, 20, 2)], "doc_id long, text string")
+    got = {r.doc_id: r.item_ids for r in decontaminate.contaminated(d, bench, max_sent=7).collect()}
+    assert got == {i: [i] if i < 9 else [] for i in range(0, 20, 2)}
