@@ -153,7 +153,8 @@ def identify(docs: DataFrame, model: Model, keep: list[str], penalty: float = PE
     """The columns `keep` of docs with lang_pred, score (share of letters in spans of that language) and lang_spans
     (language:start:end, character offsets in the lower-cased text).
 
-    A text that is null or has no letter gets `und`, score 0 and no spans. Ties go to the language first in order.
+    A text that is null or has no letter gets `und`, score 0 and no spans. Ties go to the language first in order. Repeated
+    rows are labelled alike, an empty table gives no rows, texts may have any length; `keep` must not name a result.
     """
     types = dict(docs.dtypes)
     schema = ", ".join(f"`{c}` {types[c]}" for c in keep) + ", lang_pred string, score double, lang_spans array<string>"

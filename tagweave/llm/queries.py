@@ -33,7 +33,7 @@ def op2_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", part_of_id(5) == 0)
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", F.coalesce(part_of_id(5) == 0, F.lit(False)))
     model = language.train(docs.where("not held_out and lang is not null"))
     return language.identify(docs.select("doc_id", "held_out", "text"), model, ["doc_id", "held_out"])
 

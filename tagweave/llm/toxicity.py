@@ -114,15 +114,17 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, factors: int = FACTORS, steps
 
 
 def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from (text, toxic) rows, of which at most about `sample` are used, chosen by a hash of the text.
+    """A model from (text, toxic) rows, of which at most about `sample` are used, chosen by a hash of all their columns: with
+    doc_id among them, copies of a text are drawn one by one, so that the bound holds for them too.
 
     The sample is fitted in one task, and its terms' weights come back as the model. Null labels teach nothing, null
-    texts are empty; without rows the model gives every text a score near 0.
+    texts are empty; without rows the model gives every text a score near 0. Rows repeated as a whole are drawn together.
     """
-    rows = labelled.where("toxic is not null").select("text", F.col("toxic").cast("int").alias("toxic"))
+    rows = labelled.where("toxic is not null")
     total = rows.count()
     if total > sample:
-        rows = rows.where(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1_000_000)) < int(1_000_000 * sample / total))
+        rows = rows.where(F.pmod(F.xxhash64(*labelled.columns, F.lit(3)), F.lit(1_000_000)) < int(1_000_000 * sample / total))
+    rows = rows.select("text", F.col("toxic").cast("int").alias("toxic"))
 
     def one(batches):
         got = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1)) for b in batches if b.num_rows]
@@ -177,7 +179,8 @@ def unpacked(model: tuple) -> Model:
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """docs (or its columns `keep`) with toxicity, 0 to 1. A null text scores as an empty one: by the bias alone."""
+    """docs (or its columns `keep`) with toxicity, 0 to 1. A null text scores as an empty one: by the bias alone. Repeated
+    rows score alike, an empty table gives no rows, texts may have any length, and a column toxicity is replaced."""
     keep = keep or docs.columns
     names = [c for c in keep if c != "toxicity"]
     types = dict(docs.dtypes)

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import re
 import struct
 import zlib
@@ -204,15 +205,74 @@ def test_seek_reads_single_documents(tmp_path):
         ShardReader(uri).ids(0)
 
 
-def test_pipeline(spark, docs):
+def test_toxicity_of_held_out_documents(spark):
+    r = QUERIES["op10_toxicity"](spark, SF.replace("0.001", "0.01")).toPandas().merge(duck("SELECT doc_id, toxic FROM labels", SF.replace("0.001", "0.01")), on="doc_id")
+    assert [zlib.crc32(str(i).encode()) % 4 == 2 for i in r.doc_id] == list(r.held_out)
+    r = r[r.held_out]
+    assert r.predicted[r.toxic == 1].mean() >= 0.5 and r.predicted[r.toxic == 0].mean() <= 0.02
+
+
+def test_viterbi_against_all_paths():
+    from tagweave.llm.language import viterbi
+
+    rng = np.random.default_rng(3)
+    for n, k, penalty in ((1, 3, 1.0), (5, 2, 0.7), (6, 3, 1.5), (4, 3, 0.0)):
+        score = rng.normal(size=(n + 2, k))
+        got = viterbi(score, np.array([0, n]), np.array([n, 2]), penalty)
+        worth = lambda path, s: sum(s[i, x] for i, x in enumerate(path)) - penalty * sum(a != b for a, b in zip(path, path[1:]))
+        for own, s in ((got[:n], score[:n]), (got[n:], score[n:])):
+            assert worth(own, s) == pytest.approx(max(worth(p, s) for p in itertools.product(range(k), repeat=len(s))))
+
+
+def test_pipeline(spark, docs, tmp_path):
+    """Each stage against plain Python on what the one before kept."""
+    from tokenizers import Tokenizer
+
     import corpus_pipeline
+    from tagweave.llm import toxicity
 
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "minhash", "decontamination", "mixing", "token_frames"]
-    left = spark.read.parquet(f"{SF}/documents.parquet")
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        left = stage(spark, left, SF)
+    stage, left = dict(corpus_pipeline.STAGES), spark.read.parquet(f"{SF}/documents.parquet")
+    frames = {}
+    for name in list(stage)[:-1]:
+        stage[name](spark, left, SF).write.parquet(f"{tmp_path}/{name}")
+        left = spark.read.parquet(f"{tmp_path}/{name}")
         assert left.columns == list(docs.columns)
-    assert corpus_pipeline.run(spark, SF).count() > 0
+        frames[name] = left.toPandas().sort_values("doc_id", kind="stable").reset_index(drop=True)
+    model = toxicity.train(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").join(spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "toxic"), "doc_id"))
+    assert list(frames["toxicity"].doc_id) == [i for i, t in zip(docs.doc_id, docs.text) if toxicity.scores([t], model)[0] < 0.3]
+    kept, texts = [], dict(zip(frames["toxicity"].doc_id, map(shingles, frames["toxicity"].text)))
+    group = {i: i for i in texts}
+    for a, b in itertools.combinations(texts, 2):
+        if len(texts[a].keys() & texts[b].keys()) > 0.4 * max(len(texts[a]), len(texts[b])) and similarity(texts[a], texts[b]) >= 0.8 - 1e-9:
+            old, new = max(group[a], group[b]), min(group[a], group[b])
+            group = {i: new if g == old else g for i, g in group.items()}
+    kept = sorted(set(group.values()))
+    assert list(frames["minhash"].doc_id) == kept
+    items = duck("SELECT text FROM benchmark", SF).text
+    assert list(frames["decontamination"].doc_id) == [i for i, t in zip(frames["minhash"].doc_id, frames["minhash"].text) if not any(b in t for b in items)]
+    words_of = lambda f: sum(len(re.findall(r"[^\x20\x09-\x0D]+", t)) for t in f.text)
+    assert words_of(frames["mixing"]) == pytest.approx(words_of(frames["decontamination"]), rel=0.02)
+    own = dict(zip(frames["decontamination"].doc_id, frames["decontamination"].text))
+    assert all(set(re.findall(r"[^\x20\x09-\x0D]+", t)) <= set(re.findall(r"[^\x20\x09-\x0D]+", own[i])) for i, t in zip(frames["mixing"].doc_id, frames["mixing"].text))
+    got = stage["token_frames"](spark, left, SF).toPandas().sort_values("start", kind="stable")
+    t, start = Tokenizer.from_file(tokenizer_path()), 0
+    for (_, text), row in zip(sorted(zip(frames["mixing"].doc_id, frames["mixing"].text), key=lambda x: (x[0], x[1].encode())), got.itertuples()):
+        ids = [*t.encode(text, add_special_tokens=False).ids, 1]
+        assert (row.start, row.n_tokens, row.ids_crc32) == (start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
+        start += len(ids)
+    assert len(got) == len(frames["mixing"])
+
+
+@pytest.mark.parametrize("kind", ["edges", "empty"])
+def test_pipeline_edges(spark, tmp_path, kind):
+    import corpus_pipeline
+
+    spark.createDataFrame(ROWS if kind == "edges" else [], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (4, 0, 0), (None, None, None)] if kind == "edges" else [], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, None), (2, "a b c d e f g h i j")] if kind == "edges" else [], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert bool(got) == (kind == "edges")
 
 
 ROWS = [(1, None, None, None, 0), (2, "", "s", "en", 0), (None, "a b", None, "en", 3), (3, "a b", "s", None, 3), (3, "a b", "s", None, 3), (4, "word " * 30_000, "s", "en", 0), (5, "x" * 200_000, None, "fr", 0), (6, " \n\t ", "s", "en", 0), (7, "He said it. \n" * 50, "t", "en", 0)]
@@ -230,16 +290,17 @@ def test_edges(spark, rows):
     n = len(rows)
     bench = spark.createDataFrame([(1, None), (None, "a b"), (2, "a b c d e f g h i j")], "item_id long, text string")
     model = toxicity.train(d.select("text", F.lit(1).alias("toxic")).limit(0))
-    counts = {
-        "quality": quality.clean_lines(d).count(), "tokens": token_frames.tokenised(spark, d, tokenizer_path()).count(),
-        "language": language.identify(d, language.train(d), ["doc_id"]).count(), "near": near_dup.near_duplicates(d).count(),
-        "private": privacy.sanitise(d).count(), "mix": mixing.mixed_counts(d).count(),
-        "decontaminate": decontaminate.contaminated(d, bench).count(), "repeats": sentence_spans.remove_repeats(d).count(), "toxic": toxicity.score(d, model).count(),
-    }
+    counts = {name: len(df.collect()) for name, df in {
+        "quality": quality.clean_lines(d), "tokens": token_frames.tokenised(spark, d, tokenizer_path()),
+        "language": language.identify(d, language.train(d), ["doc_id"]), "near": near_dup.near_duplicates(d),
+        "private": privacy.sanitise(d), "mix": mixing.mixed_counts(d),
+        "decontaminate": decontaminate.contaminated(d, bench), "repeats": sentence_spans.remove_repeats(d), "toxic": toxicity.score(d, model),
+    }.items()}
     assert counts == dict.fromkeys(counts, n)
     assert decontaminate.contaminated(d, bench.limit(0)).where("contaminated").count() == 0
-    assert near_dup.keep_one(d).count() == (6 if n else 0)
-    assert mixing.mix_documents(d).columns == d.columns
+    assert len(near_dup.keep_one(d).collect()) == (6 if n else 0)
+    mixed = mixing.mix_documents(d)
+    assert mixed.columns == d.columns and bool(mixed.collect()) == bool(n)
     if n:
         r = {x.doc_id: x for x in quality.clean_lines(d).collect()}
         assert r[1].n_words == 0 and r[1].base_failed and r[4].n_repeat_words == 30_000
