@@ -108,7 +108,8 @@ def disclosing_terms(based: DataFrame, min_texts: int = MIN_TEXTS, share: float
     near = based.where(F.size("base_") > 0).dropDuplicates(["key"]).select("key", F.array_distinct(F.flatten(F.transform("base_", _levels))).alias("entities"), _terms(F.col("t_")).alias("terms"))
     near = durable(near, "contexts")
     spread = near.select(F.explode("entities").alias("entity"), "terms")
-    entities = spread.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= min_texts)
+    # Written out, so that the joins of an entity of very many texts, such as a kind, can be split.
+    entities = durable(spread.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= min_texts), "entities")
     shared = spread.join(entities, "entity", "left_semi").select("entity", F.explode("terms").alias("term"))
     both = durable(shared.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= min_texts), "cooccurrence")
     corpus = based.select("key", "t_").dropDuplicates(["key"]).select(F.explode(F.concat(_terms(F.col("t_")), F.array(F.lit("")))).alias("term"))  # "" counts the texts
@@ -119,7 +120,7 @@ def disclosing_terms(based: DataFrame, min_texts: int = MIN_TEXTS, share: float
     content = F.log2(n / F.col("n_entity"))
     told = both.join(entities, "entity").join(df, "term").withColumn("pmi", pmi).where((content > 0) & (F.col("pmi") >= share * content))
     out = durable(told.groupBy("term").agg(F.count("*").alias("reveals"), _class_of(F.max_by("entity", F.struct("pmi", "entity"))).alias("class")), "disclosing")
-    discard(near, both, df)
+    discard(near, entities, both, df)
     return out
 
 
