@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,15 +23,20 @@ MORPH = [
 ]
 
 
+#: Decimal digits of other scripts than ASCII's.
+DIGITS = [c for c in map(chr, range(128, 0x10000)) if unicodedata.category(c) == "Nd"]
+
+
 def parse_price(text: Column) -> Column:
-    """The least of the numbers in a text, commas in them left out; null without one."""
-    numbers = F.transform(F.regexp_extract_all(text, F.lit(r"[0-9][0-9,]*"), F.lit(0)), lambda x: F.regexp_replace(x, ",", "").try_cast("bigint"))
+    """The least of the numbers in a text, in any script's digits, commas in them left out; null without one."""
+    plain = F.translate(text, "".join(DIGITS), "".join(str(unicodedata.decimal(c)) for c in DIGITS))
+    numbers = F.transform(F.regexp_extract_all(plain, F.lit(r"[0-9][0-9,]*"), F.lit(0)), lambda x: F.regexp_replace(x, ",", "").try_cast("bigint"))
     return F.array_min(numbers)
 
 
 def tag_names(tags: Column) -> Column:
-    """Names of an array of structs, blank ones left out."""
-    return F.filter(F.transform(tags, lambda t: t["name"]), lambda n: n.isNotNull() & (F.btrim(n) != ""))
+    """Names of an array of structs, missing and empty ones left out."""
+    return F.filter(F.transform(tags, lambda t: t["name"]), lambda n: n.isNotNull() & (n != ""))
 
 
 def strip_desc(text: Column, cap: int = DESCRIPTION_CAP) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tagweave.operators.vectors import to_vector
+
 MAX_PAGES = 40
 REFRESH = 150
 
@@ -109,23 +111,56 @@ def update_report(new: DataFrame, tagged: DataFrame, refreshed: DataFrame, gone:
     return out
 
 
+def changes(new: DataFrame, refreshed: DataFrame, gone: DataFrame) -> DataFrame:
+    """One row `changed`: whether any of the three has a row; at most one of each is read."""
+    one = lambda df: df.select(F.lit(1).alias("x")).limit(1)
+    return one(new).unionAll(one(refreshed)).unionAll(one(gone)).agg((F.count("*") > 0).alias("changed"))
+
+
 def has_changes(new: DataFrame, refreshed: DataFrame, gone: DataFrame) -> bool:
-    return any(df.take(1) for df in (new, refreshed, gone))
+    return changes(new, refreshed, gone).first()["changed"]
+
+
+def run_update(catalog: DataFrame, hair: DataFrame, full: DataFrame, stats: DataFrame, listing: DataFrame, scores: DataFrame, fetched: DataFrame, vocab: DataFrame, batch: int = REFRESH, max_pages: int = MAX_PAGES) -> dict[str, DataFrame]:
+    """The weekly update: catalog, hair, full and stats as they are after it, and its report.
+
+    New items of the listing (up to the first page with nothing new) come in with vectors cut from their scores and fetched
+    statistics. The `batch` items of the old catalog that were checked longest ago take fetched statistics, or go from all
+    tables if they are gone. fetched: item_id, status (200: found, 404: gone, others: failed) and the columns of stats.
+    """
+    new = new_items(listing, catalog, max_pages)
+    found, gone = fetched.where("status = 200"), fetched.where("status = 404").select("item_id")
+    stale = refresh_batch(catalog, stats, batch).select("item_id")
+    pruned = stale.join(gone, "item_id", "left_semi")
+    tagged, refreshed = new.join(found, "item_id", "left_semi"), stale.join(found, "item_id", "left_semi")
+    own = scores.join(new.select("item_id"), "item_id", "left_semi")
+    fresh = found.join(new.select("item_id").unionAll(stale), "item_id", "left_semi").select(*stats.columns)
+    out = {
+        "catalog": prune(augment(catalog.select("item_id"), new.select("item_id")), pruned),
+        "hair": prune(hair.unionByName(to_vector(own, vocab)), pruned), "full": prune(full.unionByName(to_vector(own)), pruned),
+        "stats": prune(upsert(stats, fresh), pruned),
+    }
+    return out | {"report": update_report(new, tagged, refreshed, pruned, out["catalog"])}
 
 
-#: Path prefixes left out where a site states none.
-DEFAULT_DISALLOW = ("/cart", "/login")
+#: Path prefixes left out where a site states none.
+DEFAULT_DISALLOW = ("/terms", "/carts", "/cart")
 
 
 def robots_rules(lines: DataFrame) -> DataFrame:
-    """(prefix) of the groups for all agents; lines: (line_no, line) of one site's short text."""
-    clean = lines.select("line_no", F.btrim(F.regexp_replace("line", "#.*$", "")).alias("l"))
-    parts = clean.select("line_no", F.lower(F.btrim(F.substring_index("l", ":", 1))).alias("k"), F.btrim(F.expr("substring(l, instr(l, ':') + 1)")).alias("v")).where(F.col("k").isin("user-agent", "disallow"))
-    agent = F.last(F.when(F.col("k") == "user-agent", F.col("v")), ignorenulls=True).over(Window.orderBy("line_no"))
-    return parts.withColumn("agent", agent).where("k = 'disallow' and agent = '*' and v <> ''").select(F.col("v").alias("prefix")).distinct()
+    """(site, prefix) of the groups for all agents; lines: (site, line_no, line) of the sites' short texts."""
+    clean = lines.select("site", "line_no", F.btrim(F.regexp_replace("line", "#.*$", "")).alias("l")).where("instr(l, ':') > 0")
+    parts = clean.select("site", "line_no", F.lower(F.btrim(F.substring_index("l", ":", 1))).alias("k"), F.btrim(F.expr("substring(l, instr(l, ':') + 1)")).alias("v")).where(F.col("k").isin("user-agent", "disallow"))
+    agent = F.last(F.when(F.col("k") == "user-agent", F.col("v")), ignorenulls=True).over(Window.partitionBy("site").orderBy("line_no"))
+    return parts.withColumn("agent", agent).where("k = 'disallow' and agent = '*' and v <> ''").select("site", F.col("v").alias("prefix")).distinct()
 
 
-def robots_filter(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """urls whose path starts with no prefix. The rules of a site are a short list."""
+def robots_filter(urls: DataFrame, rules: DataFrame, default: tuple = DEFAULT_DISALLOW) -> DataFrame:
+    """urls (site, url) whose path starts with no prefix of their site; sites without a rule have the default ones."""
     path = F.coalesce(F.expr("try_parse_url(url, 'PATH')"), F.lit(""))
-    return urls.withColumn("path_", path).join(F.broadcast(rules), F.col("path_").startswith(F.col("prefix")), "left_anti").drop("path_")
+    own = urls.withColumn("path_", path).join(rules.select("site", F.lit(True).alias("ruled_")).distinct(), "site", "left")
+    usual = F.lit(False)
+    for prefix in default:
+        usual = usual | F.col("path_").startswith(prefix)
+    own = own.where(F.col("ruled_").isNotNull() | ~usual)
+    return own.join(rules, ["site"], "left").groupBy(*urls.columns).agg(F.max(F.coalesce(F.col("path_").startswith(F.col("prefix")), F.lit(False))).alias("no_")).where("not no_").select(*urls.columns)

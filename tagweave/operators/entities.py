@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagweave.functions.dictionary import SEED_NAMES
+from tagweave.operators.resolve import shortest_within
+
 #: Support suffixes, name forms and the markers of a list of names.
 SUFFIX = "(対応版|専用|対応|向け|用)$"
 KANA = "[ぁ-んァ-ヶ一-龠]{2,12}"
@@ -12,16 +15,17 @@ LATIN = "[A-Za-z][A-Za-z0-9_]{1,14}"
 MARKER = r"(?i)(?:\d+\s*(?:体|アバター|avatars?)\s*対応|対応アバター|Supported[^:]*:)([^\n]{0,300})"
 #: Words that look like names but are none.
 STOP = (
-    "vrchat vrc vrc想定モデル 3d 3dモデル 3d素材 髪 髪型 ヘア ヘアー へあ hair アバター avatar ロング ショート ボブ ツインテール ポニーテール "
-    "ウルフ ウルフカット セール sale liltoon modular modularavatar ma pb physbone quest pc オリジナル オリジナル3dモデル 改変 衣装 アクセサリー "
-    "アクセサリ vroid unity セール中 無料 free vtuber 配信用 アバター用 女性 男性 女の子 男の子 ユニセックス 中性的 髪の毛 3dモデル素材 prefab "
-    "material texture package shader wear jp zh en discord psd png めがね マスク マップ 材質 材质 贴图 预制件 プレハブ 本体 利用規約 使用条款 "
-    "お問い合わせ おまけ 最新版推奨 最新版 改変前提"
-).split()
+    "vrchat", "vrc", "vrc想定モデル", "3d", "3dモデル", "3d素材", "髪", "髪型", "ヘア", "ヘアー", "へあ", "hair", "アバター", "avatar", "ロング", "ショート", "ボブ",
+    "ツインテール", "ポニーテール", "ウルフ", "ウルフカット", "セール", "sale", "liltoon", "modular", "modularavatar", "ma", "pb", "physbone", "quest", "pc",
+    "オリジナル", "オリジナル3dモデル", "改変", "衣装", "アクセサリー", "アクセサリ", "vroid", "unity", "セール中", "無料", "free", "vtuber", "配信用", "アバター用", "女性", "男性",
+    "女の子", "男の子", "ユニセックス", "中性的", "髪の毛", "3dモデル素材", "prefab", "material", "texture", "package", "shader", "wear", "jp", "zh", "en",
+    "discord", "psd", "png", "めがね", "マスク", "マップ", "材質", "材质", "贴图", "预制件", "プレハブ", "本体", "利用規約", "使用条款", "お問い合わせ", "おまけ", "最新版推奨", "最新版",
+    "改変前提",
+)
 
 
 def is_nameish(name: Column) -> Column:
-    return (F.length(name) > 1) & ~F.lower(name).isin(STOP)
+    return (F.length(name) > 1) & ~F.lower(name).isin(*STOP)
 
 
 def cleaned(token: Column) -> Column:
@@ -44,6 +48,11 @@ def listed_names(meta: DataFrame, strip_lead: bool = False) -> DataFrame:
     return part.select("item_id", cleaned(raw).alias("name")).where(is_nameish(F.col("name"))).distinct()
 
 
+def seed_names(spark: SparkSession) -> DataFrame:
+    """(surface, canonical): the seed names, by their surface forms and by themselves."""
+    return spark.createDataFrame(list({**SEED_NAMES, **{v.lower(): v for v in SEED_NAMES.values()}}.items()), "surface string, canonical string")
+
+
 def raw_names(meta: DataFrame) -> DataFrame:
     return suffix_names(meta).unionAll(listed_names(meta)).distinct()
 
@@ -63,7 +72,7 @@ def mine_aliases(meta: DataFrame, raw: DataFrame, seeds: DataFrame) -> DataFrame
         return meta.select("ord", text.alias("text")).select("ord", F.posexplode(both).alias("nth", "p")).select(F.col("p.kana").alias("kana"), F.col("p.latin").alias("latin"), F.struct("ord", F.lit(kind).alias("kind"), "nth").alias("at"))
 
     found = pairs(left, 1, 2, 1).unionAll(pairs(right, 2, 1, 2)).groupBy("kana", "latin").agg(F.min("at").alias("at"))
-    found = found.where(~F.lower("kana").isin(STOP) & ~F.lower("latin").isin(STOP)).withColumn("low", F.lower("latin"))
+    found = found.where(~F.lower("kana").isin(*STOP) & ~F.lower("latin").isin(*STOP)).withColumn("low", F.lower("latin"))
     names = raw.select("name").distinct()
     flag = lambda df, c, n: df.join(names.select(F.col("name").alias(c)).withColumn(n, F.lit(True)), c, "left")
     known = flag(flag(found, "kana", "k_"), "latin", "l_").join(seeds.select(F.col("surface").alias("low"), F.lit(True).alias("s_")).distinct(), "low", "left")
@@ -100,13 +109,12 @@ def resolve_avatars(texts: DataFrame, aliases: DataFrame, known: DataFrame) -> D
     """(text, name): alias of the lower-cased text, else the text if known, else the shortest known name that contains it
     or is contained in it, case aside, ties by name; else null. Blank texts resolve to null.
 
-    Distinct texts only; the nested loop sees those that equality leaves open.
+    Distinct texts only; those that equality leaves open are cut into their parts.
     """
     t = texts.select("text").distinct().withColumn("t", F.btrim("text")).withColumn("low", F.lower("t"))
     known = known.select("name").distinct()
     step = t.join(aliases.select(F.col("surface").alias("low"), "canonical"), "low", "left").join(known.select(F.col("name").alias("t"), F.lit(True).alias("same")), "t", "left")
     step = step.withColumn("hit", F.when(F.coalesce(F.col("t"), F.lit("")) == "", None).otherwise(F.coalesce("canonical", F.when(F.col("same"), F.col("t")))))
-    open_ = step.where("hit is null and t <> ''").select("text", "low")
-    names = known.withColumn("nl", F.lower("name"))
-    near = open_.join(names, F.col("low").contains(F.col("nl")) | F.col("nl").contains(F.col("low"))).groupBy("text").agg(F.min(F.struct(F.length("name"), "name")).alias("m"))
-    return step.select("text", "hit").join(near, "text", "left").select("text", F.coalesce("hit", "m.name").alias("name"))
+    open_ = step.where("hit is null and t <> ''").select(F.col("text").alias("token"), F.col("low").alias("form"))
+    near = shortest_within(open_, known.select(F.col("name").alias("term"), F.lower("name").alias("form"))).select(F.col("token").alias("text"), F.col("term").alias("near"))
+    return step.select("text", "hit").join(near, "text", "left").select("text", F.coalesce("hit", "near").alias("name"))

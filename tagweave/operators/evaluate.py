@@ -12,9 +12,9 @@ def stem(file: Column) -> Column:
     return F.regexp_replace(file, r"\.[^.]*$", "")
 
 
-def answer_id(file: Column) -> Column:
-    """The file's stem up to its first underscore."""
-    return F.substring_index(stem(file), "_", 1)
+def answer_id(file: Column, cut_dot: bool = False) -> Column:
+    """The file's stem up to its first underscore; with cut_dot, the name up to its first underscore or dot."""
+    return F.substring_index(F.substring_index(file, "_", 1), ".", 1) if cut_dot else F.substring_index(stem(file), "_", 1)
 
 
 def is_distractor(file: Column) -> Column:

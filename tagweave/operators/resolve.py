@@ -5,9 +5,10 @@ A dictionary is three tables: synonyms (surface, tag, ord), combos (prefix, base
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagweave.functions.dictionary import COMBOS, SYNONYMS, VOCAB
 from tagweave.functions.fields import MORPH, normalize_ja
 
 
@@ -16,6 +17,30 @@ def synonym_index(synonyms: DataFrame, morph: list = MORPH) -> DataFrame:
     return synonyms.withColumn("norm", normalize_ja(F.col("surface"), morph)).groupBy("norm").agg(F.max_by("tag", "ord").alias("tag"))
 
 
+def built_in(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(vocabulary, synonyms, combos) of the built-in dictionary."""
+    return (
+        spark.createDataFrame([(v,) for v in VOCAB], "tag string"),
+        spark.createDataFrame([(s, t, i) for i, (s, t) in enumerate(SYNONYMS.items())], "surface string, tag string, ord long"),
+        spark.createDataFrame([(*k, t) for k, t in COMBOS.items()], "prefix string, base string, tag string"),
+    )
+
+
+OVERLAY = "synonyms map<string, string>, morph_canon array<array<string>>, prefix_combos map<string, string>"
+
+
+def overlay_tables(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(synonyms (surface, tag, ord), morph (src, dst, ord), combos (key, tag)) of overlay files (json), one row each.
+
+    Text that can't be read, missing sections and null entries give no rows; ord is the place in its file's section.
+    """
+    r = files.select(F.from_json("json", OVERLAY).alias("r"))
+    synonyms = r.select(F.posexplode(F.map_entries("r.synonyms")).alias("ord", "e")).select(F.col("e.key").alias("surface"), F.col("e.value").alias("tag"), "ord").where("tag is not null")
+    morph = r.select(F.posexplode("r.morph_canon").alias("ord", "p")).select(F.get("p", F.lit(0)).alias("src"), F.get("p", F.lit(1)).alias("dst"), "ord", F.size("p").alias("parts"))
+    combos = r.select(F.explode(F.map_entries("r.prefix_combos")).alias("e")).select(F.col("e.key").alias("key"), F.col("e.value").alias("tag")).where("tag is not null")
+    return synonyms, morph, combos
+
+
 def merge_synonyms(base: DataFrame, overlay: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(merged synonyms, one row n: entries that the overlay changed or added)."""
     o = overlay.select("surface", F.col("tag").alias("new"), F.col("ord").alias("new_ord"))
@@ -24,11 +49,48 @@ def merge_synonyms(base: DataFrame, overlay: DataFrame) -> tuple[DataFrame, Data
     return merged, both.agg(F.count_if(F.col("new").isNotNull() & ~F.col("new").eqNullSafe(F.col("tag"))).alias("n"))
 
 
-def lint_dict(synonyms: DataFrame, combos: DataFrame, vocab: DataFrame) -> DataFrame:
-    """(kind, entry, tag) of targets that the vocabulary lacks."""
+def merge_combos(base: DataFrame, overlay: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(merged combos (prefix, base, tag), one row n: changed or added). overlay: (key, tag) with key `prefix|base`; keys
+    without the separator are left out."""
+    o = overlay.where("instr(key, '|') > 0").select(F.substring_index("key", "|", 1).alias("prefix"), F.expr("substring(key, instr(key, '|') + 1)").alias("base"), F.col("tag").alias("new"))
+    both = base.join(o, ["prefix", "base"], "full_outer")
+    changed = both.agg(F.count_if(F.col("new").isNotNull() & ~F.col("new").eqNullSafe(F.col("tag"))).alias("n"))
+    return both.select("prefix", "base", F.coalesce("new", "tag").alias("tag")), changed
+
+
+def merge_morph(base: DataFrame, overlay: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(merged pairs (src, dst, ord), one row n: pairs added). New pairs come after all others, in the overlay's order."""
+    new = overlay.where("parts = 2 and src is not null and dst is not null").groupBy("src", "dst").agg(F.min("ord").alias("ord")).join(base, ["src", "dst"], "left_anti")
+    return base.select("src", "dst", "ord").unionAll(new.select("src", "dst", F.col("ord") + 1_000_000)), new.agg(F.count("*").alias("n"))
+
+
+def lint_dict(synonyms: DataFrame, combos: DataFrame, vocab: DataFrame, keys: DataFrame | None = None, morph: DataFrame | None = None) -> DataFrame:
+    """(kind, entry, tag) of targets that the vocabulary lacks; of overlay keys (key, tag) without a separator (`key`), and of
+    replacements (src, parts) that are no pairs (`pair`)."""
     s = synonyms.select(F.lit("synonym").alias("kind"), F.col("surface").alias("entry"), "tag")
     c = combos.select(F.lit("combo").alias("kind"), F.concat_ws("|", "prefix", "base").alias("entry"), "tag")
-    return s.unionAll(c).join(vocab.select("tag"), "tag", "left_anti").select("kind", "entry", "tag")
+    out = s.unionAll(c).join(vocab.select("tag"), "tag", "left_anti").select("kind", "entry", "tag")
+    if keys is not None:
+        out = out.unionAll(keys.where("instr(key, '|') = 0").select(F.lit("key"), "key", "tag"))
+    if morph is not None:
+        out = out.unionAll(morph.where("parts <> 2").select(F.lit("pair"), "src", F.lit(None).cast("string")))
+    return out
+
+
+def shortest_within(tokens: DataFrame, terms: DataFrame) -> DataFrame:
+    """(token, term): the shortest term that contains the token or that it contains, ties by name; both in column `form`.
+
+    A term within a token equals one of its substrings, and a token within a term one of the term's: both are equality
+    joins. Forms are words or names, so each has few substrings; none meets all others.
+    """
+    def parts(df: DataFrame, keep: str) -> DataFrame:
+        cut = F.flatten(F.transform(F.sequence(F.lit(1), F.length("form")), lambda i: F.transform(F.sequence(F.lit(1), F.length("form") - i + 1), lambda n: F.substring(F.col("form"), i, n))))
+        return df.where("form <> ''").select(keep, F.explode(F.array_distinct(cut)).alias("form"))
+
+    term = terms.select("term", "form").distinct()
+    within = parts(tokens.select("token", "form"), "token").join(term, "form").select("token", "term")
+    around = parts(term, "term").join(tokens.where("form <> ''").select("token", "form"), "form").select("token", "term")
+    return within.unionAll(around).groupBy("token").agg(F.min(F.struct(F.length("term"), "term")).alias("m")).select("token", F.col("m.term").alias("term"))
 
 
 def resolve_tags(tokens: DataFrame, vocab: DataFrame, synonyms: DataFrame, combos: DataFrame, morph: list = MORPH) -> DataFrame:
@@ -36,7 +98,8 @@ def resolve_tags(tokens: DataFrame, vocab: DataFrame, synonyms: DataFrame, combo
     the rest's own tag), blanks and hyphens as underscores, then the shortest tag that contains the form or is contained
     in it, ties by name; else null.
 
-    Each stage is an equality join; only tokens that all of them leave open meet the vocabulary in a nested loop.
+    Each stage is an equality join, prefixes by the token's own; only tokens that all other stages leave open are cut into
+    their parts.
     """
     vocab = vocab.select("tag").distinct()
     index = synonym_index(synonyms, morph)
@@ -46,14 +109,15 @@ def resolve_tags(tokens: DataFrame, vocab: DataFrame, synonyms: DataFrame, combo
     t = t.join(vocab.select(F.col("tag").alias("t"), F.col("tag").alias("exact")), "t", "left").join(last.select(F.col("surface").alias("t"), "raw"), "t", "left")
     t = t.join(index.select("norm", F.col("tag").alias("by_norm")), "norm", "left")
     prefixes = combos.select("prefix").distinct()
-    rest = t.select("token", "norm").join(prefixes, F.col("norm").startswith(F.col("prefix")) & (F.length("norm") > F.length("prefix")))
+    own = F.transform(F.sequence(F.lit(1), F.length("norm") - 1), lambda n: F.substring(F.col("norm"), F.lit(1), n))
+    rest = t.where("length(norm) > 1").select("token", "norm", F.explode(own).alias("prefix")).join(prefixes, "prefix")
     rest = rest.withColumn("rest", F.expr("substring(norm, length(prefix) + 1)")).join(index.select(F.col("norm").alias("rest"), F.col("tag").alias("base")), "rest")
     rest = rest.join(combos.withColumnRenamed("tag", "made"), ["prefix", "base"], "left").groupBy("token").agg(F.max(F.struct(F.length("prefix"), F.coalesce("made", "base").alias("tag"))).alias("m")).select("token", F.col("m.tag").alias("composed"))
     t = t.join(rest, "token", "left").join(vocab.select(F.col("tag").alias("us"), F.col("tag").alias("by_us")), "us", "left")
     t = t.withColumn("hit", F.when(F.col("t") == "", None).otherwise(F.coalesce("exact", "raw", "by_norm", "composed", "by_us")))
     open_ = t.where("hit is null and us <> ''").select("token", "us")
-    near = open_.join(vocab, F.col("tag").contains(F.col("us")) | F.col("us").contains(F.col("tag"))).groupBy("token").agg(F.min(F.struct(F.length("tag"), "tag")).alias("m"))
-    return t.select("token", "hit").join(near, "token", "left").select("token", F.coalesce("hit", "m.tag").alias("tag"))
+    near = shortest_within(open_.select("token", F.col("us").alias("form")), vocab.select(F.col("tag").alias("term"), F.col("tag").alias("form"))).withColumnRenamed("term", "near")
+    return t.select("token", "hit").join(near, "token", "left").select("token", F.coalesce("hit", "near").alias("tag"))
 
 
 def resolve_lists(requests: DataFrame, resolved: DataFrame) -> DataFrame:

@@ -55,7 +55,7 @@ def aggregate_images(img_tags: DataFrame, images: DataFrame, how: str) -> DataFr
         out = ranked.where("(n_images = 1 and r = 1) or (n_images > 1 and r = 2)").select("item_id", "tag", "conf")
     else:
         raise ValueError(how)
-    return out.where(F.col("conf") >= EPS).select("item_id", "tag", F.round("conf", 4).alias("conf"))
+    return out.where(F.col("conf") >= EPS).select("item_id", "tag", F.round(F.col("conf").cast("decimal(18,9)"), 4).cast("double").alias("conf"))
 
 
 def with_fallback(agg: DataFrame, images: DataFrame, single: DataFrame) -> DataFrame:
@@ -78,8 +78,8 @@ def idf(df: DataFrame, items: DataFrame) -> DataFrame:
 def normalize(vectors: DataFrame, weights: DataFrame | None = None, key: str = "item_id") -> DataFrame:
     """(key, tag, w): weighted and of length one; a zero vector stays zero. Tags without a weight drop out."""
     v = vectors.select(key, "tag", "conf") if weights is None else vectors.join(weights, "tag").select(key, "tag", (F.col("conf") * F.col("idf")).alias("conf"))
-    norm = v.groupBy(key).agg(F.sqrt(F.sum(F.col("conf") * F.col("conf"))).alias("norm"))
-    return v.join(norm, key).select(key, "tag", F.when(F.col("norm") > 0, F.col("conf") / F.col("norm")).otherwise(0.0).alias("w"))
+    norm = F.sqrt(F.sum(F.col("conf") * F.col("conf")).over(Window.partitionBy(key)))
+    return v.withColumn("norm", norm).select(key, "tag", F.when(F.col("norm") > 0, F.col("conf") / F.col("norm")).otherwise(0.0).alias("w"))
 
 
 def idf_extremes(weights: DataFrame, n: int = 5) -> DataFrame:
@@ -126,6 +126,12 @@ def tag_coverage(vectors: DataFrame, added: DataFrame) -> DataFrame:
     return added.select("tag").join(seen, "tag", "left").select("tag", F.coalesce("n", F.lit(0)).cast("long").alias("n_items"))
 
 
+def is_vocab_tag(tags: DataFrame, vocab: DataFrame) -> DataFrame:
+    """tags (any column tag) with is_vocab: whether the vocabulary has the tag."""
+    known = vocab.select("tag").distinct().withColumn("is_vocab", F.lit(True))
+    return tags.join(known, "tag", "left").withColumn("is_vocab", F.coalesce("is_vocab", F.lit(False)))
+
+
 def searchable(items: DataFrame, catalog: DataFrame) -> DataFrame:
     return items.join(catalog.select("item_id"), "item_id", "left_semi")
 

@@ -12,24 +12,35 @@ def newest(rows: DataFrame, order: list[str], key: str = "item_id") -> DataFrame
     return rows.groupBy(key).agg(F.max(F.struct(*order, *others)).alias("m")).select(key, "m.*").select(*rows.columns)
 
 
-def version_path(sink: str, batch: int) -> str:
-    return f"{sink}/version={batch}"
-
-
 def stream_update(spark: SparkSession, source: str, schema: str, sink: str, checkpoint: str, order: list[str], files_per_batch: int = 1) -> int:
-    """Read what has arrived under source and write the updated snapshot as a new version; return the last version or -1.
+    """Read what has arrived under source and write each batch's newest rows as a part of the snapshot; return the number of
+    the last part, -1 without any.
 
-    A version's number is its batch, so a batch that runs again overwrites its own result from the version before it.
+    A part's number is its batch, so a batch that runs again overwrites its own result; no batch reads or rewrites others.
     """
-    state = {"last": -1}
+    names = [c.split(" ")[0] for c in schema.split(", ")]
 
     def step(batch: DataFrame, number: int) -> None:
-        rows = batch.select(*[c.split(" ")[0] for c in schema.split(", ")])
-        if number > 0:
-            rows = spark.read.parquet(version_path(sink, number - 1)).unionByName(rows)
-        newest(rows, order).write.mode("overwrite").parquet(version_path(sink, number))
-        state["last"] = number
+        newest(batch.select(*names), order).write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
     stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return state["last"]
+    last = _parts(spark, schema, sink).agg(F.max("batch")).first()[0]
+    return -1 if last is None else last
+
+
+def _parts(spark: SparkSession, schema: str, sink: str) -> DataFrame:
+    there = spark._jvm.org.apache.hadoop.fs.Path(sink)
+    if not there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
+        return spark.createDataFrame([], f"{schema}, batch int")
+    return spark.read.schema(f"{schema}, batch int").parquet(sink)
+
+
+def snapshot(spark: SparkSession, schema: str, sink: str, order: list[str]) -> DataFrame:
+    """The newest row of each id over all parts."""
+    return newest(_parts(spark, schema, sink).drop("batch"), order)
+
+
+def compact(spark: SparkSession, schema: str, sink: str, target: str, order: list[str]) -> None:
+    """The snapshot as one part of a new sink, from time to time, so that readers need not merge many parts."""
+    snapshot(spark, schema, sink, order).write.parquet(f"{target}/batch=0")

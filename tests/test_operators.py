@@ -105,15 +105,57 @@ def test_json_files(spark, tmp_path):
 
 
 def test_listing_pages(spark):
-    html = '<ul><li data-product-id="7" data-product-name="n" data-product-price="500"><a class="title" href="http://e/7">T</a><img class="badge"></li><li data-product-id="8" data-product-price="x"></li><li>none</li></ul>'
+    html = """<ul><li class="item-card l-card" data-product-id="7" data-product-name="n" data-product-price="500">
+      <a class="js-thumbnail-image" data-original="http://t/7.jpg"><img src="/badges/vrchat.png"></a>
+      <div class="item-card__title"><a href="http://e/7"> T <b>x</b></a></div>
+      <a class="item-card__shop-name-anchor" href="http://s"><div class="item-card__shop-name"> Shop </div></a></li>
+      <li class="item-card" data-product-id="8" data-product-price="x"><a class="item-card__title-anchor--multiline">M</a></li>
+      <li data-product-id="9">no card</li><li class="item-card">no id</li><li class="item-card" data-product-id="10" data-product-name="only"></li></ul>"""
     got = readers.parse_listing_pages(spark.createDataFrame([(1, html), (2, None)], "page int, html string")).orderBy("pos").collect()
-    assert [(r.item_id, r.name, r.url, r.price, r.has_badge) for r in got] == [("7", "T", "http://e/7", 500, True), ("8", "", "https://example.com/items/8", None, False)]
+    want = [("7", "Tx", "http://e/7", "http://t/7.jpg", "Shop", "http://s", 500, True), ("8", "M", "https://example.com/items/8", None, None, None, None, False), ("10", "only", "https://example.com/items/10", None, None, None, None, False)]
+    assert [(r.item_id, r.name, r.url, r.thumbnail_url, r.shop_name, r.shop_url, r.price, r.has_badge) for r in got] == want
 
 
 def test_robots(spark):
-    lines = spark.createDataFrame(list(enumerate(["User-agent: x", "Disallow: /a", "User-agent: * # all", "Disallow: /b", "Disallow:"])), "line_no int, line string")
-    urls = spark.createDataFrame([("http://h/a/1",), ("http://h/b/1",)], "url string")
-    assert [r.url for r in catalog.robots_filter(urls, catalog.robots_rules(lines)).collect()] == ["http://h/a/1"]
+    text = {"h": ["User-agent: x", "Disallow: /a", "User-agent: * # all", "Disallow: /b", "Disallow:", "nothing"], "i": ["User-agent: *", "Disallow:"]}
+    lines = spark.createDataFrame([(s, i, x) for s, ls in text.items() for i, x in enumerate(ls)], "site string, line_no int, line string")
+    urls = spark.createDataFrame([(u.split("/")[2], u) for u in ("http://h/a/1", "http://h/b/1", "http://h/cart", "http://i/cart/2", "http://i/b", "http://j/terms")], "site string, url string")
+    assert sorted(r.url for r in catalog.robots_filter(urls, catalog.robots_rules(lines)).collect()) == ["http://h/a/1", "http://h/cart", "http://i/b"]
+
+
+def test_prices_of_any_form(spark):
+    df = spark.createDataFrame([("¥ １，０００",), ("５００",), ("٣٤",), ("1,2,3 - 4",)], "t string")
+    assert [r[0] for r in df.select(fields.parse_price(F.col("t"))).collect()] == [0, 500, 34, 4]
+    df = spark.createDataFrame([('{"price":0}',), ('{"price":"0"}',), ('{"price":0.0}',), ('{"price":70,"tags":[{"name":" "},{"name":""},{}]}',), ("{bad",)], "json string")
+    got = readers.parse_item_json(df).collect()
+    assert [r.price for r in got] == [None, 0, None, 70, None] and got[3].tags == [" "]
+
+
+def test_golden_resolutions(spark):
+    from tests.golden import GOLDEN
+
+    vocab, synonyms, combos = resolve.built_in(spark)
+    tokens = spark.createDataFrame([(t,) for t, _ in GOLDEN], "token string")
+    assert {r.token: r.tag for r in resolve.resolve_tags(tokens, vocab, synonyms, combos).collect()} == dict(GOLDEN)
+    assert resolve.lint_dict(synonyms, combos, vocab).count() == 0
+
+
+def test_overlays(spark):
+    vocab, synonyms, combos = resolve.built_in(spark)
+    morph = spark.createDataFrame([(a, b, i) for i, (a, b) in enumerate(fields.MORPH)], "src string, dst string, ord int")
+    files = ['{"synonyms": {"тестゆにーく語": "wavy_hair", "ボブ": "bob_cut"}, "morph_canon": [["クルリン", "カール"], ["ダンゴ", "団子"], ["x"]], "prefix_combos": {"半|hair_bun": "half_updo", "bad": "afro", "ツイン|braid": "twin_braids"}}', "{broken", '{"synonyms": null}']
+    syn, mor, com = resolve.overlay_tables(spark.createDataFrame([(f,) for f in files], "json string"))
+    merged, n = resolve.merge_synonyms(synonyms, syn)
+    pairs, k = resolve.merge_morph(morph, mor)
+    both, c = resolve.merge_combos(combos, com)
+    assert (n.first().n, k.first().n, c.first().n) == (1, 1, 1)
+    order = [(r.src, r.dst) for r in pairs.orderBy("ord").collect()]
+    assert order == [*fields.MORPH, ("クルリン", "カール")]
+    tokens = spark.createDataFrame([(t,) for t in ("тестゆにーく語", "くるりん", "半おだんご")], "token string")
+    assert {r.token: r.tag for r in resolve.resolve_tags(tokens, vocab, merged, both, order).collect()} == {"тестゆにーく語": "wavy_hair", "くるりん": "curly_hair", "半おだんご": "half_updo"}
+    assert {r.kind for r in resolve.lint_dict(merged, both, vocab, com, mor).collect()} == {"key", "pair"}
+    empty = resolve.overlay_tables(readers._whole(spark, "/no/such/file.json"))
+    assert [t.count() for t in empty] == [0, 0, 0]
 
 
 def test_stream_keeps_the_newest(spark, tmp_path):
@@ -121,5 +163,10 @@ def test_stream_keeps_the_newest(spark, tmp_path):
     for k, data in enumerate(([("a", 1, 1), ("b", 1, 1)], [("a", 2, 5), ("a", 0, 9)])):
         spark.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     last = ingest.stream_update(spark, str(tmp_path / "in"), schema, str(tmp_path / "out"), str(tmp_path / "cp"), ["at"])
-    got = {r.item_id: r.wish for r in spark.read.parquet(ingest.version_path(str(tmp_path / "out"), last)).collect()}
+    assert last == 1
+    again = ingest.stream_update(spark, str(tmp_path / "in"), schema, str(tmp_path / "out"), str(tmp_path / "cp"), ["at"])
+    assert again == last
+    got = {r.item_id: r.wish for r in ingest.snapshot(spark, schema, str(tmp_path / "out"), ["at"]).collect()}
     assert got == {"a": 5, "b": 1}
+    ingest.compact(spark, schema, str(tmp_path / "out"), str(tmp_path / "new"), ["at"])
+    assert ingest.snapshot(spark, schema, str(tmp_path / "new"), ["at"]).count() == 2
