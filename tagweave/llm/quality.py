@@ -70,8 +70,8 @@ def clean_lines(docs: DataFrame, text: str = "text", min_kept_percent: int = MIN
     has no words and fails. Repeated rows are judged alike; an empty table gives no rows; lines and texts may have any
     length. Other columns pass through, except that a column with the name of a result is replaced.
     """
-    df = measures(docs, text).withColumn("v_", F.transform("l_", line_fails))
-    df = df.withColumns({"g_": F.expr("filter(l_, (x, i) -> not v_[i])"), "b_": F.expr("filter(l_, (x, i) -> v_[i])")})
+    df = measures(docs, text).withColumn("v_", F.transform("l_", lambda x: F.struct(x.alias("line"), line_fails(x).alias("bad"))))
+    df = df.withColumns({"g_": F.expr("filter(v_, v -> not v.bad).line"), "b_": F.expr("filter(v_, v -> v.bad).line")})
     df = df.withColumn("clean_text", F.array_join("g_", "\n"))
     failed = (F.col("m.n_words") < MIN_WORDS) | (100 * F.col("m.n_repeat_words") > MAX_REPEAT_PERCENT * F.col("m.n_words"))
     lost = F.length(F.translate(F.array_join("b_", ""), BLANKS, ""))
