@@ -31,6 +31,13 @@ def filter_results(results: DataFrame, vectors: DataFrame, items: DataFrame, tag
     return results
 
 
+def listed(scores: DataFrame, queries: DataFrame, kept: DataFrame) -> DataFrame:
+    """(query_id, item_id, score) of every query and kept item, 0 where they share nothing: the lists that sorting and
+    paging work on. Their length is the feature; the filtered items (item_id) are sent to the queries' side."""
+    ids = queries.select("query_id").distinct()
+    return kept.crossJoin(ids).join(scores, ["query_id", "item_id"], "left").select("query_id", "item_id", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
 def _norm(df: DataFrame, column: str, out: str) -> DataFrame:
     bounds = df.groupBy("query_id").agg(F.min(column).alias("lo_"), F.max(column).alias("hi_"))
     return df.join(bounds, "query_id").withColumn(out, F.when(F.col("hi_") == F.col("lo_"), 0.5).otherwise((F.col(column) - F.col("lo_")) / (F.col("hi_") - F.col("lo_")))).drop("lo_", "hi_")

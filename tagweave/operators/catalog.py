@@ -22,16 +22,17 @@ def dedupe_listing(rows: DataFrame, cap: int) -> DataFrame:
     return first_seen(rows).orderBy("page", "pos").limit(cap)
 
 
-def expand_to(existing: DataFrame, rows: DataFrame, target: int, max_pages: int = MAX_PAGES) -> DataFrame:
-    """Rows of the pages taken until the existing items and the unique new ones reach target; whole pages, none from the
-    first empty one on. The running sum is over one row per page, of max_pages at most."""
+def expand_to(existing: DataFrame, rows: DataFrame, target: int | None = None, max_pages: int = MAX_PAGES, more: int | None = None) -> DataFrame:
+    """Rows of the pages taken until the existing items and the unique new ones reach target (or `more` than the existing
+    ones); whole pages, none from the first empty one on. The running sum is over one row per page, of max_pages at most."""
     rows = rows.where(F.col("page") <= max_pages)
     new = first_seen(rows).join(existing.select("item_id"), "item_id", "left_anti")
     have = existing.select("item_id").distinct().agg(F.count("*").alias("have"))
     per = rows.groupBy("page").agg(F.count("*").alias("listed")).join(new.groupBy("page").agg(F.count("*").alias("new")), "page", "left").crossJoin(have)
     before = Window.orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
     per = per.withColumn("reached", F.col("have") + F.coalesce(F.sum(F.coalesce("new", F.lit(0))).over(before), F.lit(0))).withColumn("gap", F.col("page") - F.row_number().over(Window.orderBy("page")))
-    taken = per.where((F.col("reached") < target) & (F.col("gap") == 0)).select("page")
+    wanted = F.col("have") + more if target is None else F.lit(target)
+    taken = per.where((F.col("reached") < wanted) & (F.col("gap") == 0)).select("page")
     return new.join(F.broadcast(taken), "page", "left_semi")
 
 

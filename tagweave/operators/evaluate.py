@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tagweave.operators.search import shared_scores, top_k
+from tagweave.operators.vectors import STRONG
+
 NOT_FOUND = 1_000_000_000
 
 
@@ -29,16 +32,13 @@ def missing_answers(evals: DataFrame, items: DataFrame) -> DataFrame:
     return evals.where("not is_distractor").select(F.col("answer_id").alias("item_id")).distinct().join(items.select("item_id"), "item_id", "left_anti")
 
 
-def answer_rank(scores: DataFrame, answers: DataFrame, by: tuple = ()) -> DataFrame:
-    """(by, query_id, answer_id, rank) of each answer in its full-length list, NOT_FOUND if it is not in it.
+def answer_rank(top: DataFrame, answers: DataFrame, by: tuple = ()) -> DataFrame:
+    """(by, query_id, answer_id, rank) of each answer in its query's ranked list (top, with rank), NOT_FOUND if it is not in it.
 
-    The rank is one more than the items before it, counted without sorting the list.
+    answers has the columns `by` too.
     """
-    own = answers.join(scores, (answers["query_id"] == scores["query_id"]) & (answers["answer_id"] == scores["item_id"])).select(*by, answers["query_id"], "answer_id", F.col("score").alias("own"))
-    ahead = (F.col("score") > F.col("own")) | ((F.col("score") == F.col("own")) & (F.col("item_id") < F.col("answer_id")))
-    counted = scores.join(own, [*by, "query_id"]).groupBy(*by, "query_id", "answer_id").agg((F.sum(F.when(ahead, 1).otherwise(0)) + 1).alias("rank"))
-    every = answers if not by else answers.crossJoin(scores.select(*by).distinct())
-    return every.join(counted, [*by, "query_id", "answer_id"], "left").select(*by, "query_id", "answer_id", F.coalesce("rank", F.lit(NOT_FOUND)).cast("long").alias("rank"))
+    ranks = top.select(*by, "query_id", F.col("item_id").alias("answer_id"), "rank")
+    return answers.join(ranks, [*by, "query_id", "answer_id"], "left").select(*by, "query_id", "answer_id", F.coalesce("rank", F.lit(NOT_FOUND)).cast("long").alias("rank"))
 
 
 def hit_rate(ranks: DataFrame, by: tuple = (), found_only: bool = False) -> DataFrame:
@@ -48,6 +48,30 @@ def hit_rate(ranks: DataFrame, by: tuple = (), found_only: bool = False) -> Data
     return df.groupBy(*by).agg(F.count("*").alias("n"), hit(1), hit(5), hit(10))
 
 
+def compare(vectors: DataFrame, items: DataFrame, queries: DataFrame, answers: DataFrame, vocab: DataFrame) -> DataFrame:
+    """(config, idf, ord, n, hit1, hit5, hit10) of vector tables with and without weights, over all queries, in one job.
+
+    vectors: (config, item_id, tag, conf); items: (config, item_id), with empty vectors too; queries: (query_id, tag, conf);
+    answers: (query_id, answer_id). A weight is 1 when idf is off. An answer among the ten best counts at its rank.
+    """
+    n = items.groupBy("config").agg(F.count("*").alias("n_items"))
+    df = vectors.where(F.col("conf") >= STRONG).groupBy("config", "tag").agg(F.count("*").alias("df"))
+    weights = vocab.select("tag").crossJoin(F.broadcast(n)).join(df, ["config", "tag"], "left")
+    idf = F.log((F.col("n_items") + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1
+    weights = weights.select("config", "tag", F.explode(F.array(F.struct(F.lit(False).alias("idf"), F.lit(1.0).alias("x")), F.struct(F.lit(True).alias("idf"), idf.alias("x")))).alias("w")).select("config", "tag", "w.idf", F.col("w.x").alias("x"))
+
+    def unit(df: DataFrame, on: list[str], key: str) -> DataFrame:
+        v = df.join(weights, on).withColumn("w", F.col("conf") * F.col("x"))
+        norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("config", "idf", key)))
+        return v.select("config", "idf", key, "tag", (F.col("w") / norm).alias("w"))
+
+    scores = shared_scores(unit(queries, ["tag"], "query_id"), unit(vectors, ["config", "tag"], "item_id"), ("config", "idf"))
+    top = top_k(scores, by=("config", "idf"))
+    grid = answers.crossJoin(F.broadcast(weights.select("config", "idf").distinct()))
+    ord_ = F.row_number().over(Window.orderBy("config", "idf"))  # over one row per configuration
+    return hit_rate(answer_rank(top, grid, ("config", "idf")), ("config", "idf")).withColumn("ord", ord_)
+
+
 def best_config(grid: DataFrame) -> DataFrame:
     return grid.orderBy(F.desc("hit10"), F.desc("hit5"), F.desc("hit1"), "ord").limit(1)
 
@@ -59,8 +83,3 @@ def separability(top1: DataFrame) -> DataFrame:
     out = top1.agg(*[side(d, f).alias(f"{n}_{name}") for d, name in ((False, "scored"), (True, "distractor")) for f, n in ((F.min, "min"), (median, "median"), (F.max, "max"))])
     verdict = F.when(F.col("min_scored") > F.col("max_distractor"), "separable").when(F.col("median_scored") > F.col("median_distractor"), "shifted").otherwise("not separable")
     return out.withColumn("verdict", verdict).withColumn("threshold", F.when(F.col("verdict") == "separable", (F.col("min_scored") + F.col("max_distractor")) / 2))
-
-
-def first_rank(scores: DataFrame) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
-    return scores.withColumn("rank", F.row_number().over(order)).where("rank = 1")

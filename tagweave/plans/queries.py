@@ -10,6 +10,7 @@ from tagweave.operators import browse, catalog, entities, evaluate, resolve, sea
 from tagweave.plans import adapters as ad
 from tagweave.plans import sql
 from tagweave.sources import readers
+from tagweave.sources.scratch import written
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -29,26 +30,20 @@ def _weights(s: SparkSession, d: str) -> DataFrame:
     return vectors.idf(vectors.doc_freq(ad.hair(s, d), ad.vocab(s)), ad.items(s, d))
 
 
-def _rounded(df: DataFrame, places: int = 9) -> DataFrame:
-    """Scores with places that any order of adding up leaves alone, so that ties are ties."""
-    return df.withColumn("score", F.round("score", places))
+def _pairs(s: SparkSession, d: str, ask=ad.queries, k: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pairs with base and full scores, items, full queries); the pairs are written once, as bounds, ranks and blends read them."""
+    h, f, items = ad.hair(s, d), ad.full(s, d), ad.items(s, d)
+    pairs = search.both_scores(ask(h), ask(f), h, f, _weights(s, d))
+    return written(search.with_first_items(written(pairs, "scores"), ask(h), items, k), "pairs"), items, ask(f)
 
 
-def _base(s: SparkSession, d: str) -> DataFrame:
+def _base(s: SparkSession, d: str, ask=ad.queries, k: int = 10) -> DataFrame:
     h = ad.hair(s, d)
-    return _rounded(search.cosine_scores(ad.queries(h), h, ad.items(s, d), _weights(s, d)))
+    return search.with_first_items(search.cosine_scores(ask(h), h, _weights(s, d)), ask(h), ad.items(s, d), k)
 
 
-def _full(s: SparkSession, d: str) -> DataFrame:
-    f = ad.full(s, d)
-    return _rounded(search.cosine_scores(ad.queries(f), f, ad.items(s, d)))
-
-
-def _methods(s: SparkSession, d: str) -> DataFrame:
-    b, f = _base(s, d), _full(s, d)
-    sweep = search.blend_sweep(b, f).select(F.concat(F.lit("blend"), F.col("alpha").cast("string")).alias("method"), "query_id", "item_id", "score")
-    named = lambda df, n: df.select(F.lit(n).alias("method"), "query_id", "item_id", "score")
-    return named(b, "base").unionAll(named(f, "full")).unionAll(_rounded(named(search.rrf(b, f), "rrf"))).unionAll(_rounded(sweep))
+def _six(df: DataFrame, by: tuple = ()) -> DataFrame:
+    return df.select(*by, "query_id", "item_id", F.round("score", 6).alias("score"), "rank")
 
 
 def _top(table: str, score: str, k: int = 10) -> str:
@@ -58,39 +53,51 @@ def _top(table: str, score: str, k: int = 10) -> str:
 @query("WITH " + sql.RANKING + " " + _top("bm", "score"))
 def v4_hair_search(s, d):
     """Ten best items per query by IDF-weighted cosine."""
-    return search.top_k(_base(s, d)).select("query_id", "item_id", F.round("score", 6).alias("score"), "rank")
+    return _six(search.top_k(_base(s, d)))
 
 
 @query("WITH " + sql.RANKING + " " + _top("fm", "score"))
 def v5_full_search(s, d):
-    return search.top_k(_full(s, d)).select("query_id", "item_id", F.round("score", 6).alias("score"), "rank")
+    f = ad.full(s, d)
+    return _six(search.top_k(search.with_first_items(search.cosine_scores(ad.queries(f), f), ad.queries(f), ad.items(s, d))))
 
 
 @query("WITH " + sql.RANKING + " " + _top("norm", "0.6 * b + 0.4 * f"))
 def v6_hybrid_search(s, d):
-    return search.top_k(_rounded(search.blended(_base(s, d), _full(s, d)))).select("query_id", "item_id", F.round("score", 6).alias("score"), "rank")
+    return _six(search.top_k(search.blended(*_pairs(s, d))))
 
 
-@query("WITH " + sql.RANKING + " SELECT a AS alpha, query_id, item_id, round(a * b + (1 - a) * f, 6) AS score FROM norm, (SELECT unnest([CAST(0.3 AS DOUBLE), 0.4, 0.5, 0.6, 0.7]) AS a)")
+@query("WITH " + sql.RANKING + ", sweep AS (SELECT a AS alpha, query_id, item_id, round(a * b + (1 - a) * f, 9) AS x FROM norm, (SELECT unnest([CAST(0.3 AS DOUBLE), 0.4, 0.5, 0.6, 0.7]) AS a)) SELECT alpha, query_id, item_id, round(x, 6) AS score, row_number() OVER (PARTITION BY alpha, query_id ORDER BY x DESC, item_id) AS rank FROM sweep QUALIFY rank <= 10")
 def v7_blend_sweep(s, d):
-    return _rounded(search.blend_sweep(_base(s, d), _full(s, d)), 6)
+    """Ten best items per query and weight of the blend."""
+    pairs, items, _ = _pairs(s, d)
+    return _six(search.top_k(search.blend_sweep(pairs, items), by=("alpha",)), ("alpha",))
 
 
 @query("WITH " + sql.RANKING + " " + _top("(SELECT query_id, item_id, 1 / (60 + rb) + 1 / (60 + rf) AS x FROM ranks)", "x"))
 def v8_rank_fusion(s, d):
-    return search.top_k(_rounded(search.rrf(_base(s, d), _full(s, d)))).select("query_id", "item_id", F.round("score", 6).alias("score"), "rank")
+    pairs, items, _ = _pairs(s, d)
+    return _six(search.top_k(search.rrf(pairs, items)))
 
 
-@query("WITH " + sql.RANKING + " SELECT query_id, item_id, round(b, 5) AS score FROM norm")
+@query("WITH " + sql.RANKING + " SELECT query_id, item_id, round(b, 5) AS score, row_number() OVER (PARTITION BY query_id ORDER BY b DESC, item_id) AS rank FROM norm QUALIFY rank <= 10")
 def w3_minmax(s, d):
-    return _rounded(search.minmax(_base(s, d)), 5)
+    """Normalised scores of the ten best items per query."""
+    done = search.minmax(_base(s, d), ad.items(s, d), ["score"])
+    return search.top_k(done).select("query_id", "item_id", F.round("score", 5).alias("score"), "rank")
 
 
-@query("WITH " + sql.RANKING + ", own AS (SELECT m.method, m.query_id, (SELECT count(*) FROM methods o WHERE o.method = m.method AND o.query_id = m.query_id AND (o.score > m.score OR (o.score = m.score AND o.item_id < m.item_id))) + 1 AS rank FROM methods m WHERE m.item_id = m.query_id) SELECT method, count(*) AS n, round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0 END), 6) AS hit1, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0 END), 6) AS hit5, round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0 END), 6) AS hit10 FROM own GROUP BY method")
+@query("WITH " + sql.RANKING_PARTLY + ", own AS (SELECT m.method, m.query_id, (SELECT count(*) FROM methods o WHERE o.method = m.method AND o.query_id = m.query_id AND (o.score > m.score OR (o.score = m.score AND o.item_id < m.item_id))) + 1 AS rank FROM methods m WHERE m.item_id = m.query_id) SELECT method, count(*) AS n, round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0 END), 6) AS hit1, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0 END), 6) AS hit5, round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0 END), 6) AS hit10 FROM own GROUP BY method")
 def e6_method_table(s, d):
-    """Answer ranks and hit rates of base, full, fusion and five blends."""
-    answers = ad.queries(ad.hair(s, d)).select("query_id", F.col("query_id").alias("answer_id")).distinct()
-    ranks = evaluate.answer_rank(_methods(s, d), answers, ("method",))
+    """Answer ranks and hit rates of base, full, fusion and five blends for queries with a part of their items' tags."""
+    pairs, items, _ = _pairs(s, d, ad.partial_queries)
+    named = lambda df, n: df.select(n.alias("method"), "query_id", "item_id", "score")
+    plain = F.explode(F.array(F.struct(F.lit("base").alias("method"), F.col("base").alias("score")), F.struct(F.lit("full").alias("method"), F.col("full").alias("score")))).alias("m")
+    methods = pairs.select("query_id", "item_id", plain).select("m.method", "query_id", "item_id", "m.score")
+    methods = methods.unionAll(named(search.rrf(pairs, items), F.lit("rrf"))).unionAll(named(search.blend_sweep(pairs, items), F.concat(F.lit("blend"), F.col("alpha").cast("string"))))
+    answers = ad.partial_queries(ad.hair(s, d)).select("query_id", F.col("query_id").alias("answer_id")).distinct()
+    answers = answers.withColumn("method", F.explode(F.array(*[F.lit(x) for x in ("base", "full", "rrf", *(f"blend{a}" for a in search.SWEEP))])))
+    ranks = evaluate.answer_rank(search.top_k(methods, by=("method",)), answers, ("method",))
     return evaluate.hit_rate(ranks, ("method",)).select("method", "n", *[F.round(c, 6).alias(c) for c in ("hit1", "hit5", "hit10")])
 
 
@@ -161,11 +168,12 @@ def x4_full_vocab(s, d):
     return vectors.full_vocab(ad.full(s, d))
 
 
-@query("SELECT 't' || lpad(CAST(range AS VARCHAR), 2, '0') AS tag, CASE WHEN range < 50 THEN 'added' ELSE 'removed' END AS change FROM range(40, 50)")
+@query("WITH " + sql.VECTORS + ", n AS (SELECT tag, count(*) FILTER (WHERE CAST(item_id AS INTEGER) % 2 = 0) AS a, count(*) FILTER (WHERE CAST(item_id AS INTEGER) % 2 = 1) AS b FROM full_v WHERE conf >= 0.4 GROUP BY tag), m AS (SELECT avg(a) AS a, avg(b) AS b FROM n) SELECT tag, CASE WHEN n.b >= m.b THEN 'added' ELSE 'removed' END AS change FROM n, m WHERE (n.a >= m.a) <> (n.b >= m.b)")
 def x3_vocab_diff(s, d):
-    """The dimensions that items of few ids have against the curated ones."""
-    seen = vectors.full_vocab(ad.raw_scores(s, d).where("pos < 50"))
-    return vectors.vocab_diff(ad.vocab(s), seen)
+    """Tags that more items than the average tag have strongly: of items with odd ids against those with even ones."""
+    n = ad.full(s, d).where("conf >= 0.4").groupBy("tag").agg(F.count_if(F.expr("cast(item_id as int) % 2 = 0")).alias("a"), F.count_if(F.expr("cast(item_id as int) % 2 = 1")).alias("b"))
+    often = lambda c: n.join(n.agg(F.avg(c).alias("m")), F.col(c) >= F.col("m")).select("tag")
+    return vectors.vocab_diff(often("a"), often("b"))
 
 
 @query("WITH " + sql.VECTORS + " SELECT t.tag, count(DISTINCT f.item_id) AS n_items FROM (SELECT 't' || range AS tag FROM range(60, 70)) t LEFT JOIN full_v f USING (tag) GROUP BY t.tag")
@@ -180,7 +188,7 @@ def v9_rebuild(s, d):
     return vectors.rebuild_vectors(fresh, wider, ad.hair(s, d), fresh.select("item_id").distinct())
 
 
-_CUT = " SELECT item_id, tag, round(conf, 4) AS conf FROM out WHERE conf >= 0.05"
+_CUT = " SELECT item_id, tag, CAST(round(CAST(conf AS DECIMAL(18, 9)), 4) AS DOUBLE) AS conf FROM out WHERE conf >= 0.05"
 
 
 def _images(how: str):
@@ -210,8 +218,9 @@ _RESULTS = sql.RANKING + ", " + sql.STATS + ", res AS (SELECT query_id, item_id,
 
 
 def _results(s: SparkSession, d: str) -> DataFrame:
-    kept = _base(s, d).join(browse.contains_any(ad.hair(s, d), ["t03", "t17"]), "item_id", "left_semi")
-    return kept.join(ad.stats(s, d), "item_id", "left").select("query_id", "item_id", "score", F.coalesce("wish", F.lit(0)).alias("wish"), F.coalesce("published_at", F.lit("")).alias("published_at"))
+    """Every item that passes the tag filter for each query: rank lists show those that score 0, too."""
+    kept = browse.contains_any(ad.hair(s, d), ["t03", "t17"])
+    return browse.listed(search.cosine_scores(ad.queries(ad.hair(s, d)), ad.hair(s, d), _weights(s, d)), ad.queries(ad.hair(s, d)), kept).join(ad.stats(s, d), "item_id", "left").select("query_id", "item_id", "score", F.coalesce("wish", F.lit(0)).alias("wish"), F.coalesce("published_at", F.lit("")).alias("published_at"))
 
 
 _NORM = "CASE WHEN max({0}) OVER q = min({0}) OVER q THEN 0.5 ELSE ({0} - min({0}) OVER q) / (max({0}) OVER q - min({0}) OVER q) END"
@@ -221,7 +230,7 @@ _PAGE = ", k AS ({0}), n AS (SELECT *, row_number() OVER (PARTITION BY query_id
 @query("WITH " + _RESULTS + _PAGE.format(f"SELECT *, round(0.6 * {_NORM.format('score')} + 0.4 * {_NORM.format('ln(1 + wish)')}, 9) AS sort_key FROM res WINDOW q AS (PARTITION BY query_id)"))
 def w4_popular_page(s, d):
     """Second page of the filtered list, similar and popular first."""
-    done = browse.page(_rounded(browse.sort_popular(_results(s, d)).withColumnRenamed("sort_key", "k").drop("score").withColumnRenamed("k", "score")).withColumnRenamed("score", "sort_key"), 2)
+    done = browse.page(browse.sort_popular(_results(s, d)).withColumn("sort_key", F.round("sort_key", 9)), 2)
     return done.select("query_id", "item_id", F.round("sort_key", 6).alias("sort_key"), "rank", "total")
 
 
@@ -260,7 +269,7 @@ run AS (SELECT page, (SELECT n FROM have) + coalesce(sum(k) OVER (ORDER BY page
 SELECT * FROM new WHERE page IN (SELECT page FROM run WHERE reached < (SELECT n FROM have) + 200)""")
 def w9_expand(s, d):
     have = ad.read(s, d, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").cast("string").alias("item_id"))
-    return catalog.expand_to(have, ad.listing(s, d), have.count() + 200).select("item_id", "page", "pos")
+    return catalog.expand_to(have, ad.listing(s, d), more=200).select("item_id", "page", "pos")
 
 
 @query("WITH " + sql.LISTING + ", " + sql.STATS + " SELECT item_id, coalesce(checked_at, '') AS checked_at FROM catalog LEFT JOIN stats USING (item_id) ORDER BY 2, 1 LIMIT 150")
@@ -302,7 +311,7 @@ def x5_diff_snapshots(s, d):
     return vectors.diff_snapshots(st.where("cast(item_id as int) % 4 <> 0"), new, "item_id", ["wish"])
 
 
-@query("SELECT CAST(p_partkey AS VARCHAR) AS item_id, p_size AS wish, CAST(floor(CAST(trunc(p_retailprice) AS BIGINT)) AS BIGINT) AS price, p_brand AS tags, trim(regexp_replace(p_name || ' ' || p_type, '\\s+', ' ', 'g')) AS \"desc\" FROM part")
+@query("SELECT CAST(p_partkey AS VARCHAR) AS item_id, p_size AS wish, CAST(floor(CAST(trunc(p_retailprice) AS BIGINT)) AS BIGINT) AS price, p_brand || ', ' AS tags, trim(regexp_replace(p_name || ' ' || p_type, '\\s+', ' ', 'g')) AS \"desc\" FROM part")
 def s5_item_json(s, d):
     done = readers.parse_item_json(ad.item_json(s, d))
     return done.select("item_id", "wish", "price", F.array_join("tags", ",").alias("tags"), "desc")
@@ -319,16 +328,22 @@ def c3_descriptions(s, d):
 
 
 _META = """meta AS (SELECT CAST(p_partkey AS VARCHAR) AS item_id, 'Br' || substr(p_brand, 7, 2) AS br, p_name, p_size, translate(substr(p_brand, 7, 2), '0123456789', 'アイウエオカキクケコ') AS kana FROM part),
-raw AS (SELECT DISTINCT item_id, br AS name FROM meta WHERE p_size % 2 = 0 OR p_size % 3 = 0 UNION SELECT item_id, p_name FROM meta WHERE p_size % 3 = 0 AND length(p_name) > 1),
-alias AS (SELECT DISTINCT lower(br) AS low, kana FROM meta WHERE p_size % 5 = 0 AND length(kana) >= 2 AND br IN (SELECT name FROM raw)),
-named AS (SELECT DISTINCT item_id, coalesce(kana, name) AS name FROM raw LEFT JOIN alias ON low = lower(name))"""
+stated AS (SELECT DISTINCT item_id, br AS name FROM meta WHERE p_size % 2 = 0 OR p_size % 3 = 0 UNION SELECT item_id, p_name FROM meta WHERE p_size % 3 = 0 AND length(p_name) > 1),
+alias AS (SELECT DISTINCT lower(br) AS low, kana FROM meta WHERE p_size % 5 = 0 AND length(kana) >= 2 AND br IN (SELECT name FROM stated)),
+named AS (SELECT DISTINCT item_id, coalesce(kana, name) AS name FROM stated LEFT JOIN alias ON low = lower(name))"""
 
 
-def _names(s: SparkSession, d: str) -> DataFrame:
+def _entities(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(item_id, name) and the aliases, over the seed names; the stated names and the aliases are written once, as both are
+    read several times."""
     m = ad.meta(s, d)
-    raw = entities.raw_names(m)
-    seeds = s.createDataFrame([], "surface string, canonical string")
-    return entities.canonical_names(raw, entities.mine_aliases(m, raw, seeds))
+    raw = written(entities.raw_names(m), "names")
+    aliases = written(entities.mine_aliases(m, raw, entities.seed_names(s)), "aliases")
+    return entities.canonical_names(raw, aliases), aliases
+
+
+def _names(s: SparkSession, d: str) -> DataFrame:
+    return _entities(s, d)[0]
 
 
 @query("WITH " + _META + " SELECT item_id, array_to_string(list_sort(list(name)), ',') AS avatars FROM named GROUP BY item_id")
@@ -358,18 +373,23 @@ def t3_merge_changes(s, d):
     return resolve.merge_synonyms(ad.dictionary(s, d)[1], ad.overlay(s, d))[1]
 
 
-@query("WITH " + sql.DICTIONARY + " SELECT 'combo' AS kind, prefix || '|' || base AS entry, tag FROM combos WHERE tag NOT IN (SELECT tag FROM vocab)")
+@query("WITH " + sql.DICTIONARY + ", o AS (SELECT p_type || CASE WHEN p_size % 2 = 0 THEN '|' ELSE '' END || tag AS key, tag, p_size FROM words WHERE p_size < 6) SELECT 'combo' AS kind, prefix || '|' || base AS entry, tag FROM combos WHERE tag NOT IN (SELECT tag FROM vocab) UNION ALL SELECT 'synonym', surface, tag || '?' FROM syn WHERE ord % 2 = 0 UNION ALL SELECT 'key', key, tag FROM o WHERE key NOT LIKE '%|%' UNION ALL SELECT 'pair', p_name, NULL FROM words WHERE p_size > 45 AND p_size % 3 <> 2")
 def t7_lint_dict(s, d):
+    """Targets that the vocabulary lacks, keys without a separator and replacements that are no pairs."""
     vocab, synonyms, combos = ad.dictionary(s, d)
-    return resolve.lint_dict(synonyms, combos, vocab)
+    part = ad.read(s, d, "part").withColumn("tag", F.translate("p_name", " ", "_"))
+    keys = part.where("p_size < 6").select(F.concat("p_type", F.when(F.col("p_size") % 2 == 0, "|").otherwise(""), "tag").alias("key"), "tag")
+    pairs = part.where("p_size > 45").select(F.col("p_name").alias("src"), (F.col("p_size") % 3).alias("parts"))
+    typos = synonyms.withColumn("tag", F.when(F.col("ord") % 2 == 0, F.concat("tag", F.lit("?"))).otherwise(F.col("tag")))
+    return resolve.lint_dict(typos, combos, vocab, keys, pairs)
 
 
-@query("WITH " + sql.RANKING + """, best AS (SELECT CAST(query_id AS INTEGER) % 3 = 0 AS far, max(score) AS score FROM bm GROUP BY query_id),
+@query("WITH " + sql.RANKING_PARTLY + """, best AS (SELECT CAST(query_id AS INTEGER) % 3 = 0 AS far, max(score) AS score FROM bm GROUP BY query_id),
 sides AS (SELECT min(score) FILTER (NOT far) AS a, quantile_cont(score, 0.5) FILTER (NOT far) AS b, max(score) FILTER (NOT far) AS c, min(score) FILTER (far) AS d, quantile_cont(score, 0.5) FILTER (far) AS e, max(score) FILTER (far) AS f FROM best)
 SELECT round(a, 6) AS min_scored, round(b, 6) AS median_scored, round(c, 6) AS max_scored, round(d, 6) AS min_distractor, round(e, 6) AS median_distractor, round(f, 6) AS max_distractor,
   CASE WHEN a > f THEN 'separable' WHEN b > e THEN 'shifted' ELSE 'not separable' END AS verdict, CASE WHEN a > f THEN round((a + f) / 2, 6) END AS threshold FROM sides""")
 def e7_separability(s, d):
     """Best scores of the queries, every third of which counts as a distractor."""
-    best = evaluate.first_rank(_base(s, d)).select("score", (F.col("query_id").cast("int") % 3 == 0).alias("is_distractor"))
+    best = search.top_k(_base(s, d, ad.partial_queries, 1), 1).select("score", (F.col("query_id").cast("int") % 3 == 0).alias("is_distractor"))
     done = evaluate.separability(best)
     return done.select(*[c if c == "verdict" else F.round(c, 6).alias(c) for c in done.columns])

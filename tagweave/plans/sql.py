@@ -10,14 +10,15 @@ vocab AS (SELECT 't' || lpad(CAST(range AS VARCHAR), 2, '0') AS tag FROM range(4
 IDF = VECTORS + """,
 freq AS (SELECT v.tag, count(h.item_id) AS df FROM vocab v LEFT JOIN hair_v h ON h.tag = v.tag AND h.conf >= 0.2 GROUP BY v.tag),
 idf AS (SELECT tag, ln(((SELECT count(*) FROM items) + 1) / (df + 1)) + 1 AS idf FROM freq)"""
-ASKED = "CAST({0}.item_id AS INTEGER) % 50 = 0 AND CAST(substr({0}.tag, 2) AS INTEGER) % 3 <> 2"
-RANKING = IDF + f""",
+ASKED = "CAST({0}.item_id AS INTEGER) % 20 = 0"
+PARTLY = ASKED + " AND CAST(substr({0}.tag, 2) AS INTEGER) % 3 <> 2"
+_RANKING = IDF + """,
 hw AS (SELECT item_id, tag, conf * idf AS x FROM hair_v JOIN idf USING (tag)),
 hn AS (SELECT item_id, tag, x / sqrt(sum(x * x) OVER (PARTITION BY item_id)) AS w FROM hw),
-qw AS (SELECT item_id AS query_id, tag, conf * idf AS x FROM hair_v h JOIN idf USING (tag) WHERE {ASKED.format('h')}),
+qw AS (SELECT item_id AS query_id, tag, conf * idf AS x FROM hair_v h JOIN idf USING (tag) WHERE @h),
 qn AS (SELECT query_id, tag, x / sqrt(sum(x * x) OVER (PARTITION BY query_id)) AS w FROM qw),
 fn AS (SELECT item_id, tag, conf / sqrt(sum(conf * conf) OVER (PARTITION BY item_id)) AS w FROM full_v),
-gn AS (SELECT item_id AS query_id, tag, conf / sqrt(sum(conf * conf) OVER (PARTITION BY item_id)) AS w FROM full_v f WHERE {ASKED.format('f')}),
+gn AS (SELECT item_id AS query_id, tag, conf / sqrt(sum(conf * conf) OVER (PARTITION BY item_id)) AS w FROM full_v f WHERE @f),
 grid AS (SELECT q.query_id, i.item_id FROM (SELECT DISTINCT query_id FROM qn) q, items i),
 base AS (SELECT query_id, item_id, coalesce(s, 0) AS score FROM grid LEFT JOIN (SELECT query_id, item_id, sum(qn.w * hn.w) AS s FROM qn JOIN hn USING (tag) GROUP BY ALL) USING (query_id, item_id)),
 fsc AS (SELECT query_id, item_id, coalesce(s, 0) AS score FROM grid LEFT JOIN (SELECT query_id, item_id, sum(gn.w * fn.w) AS s FROM gn JOIN fn USING (tag) GROUP BY ALL) USING (query_id, item_id)),
@@ -36,6 +37,7 @@ methods AS (
   UNION ALL SELECT 'rrf', query_id, item_id, round(1 / (60 + rb) + 1 / (60 + rf), 9) FROM ranks
   UNION ALL SELECT 'blend' || a, query_id, item_id, round(a * b + (1 - a) * f, 9) FROM norm, (SELECT unnest([0.3, 0.4, 0.5, 0.6, 0.7]) AS a)
 )"""
+RANKING, RANKING_PARTLY = (_RANKING.replace("@h", asked.format("h")).replace("@f", asked.format("f")) for asked in (ASKED, PARTLY))
 STATS = """stats AS (
   SELECT CAST(user_id AS VARCHAR) AS item_id, CAST(count(*) FILTER (WHERE event_type = 'purchase') AS INTEGER) AS wish,
     CASE WHEN user_id % 7 = 0 THEN '' ELSE strftime(min(ts), '%Y-%m-%d %H:%M:%S') END AS published_at,

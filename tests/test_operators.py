@@ -19,9 +19,10 @@ def test_empty_vector_counts_and_scores_zero(spark):
     assert df == {"x": 1, "y": 1, "z": 0}
     w = vectors.idf(vectors.doc_freq(v, vocab), items)
     q = spark.createDataFrame([("q", "x", 1.0)], "query_id string, tag string, conf double")
-    got = {r.item_id: r.score for r in search.cosine_scores(q, v, items, w).collect()}
+    scores = search.with_first_items(search.cosine_scores(q, v, w), q, items, 3)
+    got = {r.item_id: r.score for r in scores.collect()}
     assert got["a"] == pytest.approx(1) and got["b"] == 0 and got["c"] == 0
-    top = [r.item_id for r in search.top_k(search.cosine_scores(q, v, items, w), 3).orderBy("rank").collect()]
+    top = [r.item_id for r in search.top_k(scores, 3).orderBy("rank").collect()]
     assert top == ["a", "b", "c"]
 
 

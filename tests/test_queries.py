@@ -2,6 +2,7 @@
 
 import pytest
 
+from tagweave.plans import catalog_queries  # noqa: F401
 from tagweave.plans.queries import ORACLES, QUERIES
 from tests.conftest import SF
 from tests.oracle import same
