@@ -3,7 +3,8 @@
 Every run of RUN consecutive sentences is hashed, so a longer repeated passage is covered by its runs. Runs are taken with
 line ends as ends of sentences, and again without, so that a passage wrapped at other widths is found as well. They are
 joined over all documents by hash; every sentence that a repeated run covers is removed, except in the run's first
-occurrence (the least doc_id, then the earliest place).
+occurrence (the least doc_id, then the earliest place). Covered sentences in a row are a stretch; one of fewer than
+MIN_WORDS words stays, unless it is the whole text: two short sentences that many texts share are phrases, not copies.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from tagweave.llm.text_arrays import mix, part_hash, signed, words
 
 #: Sentences of a run.
 RUN = 2
+#: Words of a stretch that is removed though it is not the whole text.
+MIN_WORDS = 20
 ENDS = ".!?…。！？"
 CLOSING = "\"'”’»)]"
 
@@ -104,7 +107,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     return later.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set(F.struct("i", "n"))).alias("marks"))
 
 
-def _clean(batch: pa.RecordBatch, keep: list[str]):
+def _clean(batch: pa.RecordBatch, keep: list[str], min_words: int):
     for lo, hi, texts in slices(batch):
         part = batch.slice(lo, hi - lo)
         marks = column(part, "marks_").to_pylist()
@@ -117,6 +120,10 @@ def _clean(batch: pa.RecordBatch, keep: list[str]):
             gone = np.zeros(b - a, bool)
             for m in marks[k] or ():
                 gone[m["i"] : m["i"] + m["n"]] = True
+            edge = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0))
+            for x, y in zip(edge[0::2], edge[1::2]):
+                if end[a + y - 1] - first[a + x] < min_words and y - x < b - a:
+                    gone[x:y] = False
             cut.append(int(gone.sum()))
             if not gone.any():
                 kept.append(texts[k])
@@ -134,7 +141,7 @@ def _clean(batch: pa.RecordBatch, keep: list[str]):
         )
 
 
-def remove_repeats(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, keep: list[str] | None = None, min_words: int = MIN_WORDS) -> DataFrame:
     """The columns `keep` of docs (all, if not given) with clean_text, n_sentences, n_removed and removed (start:end, in characters of the text).
 
     A null text is empty; texts with fewer than two sentences have no run and stay as they are; others may have any length. An empty table gives no rows. Rows with
@@ -149,4 +156,4 @@ def remove_repeats(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     both = mine.join(marks, mine["doc_id"].cast("long").eqNullSafe(marks["id_"]) & (mine["text_key_"] == marks["key_"]), "left")
     schema = ", ".join(f"`{c}` {types[c]}" for c in keep) + ", clean_text string, n_sentences long, n_removed long, removed array<string>"
     need = both.select(*keep, "marks_") if "text" in keep else both.select(*keep, "text", "marks_")
-    return map_arrow(need, _clean, schema, keep=keep)
+    return map_arrow(need, _clean, schema, keep=keep, min_words=min_words)

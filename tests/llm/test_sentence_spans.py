@@ -3,11 +3,11 @@
 import re
 
 
-def clean(spark, first, second):
+def clean(spark, first, second, **args):
     from tagweave.llm import sentence_spans
 
     d = spark.createDataFrame([(1, first), (2, second)], "doc_id long, text string")
-    return {r.doc_id: r.clean_text for r in sentence_spans.remove_repeats(d).collect()}
+    return {r.doc_id: r.clean_text for r in sentence_spans.remove_repeats(d, **args).collect()}
 
 
 def words(name, n):
@@ -37,6 +37,9 @@ def test_repeated_lines_without_marks_go(spark):
 def test_short_repeated_documents(spark):
     assert clean(spark, "Same short text. Twice here.", "Same short text. Twice here.") == {1: "Same short text. Twice here.", 2: ""}
     assert clean(spark, "One. Other words.", "One. Own words.") == {1: "One. Other words.", 2: "One. Own words."}
+    shared = ("Yes it is. No more.", "Yes it is. No more. Then other words.")
+    assert clean(spark, *shared) == {1: shared[0], 2: shared[1]}
+    assert clean(spark, *shared, min_words=0) == {1: shared[0], 2: "Then other words."}
 
 
 def split(text, lines):
@@ -77,7 +80,7 @@ def test_against_brute_force(spark):
                     gone.setdefault(i, set()).update(range(at, at + len(whole)))
                 at += len(a)
                 assert run
-    r = sentence_spans.remove_repeats(spark.read.parquet(f"{SF}/documents.parquet"), ["doc_id"]).toPandas().sort_values("doc_id")
+    r = sentence_spans.remove_repeats(spark.read.parquet(f"{SF}/documents.parquet"), ["doc_id"], min_words=0).toPandas().sort_values("doc_id")
     for i, t, got in zip(docs.doc_id, docs.text, r.clean_text):
         w = re.findall(r"[^\x20\x09-\x0D]+", t)
         assert re.findall(r"[^\x20\x09-\x0D]+", got) == [x for k, x in enumerate(w) if k not in gone.get(i, ())], i
