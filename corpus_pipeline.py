@@ -10,26 +10,37 @@ from tagweave.llm.shared import durable
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score is under the threshold; the model learns from the labels of the given documents."""
+    """Documents whose score is under the threshold; the model learns from the labels of the given documents.
+
+    A null text scores as an empty one. Repeated rows stay or go together, an empty table gives no rows, texts may have any
+    length; without labels all stay. Other columns pass through, whatever their names.
+    """
     labels = read(spark, sf_dir, "labels").select("doc_id", "toxic")
     return toxicity.keep_clean(docs, toxicity.train(docs.select("doc_id", "text").join(labels, "doc_id")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least doc_id of each class of near-duplicates, once; documents without words are near each
+    other only as copies. Nulls in any column, empty tables and long texts are as near_dup.keep_one() says."""
     return near_dup.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark item. Null and empty texts stay; repeated rows stay or go together; an empty benchmark
+    leaves all. Only the columns of docs come out, so results' names may clash with them."""
     marked = decontaminate.contaminated(docs, read(spark, sf_dir, "benchmark"))
     return marked.where("not contaminated").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per document and pass that the mix takes it in, whose text is the words taken. Documents without words are
+    never taken; a null source is a source; repeated rows have a place each; an empty table gives no rows."""
     return mixing.mix_documents(docs)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token shards' documents: doc_id, start, n_tokens, ids_crc32."""
+    """The token shards' documents: doc_id, start, n_tokens, ids_crc32. Rows of one doc_id follow by their texts, null doc_ids
+    come first, null texts are empty; an empty table gives no shards and no rows."""
     return token_frames.tokenised(spark, docs, tokenizer_path()).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
