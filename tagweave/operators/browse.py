@@ -33,7 +33,7 @@ def filter_results(results: DataFrame, vectors: DataFrame, items: DataFrame, tag
 
 def listed(scores: DataFrame, queries: DataFrame, kept: DataFrame) -> DataFrame:
     """(query_id, item_id, score) of every query and kept item, 0 where they share nothing: the lists that sorting and
-    paging work on. Their length is the feature; the filtered items (item_id) are sent to the queries' side."""
+    paging work on. Their length is the feature: totals and page numbers count every kept item (item_id)."""
     ids = queries.select("query_id").distinct()
     return kept.crossJoin(ids).join(scores, ["query_id", "item_id"], "left").select("query_id", "item_id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
