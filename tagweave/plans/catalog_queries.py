@@ -395,3 +395,22 @@ def r1_stream_update(s, d):
     rows.withColumn("f", F.pmod(F.xxhash64("at"), F.lit(4))).repartition(4, "f").drop("f").write.parquet(source)
     ingest.stream_update(s, source, schema, sink, checkpoint, ["at"])
     return ingest.snapshot(s, schema, sink, ["at"])
+
+
+_MORE = sql.DICTIONARY + ", o AS (SELECT DISTINCT lower(p_type) || ' ' || CASE WHEN p_size < 12 THEN '|' ELSE '' END || tag AS key, 'x_' || tag AS tag FROM words WHERE p_size BETWEEN 8 AND 12), n AS (SELECT split_part(key, '|', 1) AS prefix, split_part(key, '|', 2) AS base, tag FROM o WHERE key LIKE '%|%')"
+
+
+@query("WITH " + _MORE + " SELECT coalesce(c.prefix, n.prefix) AS prefix, coalesce(c.base, n.base) AS base, coalesce(n.tag, c.tag) AS tag FROM combos c FULL JOIN n ON n.prefix = c.prefix AND n.base = c.base")
+def t3_merge_combos(s, d):
+    """Compounds with an overlay's, some of whose keys have no separator and do not count."""
+    part = ad.read(s, d, "part").withColumn("tag", F.translate("p_name", " ", "_")).where("p_size between 8 and 12")
+    over = part.select(F.concat(F.lower("p_type"), F.lit(" "), F.when(F.col("p_size") < 12, "|").otherwise(""), "tag").alias("key"), F.concat(F.lit("x_"), "tag").alias("tag")).distinct()
+    return resolve.merge_combos(ad.dictionary(s, d)[2], over)[0]
+
+
+@query("WITH b AS (SELECT p_brand AS src, p_type AS dst, min(p_partkey) AS ord FROM part WHERE p_size < 25 GROUP BY ALL), o AS (SELECT p_brand AS src, p_type AS dst, min(p_partkey) AS ord FROM part WHERE p_size > 40 AND p_size % 2 = 0 GROUP BY ALL) SELECT * FROM b UNION ALL SELECT src, dst, ord + 1000000 FROM o ANTI JOIN b USING (src, dst)")
+def t3_merge_morph(s, d):
+    """Replacements with an overlay's, known ones and those that are no pairs left out."""
+    part = ad.read(s, d, "part").select(F.col("p_brand").alias("src"), F.col("p_type").alias("dst"), F.col("p_partkey").alias("ord"), "p_size")
+    base = part.where("p_size < 25").groupBy("src", "dst").agg(F.min("ord").alias("ord"))
+    return resolve.merge_morph(base, part.where("p_size > 40").select("src", "dst", "ord", (2 - F.col("p_size") % 2).alias("parts")))[0]
