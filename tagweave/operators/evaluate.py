@@ -33,16 +33,18 @@ def missing_answers(evals: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def answer_rank(top: DataFrame, answers: DataFrame, by: tuple = ()) -> DataFrame:
-    """(by, query_id, answer_id, rank) of each answer in its query's ranked list (top, with rank), NOT_FOUND if it is not in it.
+    """(by, query_id, answer_id, rank) of each answer, as ranked (by, query_id, item_id, rank) says, else NOT_FOUND.
 
-    answers has the columns `by` too.
+    answers has the columns `by` too. With ranks by counting, NOT_FOUND says that the answer is not in the table; with a list
+    of the best, that it is not among them.
     """
     ranks = top.select(*by, "query_id", F.col("item_id").alias("answer_id"), "rank")
     return answers.join(ranks, [*by, "query_id", "answer_id"], "left").select(*by, "query_id", "answer_id", F.coalesce("rank", F.lit(NOT_FOUND)).cast("long").alias("rank"))
 
 
 def hit_rate(ranks: DataFrame, by: tuple = (), found_only: bool = False) -> DataFrame:
-    """hit1, hit5, hit10 over all queries, or over those whose answer is in the table (found_only)."""
+    """hit1, hit5, hit10 over all queries, or over those whose answer is in the table (found_only), for which ranks must be
+    those among all items, as blocks.ranks() counts them."""
     df = ranks.where(F.col("rank") < NOT_FOUND) if found_only else ranks
     hit = lambda k: F.avg(F.when(F.col("rank") <= k, 1.0).otherwise(0.0)).alias(f"hit{k}")
     return df.groupBy(*by).agg(F.count("*").alias("n"), hit(1), hit(5), hit(10))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagweave.functions import fields
-from tagweave.operators import browse, catalog, entities, evaluate, resolve, search, vectors
+from tagweave.operators import blocks, browse, catalog, entities, evaluate, pages, pruned, resolve, search, vectors
 from tagweave.plans import adapters as ad
 from tagweave.plans import sql
 from tagweave.sources import readers
@@ -42,6 +42,22 @@ def _base(s: SparkSession, d: str, ask=ad.queries, k: int = 10) -> DataFrame:
     return search.with_first_items(search.cosine_scores(ask(h), h, _weights(s, d)), ask(h), ad.items(s, d), k)
 
 
+def _sides(s: SparkSession, d: str, ask=ad.queries) -> tuple[DataFrame, DataFrame]:
+    """(items, queries) with both sides' weights of length one, packed for products of blocks; written once."""
+    h, f, w = ad.hair(s, d), ad.full(s, d), _weights(s, d)
+    ids = ask(h).select("query_id").distinct()
+    items = blocks.packed("item_id", ad.items(s, d), vectors.normalize(h, w), vectors.normalize(f))
+    queries = blocks.packed("query_id", ids, vectors.normalize(ask(h), w, "query_id"), vectors.normalize(ask(f), None, "query_id"))
+    return written(items, "items"), written(queries, "queries")
+
+
+def _nearest(asked: DataFrame, vectors_: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
+    """The k best items of each query by the pruned index; both sides are (id, tag, w) of length one."""
+    index = written(pruned.postings(vectors_), "postings")
+    asked = written(asked, "asked")
+    return search.top_k(search.with_first_items(pruned.top_items(asked, index, k).select("query_id", "item_id", "score"), asked, items, k), k)
+
+
 def _six(df: DataFrame, by: tuple = ()) -> DataFrame:
     return df.select(*by, "query_id", "item_id", F.round("score", 6).alias("score"), "rank")
 
@@ -52,53 +68,85 @@ def _top(table: str, score: str, k: int = 10) -> str:
 
 @query("WITH " + sql.RANKING + " " + _top("bm", "score"))
 def v4_hair_search(s, d):
-    """Ten best items per query by IDF-weighted cosine."""
-    return _six(search.top_k(_base(s, d)))
+    """Ten best items per query by IDF-weighted cosine, of which bounds leave few pairs to score."""
+    h, w = ad.hair(s, d), written(_weights(s, d), "weights")
+    return _six(_nearest(vectors.normalize(ad.queries(h), w, "query_id"), vectors.normalize(h, w), ad.items(s, d)))
 
 
 @query("WITH " + sql.RANKING + " " + _top("fm", "score"))
 def v5_full_search(s, d):
     f = ad.full(s, d)
-    return _six(search.top_k(search.with_first_items(search.cosine_scores(ad.queries(f), f), ad.queries(f), ad.items(s, d))))
+    return _six(_nearest(vectors.normalize(ad.queries(f), None, "query_id"), vectors.normalize(f), ad.items(s, d)))
 
 
 @query("WITH " + sql.RANKING + " " + _top("norm", "0.6 * b + 0.4 * f"))
 def v6_hybrid_search(s, d):
-    return _six(search.top_k(search.blended(*_pairs(s, d))))
+    items, queries = _sides(s, d)
+    return _six(blocks.best(items, blocks.with_bounds(items, queries), [("hybrid", "hybrid")]))
 
 
 @query("WITH " + sql.RANKING + ", sweep AS (SELECT a AS alpha, query_id, item_id, round(a * b + (1 - a) * f, 9) AS x FROM norm, (SELECT unnest([CAST(0.3 AS DOUBLE), 0.4, 0.5, 0.6, 0.7]) AS a)) SELECT alpha, query_id, item_id, round(x, 6) AS score, row_number() OVER (PARTITION BY alpha, query_id ORDER BY x DESC, item_id) AS rank FROM sweep QUALIFY rank <= 10")
 def v7_blend_sweep(s, d):
     """Ten best items per query and weight of the blend."""
-    pairs, items, _ = _pairs(s, d)
-    return _six(search.top_k(search.blend_sweep(pairs, items), by=("alpha",)), ("alpha",))
+    items, queries = _sides(s, d)
+    found = blocks.best(items, blocks.with_bounds(items, queries), [(str(a), a) for a in search.SWEEP])
+    return _six(found.withColumn("alpha", F.col("method").cast("double")), ("alpha",))
 
 
 @query("WITH " + sql.RANKING + " " + _top("(SELECT query_id, item_id, 1 / (60 + rb) + 1 / (60 + rf) AS x FROM ranks)", "x"))
 def v8_rank_fusion(s, d):
-    pairs, items, _ = _pairs(s, d)
-    return _six(search.top_k(search.rrf(pairs, items)))
+    return _six(blocks.fused_best(*_sides(s, d)))
 
 
 @query("WITH " + sql.RANKING + " SELECT query_id, item_id, round(b, 5) AS score, row_number() OVER (PARTITION BY query_id ORDER BY b DESC, item_id) AS rank FROM norm QUALIFY rank <= 10")
 def w3_minmax(s, d):
-    """Normalised scores of the ten best items per query."""
-    done = search.minmax(_base(s, d), ad.items(s, d), ["score"])
-    return search.top_k(done).select("query_id", "item_id", F.round("score", 5).alias("score"), "rank")
+    """Normalised scores of the ten best items per query: bounds are those over all items."""
+    items, queries = _sides(s, d)
+    asked = blocks.with_bounds(items, queries)
+    found = blocks.best(items, asked, blocks.SIDES[:1]).join(asked.select("query_id", "lo_base", "hi_base"), "query_id")
+    score = (F.col("score") - F.col("lo_base")) / (F.col("hi_base") - F.col("lo_base") + 1e-9)
+    return found.select("query_id", "item_id", F.round(score, 5).alias("score"), "rank")
+
+
+_OWN = sql.RANKING_PARTLY + ", own AS (SELECT m.method, m.query_id, (SELECT count(*) FROM methods o WHERE o.method = m.method AND o.query_id = m.query_id AND (o.score > m.score OR (o.score = m.score AND o.item_id < m.item_id))) + 1 AS rank FROM methods m WHERE m.item_id = m.query_id)"
+_HITS = ", ".join(f"round(avg(CASE WHEN rank <= {k} THEN 1.0 ELSE 0 END), 6) AS hit{k}" for k in (1, 5, 10))
 
 
-@query("WITH " + sql.RANKING_PARTLY + ", own AS (SELECT m.method, m.query_id, (SELECT count(*) FROM methods o WHERE o.method = m.method AND o.query_id = m.query_id AND (o.score > m.score OR (o.score = m.score AND o.item_id < m.item_id))) + 1 AS rank FROM methods m WHERE m.item_id = m.query_id) SELECT method, count(*) AS n, round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0 END), 6) AS hit1, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0 END), 6) AS hit5, round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0 END), 6) AS hit10 FROM own GROUP BY method")
+def _answer_ranks(s: SparkSession, d: str) -> DataFrame:
+    """(method, query_id, answer_id, rank) by base, full, fusion and five blends, for queries with a part of their items' tags."""
+    items, queries = _sides(s, d, ad.partial_queries)
+    queries = blocks.with_bounds(items, queries)
+    methods = blocks.SIDES + [(f"blend{a}", a) for a in search.SWEEP]
+    answers = queries.select("query_id", F.col("query_id").alias("item_id"))
+    plain = written(blocks.ranks(items, queries, answers, methods), "ranks").select("method", "query_id", "item_id", "rank")
+    fused = blocks.fused_ranks(items, queries, plain.where("method in ('base', 'full')")).select(F.lit("rrf").alias("method"), "query_id", "item_id", "rank")
+    wanted = answers.select("query_id", F.col("item_id").alias("answer_id"), F.explode(F.array(*[F.lit(m) for m, _ in [*methods, ("rrf", 0)]])).alias("method"))
+    return evaluate.answer_rank(plain.unionAll(fused), wanted, ("method",))
+
+
+@query("WITH " + _OWN + " SELECT method, query_id, rank FROM own")
+def e2_answer_ranks(s, d):
+    """Ranks of the answers among all items, however far down."""
+    return _answer_ranks(s, d).select("method", "query_id", "rank")
+
+
+@query("WITH " + _OWN + f" SELECT method, count(*) AS n, {_HITS} FROM own GROUP BY method")
 def e6_method_table(s, d):
-    """Answer ranks and hit rates of base, full, fusion and five blends for queries with a part of their items' tags."""
-    pairs, items, _ = _pairs(s, d, ad.partial_queries)
-    named = lambda df, n: df.select(n.alias("method"), "query_id", "item_id", "score")
-    plain = F.explode(F.array(F.struct(F.lit("base").alias("method"), F.col("base").alias("score")), F.struct(F.lit("full").alias("method"), F.col("full").alias("score")))).alias("m")
-    methods = pairs.select("query_id", "item_id", plain).select("m.method", "query_id", "item_id", "m.score")
-    methods = methods.unionAll(named(search.rrf(pairs, items), F.lit("rrf"))).unionAll(named(search.blend_sweep(pairs, items), F.concat(F.lit("blend"), F.col("alpha").cast("string"))))
-    answers = ad.partial_queries(ad.hair(s, d)).select("query_id", F.col("query_id").alias("answer_id")).distinct()
-    answers = answers.withColumn("method", F.explode(F.array(*[F.lit(x) for x in ("base", "full", "rrf", *(f"blend{a}" for a in search.SWEEP))])))
-    ranks = evaluate.answer_rank(search.top_k(methods, by=("method",)), answers, ("method",))
-    return evaluate.hit_rate(ranks, ("method",)).select("method", "n", *[F.round(c, 6).alias(c) for c in ("hit1", "hit5", "hit10")])
+    """Hit rates of base, full, fusion and five blends."""
+    return evaluate.hit_rate(_answer_ranks(s, d), ("method",)).select("method", "n", *[F.round(c, 6).alias(c) for c in ("hit1", "hit5", "hit10")])
+
+
+@query("WITH " + _OWN + ", asked AS (SELECT query_id, CASE WHEN CAST(query_id AS INTEGER) % 60 = 0 THEN 'gone' ELSE CAST(CAST(query_id AS INTEGER) + 1 AS VARCHAR) END AS answer_id FROM (SELECT DISTINCT query_id FROM bm)), r AS (SELECT a.query_id, m.item_id, (SELECT count(*) FROM bm o WHERE o.query_id = a.query_id AND (o.score > m.score OR (o.score = m.score AND o.item_id < m.item_id))) + 1 AS rank FROM asked a LEFT JOIN bm m ON m.query_id = a.query_id AND m.item_id = a.answer_id)"
+       f" SELECT false AS found_only, count(*) AS n, {_HITS} FROM (SELECT coalesce(CASE WHEN item_id IS NOT NULL THEN rank END, 1000000000) AS rank FROM r) UNION ALL SELECT true, count(*), {_HITS} FROM r WHERE item_id IS NOT NULL")
+def e3_hit_rates(s, d):
+    """Hit rates over all queries and over those whose answer is in the table: answers are the next item, some are gone."""
+    items, queries = _sides(s, d, ad.partial_queries)
+    n = F.col("query_id").cast("int")
+    answers = queries.select("query_id", F.when(n % 60 == 0, "gone").otherwise((n + 1).cast("string")).alias("answer_id"))
+    found = blocks.ranks(items, queries, answers.withColumnRenamed("answer_id", "item_id"), blocks.SIDES[:1])
+    ranks = written(evaluate.answer_rank(found, answers), "ranks")
+    both = [evaluate.hit_rate(ranks, found_only=f).withColumn("found_only", F.lit(f)) for f in (False, True)]
+    return both[0].unionByName(both[1]).select("found_only", "n", *[F.round(c, 6).alias(c) for c in ("hit1", "hit5", "hit10")])
 
 
 @query("WITH " + sql.IDF + " SELECT tag, df FROM freq")
@@ -217,10 +265,12 @@ def g5_fallback(s, d):
 _RESULTS = sql.RANKING + ", " + sql.STATS + ", res AS (SELECT query_id, item_id, score, coalesce(wish, 0) AS wish, coalesce(published_at, '') AS published_at FROM bm LEFT JOIN stats USING (item_id) WHERE item_id IN (SELECT item_id FROM hair_v WHERE tag IN ('t03', 't17') AND conf >= 0.2))"
 
 
-def _results(s: SparkSession, d: str) -> DataFrame:
-    """Every item that passes the tag filter for each query: rank lists show those that score 0, too."""
-    kept = browse.contains_any(ad.hair(s, d), ["t03", "t17"])
-    return browse.listed(search.cosine_scores(ad.queries(ad.hair(s, d)), ad.hair(s, d), _weights(s, d)), ad.queries(ad.hair(s, d)), kept).join(ad.stats(s, d), "item_id", "left").select("query_id", "item_id", "score", F.coalesce("wish", F.lit(0)).alias("wish"), F.coalesce("published_at", F.lit("")).alias("published_at"))
+def _listed(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(items that pass the tag filter, packed; queries; the items with what is known of them)."""
+    items, queries = _sides(s, d)
+    kept = written(browse.contains_any(ad.hair(s, d), ["t03", "t17"]), "kept")
+    known = kept.join(ad.stats(s, d), "item_id", "left").select("item_id", F.coalesce("wish", F.lit(0)).alias("wish"), F.coalesce("published_at", F.lit("")).alias("published_at"))
+    return items.join(kept, "item_id", "left_semi"), queries, known
 
 
 _NORM = "CASE WHEN max({0}) OVER q = min({0}) OVER q THEN 0.5 ELSE ({0} - min({0}) OVER q) / (max({0}) OVER q - min({0}) OVER q) END"
@@ -230,20 +280,23 @@ _PAGE = ", k AS ({0}), n AS (SELECT *, row_number() OVER (PARTITION BY query_id
 @query("WITH " + _RESULTS + _PAGE.format(f"SELECT *, round(0.6 * {_NORM.format('score')} + 0.4 * {_NORM.format('ln(1 + wish)')}, 9) AS sort_key FROM res WINDOW q AS (PARTITION BY query_id)"))
 def w4_popular_page(s, d):
     """Second page of the filtered list, similar and popular first."""
-    done = browse.page(browse.sort_popular(_results(s, d)).withColumn("sort_key", F.round("sort_key", 9)), 2)
+    items, queries, known = _listed(s, d)
+    done = pages.merged_page(items, queries, pages.popularity(known), 2)
     return done.select("query_id", "item_id", F.round("sort_key", 6).alias("sort_key"), "rank", "total")
 
 
 @query("WITH " + _RESULTS + ", p AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY published_at <> '', TRY_CAST(nullif(published_at, '') AS TIMESTAMP) NULLS FIRST, CAST(item_id AS BIGINT), item_id) - 1) / greatest(1, count(*) OVER (PARTITION BY query_id) - 1) AS rec FROM res)" + _PAGE.format(f"SELECT *, round(0.6 * {_NORM.format('score')} + 0.4 * rec, 9) AS sort_key FROM p WINDOW q AS (PARTITION BY query_id)"))
 def w5_recent_page(s, d):
-    done = browse.page(browse.sort_recent(_results(s, d)).withColumn("sort_key", F.round("sort_key", 9)), 2)
+    items, queries, known = _listed(s, d)
+    done = pages.merged_page(items, queries, pages.recency(known), 2)
     return done.select("query_id", "item_id", F.round("sort_key", 6).alias("sort_key"), "rank", "total")
 
 
 @query("WITH " + _RESULTS + ", n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank, count(*) OVER (PARTITION BY query_id) AS total FROM res), c AS (SELECT *, greatest(1, CAST(ceil(total / 10) AS BIGINT)) AS pages FROM n) SELECT query_id, item_id, rank, total, pages, pages AS page, (pages - 1) * 10 + 1 AS shown_from, total AS shown_to FROM c WHERE rank > (pages - 1) * 10")
 def w7_last_page(s, d):
     """A page number beyond the end shows the last page."""
-    return browse.page(browse.sort_similarity(_results(s, d)), 10_000).select("query_id", "item_id", "rank", "total", "pages", "page", "shown_from", "shown_to")
+    items, queries, _ = _listed(s, d)
+    return pages.similar_page(items, queries, 10_000).select("query_id", "item_id", "rank", "total", "pages", "page", "shown_from", "shown_to")
 
 
 @query("WITH " + sql.LISTING + ", f AS (SELECT item_id, page, pos FROM listing QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY page, pos) = 1) SELECT * FROM f ORDER BY page, pos LIMIT 500")
@@ -390,6 +443,7 @@ SELECT round(a, 6) AS min_scored, round(b, 6) AS median_scored, round(c, 6) AS m
   CASE WHEN a > f THEN 'separable' WHEN b > e THEN 'shifted' ELSE 'not separable' END AS verdict, CASE WHEN a > f THEN round((a + f) / 2, 6) END AS threshold FROM sides""")
 def e7_separability(s, d):
     """Best scores of the queries, every third of which counts as a distractor."""
-    best = search.top_k(_base(s, d, ad.partial_queries, 1), 1).select("score", (F.col("query_id").cast("int") % 3 == 0).alias("is_distractor"))
+    h, w = ad.hair(s, d), written(_weights(s, d), "weights")
+    best = _nearest(vectors.normalize(ad.partial_queries(h), w, "query_id"), vectors.normalize(h, w), ad.items(s, d), 1).select("score", (F.col("query_id").cast("int") % 3 == 0).alias("is_distractor"))
     done = evaluate.separability(best)
     return done.select(*[c if c == "verdict" else F.round(c, 6).alias(c) for c in done.columns])
