@@ -61,6 +61,10 @@ def compatible_with(avatars: Column, wanted: list[str]) -> Column:
     return F.coalesce(F.arrays_overlap(avatars, F.array(*map(F.lit, wanted))), F.lit(False))
 
 
+_HIRA = "".join(map(chr, range(0x3041, 0x3097)))
+_KATA = "".join(chr(ord(c) + 0x60) for c in _HIRA)
+
+
 @F.pandas_udf(StringType())
 def _composed(s: pd.Series) -> pd.Series:
     return s.str.normalize("NFKC").str.lower().str.strip()
@@ -71,8 +75,15 @@ def normalize_ja(text: Column, morph: list[tuple[str, str]] = MORPH) -> Column:
 
     NFKC has no function in Spark; it runs over Arrow batches, and the rest in the JVM.
     """
-    hira = "".join(map(chr, range(0x3041, 0x3097)))
-    out = F.translate(_composed(F.coalesce(text, F.lit(""))), hira, "".join(chr(ord(c) + 0x60) for c in hira))
+    out = F.translate(_composed(F.coalesce(text, F.lit(""))), _HIRA, _KATA)
     for a, b in morph:
         out = F.replace(out, F.lit(a), F.lit(b))
     return out
+
+
+def normal_form(text: str, morph: list[tuple[str, str]] = MORPH) -> str:
+    """normalize_ja() of one string: what a user typed."""
+    out = unicodedata.normalize("NFKC", text or "").lower().strip().translate(str.maketrans(_HIRA, _KATA))
+    for a, b in morph:
+        out = out.replace(a, b)
+    return out

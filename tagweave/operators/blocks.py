@@ -58,12 +58,18 @@ def over_blocks(items: DataFrame, queries: DataFrame, fn, schema: str, by: tuple
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(partial(_typed, pair, _arrow(schema)), schema)
 
 
+def _ids(items: DataFrame, queries: DataFrame, by: tuple = ()) -> tuple[str, str]:
+    """Schema of (by, query_id) and of item_id, of the types that they have."""
+    own = dict(queries.dtypes)
+    return ", ".join(f"{c} {own[c]}" for c in (*by, "query_id")), f"item_id {dict(items.dtypes)['item_id']}"
+
+
 def _typed(pair, schema: pa.Schema, left: pa.Table, right: pa.Table) -> pa.Table:
     return pair(left, right).cast(schema)
 
 
 def _arrow(schema: str) -> pa.Schema:
-    kinds = {"string": pa.string(), "double": pa.float64(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+    kinds = {"string": pa.string(), "double": pa.float64(), "long": pa.int64(), "bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
     return pa.schema([(n, kinds[k]) for n, k in (x.split() for x in schema.split(", "))])
 
 
@@ -99,7 +105,7 @@ def bounds(items: DataFrame, queries: DataFrame, by: tuple = ()) -> DataFrame:
         _, base, full = products(left, right)
         return {"query_id": right.column("query_id").to_pylist(), **{n: f(s, axis=1) for n, f, s in zip(BOUNDS, (np.min, np.max) * 2, (base, base, full, full))}}
 
-    parts = over_blocks(items, queries, of, ", ".join([*(f"{b} string" for b in by), "query_id string", *(f"{b} double" for b in BOUNDS)]), by)
+    parts = over_blocks(items, queries, of, ", ".join([_ids(items, queries, by)[0], *(f"{b} double" for b in BOUNDS)]), by)
     return parts.groupBy(*by, "query_id").agg(*[(F.min if b[0] == "l" else F.max)(b).alias(b) for b in BOUNDS])
 
 
@@ -142,7 +148,7 @@ def best(items: DataFrame, queries: DataFrame, methods: Methods, k: int = 10, la
                 out[c].append(v)
         return {c: np.concatenate(v) for c, v in out.items()}
 
-    found = over_blocks(items, queries, of, "method string, query_id string, item_id string, score double")
+    found = over_blocks(items, queries, of, ", ".join(["method string", *_ids(items, queries), "score double"]))
     order = [F.asc("score"), F.desc("item_id")] if last else [F.desc("score"), F.asc("item_id")]
     found = found.withColumn("rank", F.row_number().over(Window.partitionBy("method", "query_id").orderBy(*order)))
     if "k_" in queries.columns:
@@ -161,7 +167,6 @@ def ranks(items: DataFrame, queries: DataFrame, targets: DataFrame, methods: Met
     most = targets.groupBy(*on).count().agg(F.max("count")).first()[0] or 0
     part = F.pmod(F.xxhash64("item_id"), F.lit(max(1, -(-most // TARGETS)))).alias("part_")
     lists = targets.groupBy(*on, part).agg(F.collect_list("item_id").alias("targets_"))
-    head = [f"{b} {dict(items.dtypes)[b]}" for b in by]
 
     def score(left, right):
         ids, base, full = products(left, right)
@@ -175,7 +180,7 @@ def ranks(items: DataFrame, queries: DataFrame, targets: DataFrame, methods: Met
             "score": np.concatenate([s[row, at] for s in each.values()]),
         }
 
-    own = ", ".join([*head, "method string", "query_id string", "item_id string"])
+    own = ", ".join(["method string", *_ids(items, queries, by)])
     of = written(over_blocks(items, queries.join(lists, on), score, own + ", score double", by), "target_scores")
     told = of.groupBy(*on, part).agg(F.collect_list(F.struct("method", "item_id", "score")).alias("told_"))
 

@@ -1,10 +1,11 @@
-"""Filters, orders and pages of result lists."""
+"""Filters, orders and pages of given result lists; for pages without listing, see pages."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tagweave.functions.fields import normal_form
 from tagweave.operators.vectors import STRONG
 
 SIMILAR = 0.6
@@ -17,7 +18,8 @@ def contains_any(vectors: DataFrame, tags: list[str], thresh: float = STRONG) ->
 
 
 def keyword_hit(items: DataFrame, keyword: str) -> DataFrame:
-    """items whose name, a tag or description (all normalised before) contain the normalised keyword; empty: all."""
+    """items whose name, a tag or description (all normalised before) contain the keyword's normal form; empty: all."""
+    keyword = normal_form(keyword)
     kw = F.lit(keyword)
     return items.where(F.coalesce(F.col("name").contains(kw), F.lit(False)) | F.coalesce(F.exists("tags", lambda t: t.contains(kw)), F.lit(False)) | F.coalesce(F.col("description").contains(kw), F.lit(False))) if keyword else items
 
@@ -27,17 +29,10 @@ def filter_results(results: DataFrame, vectors: DataFrame, items: DataFrame, tag
     if tag_only and tags:
         results = results.join(contains_any(vectors, tags), "item_id", "left_semi")
     if keyword.strip():
-        results = results.join(keyword_hit(items, keyword.strip()).select("item_id"), "item_id", "left_semi")
+        results = results.join(keyword_hit(items, keyword).select("item_id"), "item_id", "left_semi")
     return results
 
 
-def listed(scores: DataFrame, queries: DataFrame, kept: DataFrame) -> DataFrame:
-    """(query_id, item_id, score) of every query and kept item, 0 where they share nothing: the lists that sorting and
-    paging work on. Their length is the feature: totals and page numbers count every kept item (item_id)."""
-    ids = queries.select("query_id").distinct()
-    return kept.crossJoin(ids).join(scores, ["query_id", "item_id"], "left").select("query_id", "item_id", F.coalesce("score", F.lit(0.0)).alias("score"))
-
-
 def _norm(df: DataFrame, column: str, out: str) -> DataFrame:
     bounds = df.groupBy("query_id").agg(F.min(column).alias("lo_"), F.max(column).alias("hi_"))
     return df.join(bounds, "query_id").withColumn(out, F.when(F.col("hi_") == F.col("lo_"), 0.5).otherwise((F.col(column) - F.col("lo_")) / (F.col("hi_") - F.col("lo_")))).drop("lo_", "hi_")

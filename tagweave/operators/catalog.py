@@ -127,21 +127,23 @@ def run_update(catalog: DataFrame, hair: DataFrame, full: DataFrame, stats: Data
 
     New items of the listing (up to the first page with nothing new) come in with vectors cut from their scores and fetched
     statistics. The `batch` items of the old catalog that were checked longest ago take fetched statistics, or go from all
-    tables if they are gone. fetched: item_id, status (200: found, 404: gone, others: failed) and the columns of stats.
+    tables if they are gone. Catalog rows keep all their columns; those of new items come from the listing, null where it has
+    none of that name. `changed` says whether there is anything to write. fetched: item_id, status (200: found, 404: gone, others: failed) and the columns of stats.
     """
     new = new_items(listing, catalog, max_pages)
     found, gone = fetched.where("status = 200"), fetched.where("status = 404").select("item_id")
     stale = refresh_batch(catalog, stats, batch).select("item_id")
     pruned = stale.join(gone, "item_id", "left_semi")
+    rows = new.select("item_id", *[c for c in new.columns if c in catalog.columns and c != "item_id"])
     tagged, refreshed = new.join(found, "item_id", "left_semi"), stale.join(found, "item_id", "left_semi")
     own = scores.join(new.select("item_id"), "item_id", "left_semi")
     fresh = found.join(new.select("item_id").unionAll(stale), "item_id", "left_semi").select(*stats.columns)
     out = {
-        "catalog": prune(augment(catalog.select("item_id"), new.select("item_id")), pruned),
+        "catalog": prune(catalog.unionByName(rows.join(catalog.select("item_id"), "item_id", "left_anti"), allowMissingColumns=True), pruned),
         "hair": prune(hair.unionByName(to_vector(own, vocab)), pruned), "full": prune(full.unionByName(to_vector(own)), pruned),
         "stats": prune(upsert(stats, fresh), pruned),
     }
-    return out | {"report": update_report(new, tagged, refreshed, pruned, out["catalog"])}
+    return out | {"report": update_report(new, tagged, refreshed, pruned, out["catalog"]), "changed": changes(new, refreshed, pruned)}
 
 
 #: Path prefixes left out where a site states none.

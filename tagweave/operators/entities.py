@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagweave.functions.dictionary import SEED_NAMES
-from tagweave.operators.resolve import shortest_within
+from tagweave.operators.substrings import shortest_within
 
 #: Support suffixes, name forms and the markers of a list of names.
 SUFFIX = "(対応版|専用|対応|向け|用)$"
@@ -109,7 +109,7 @@ def resolve_avatars(texts: DataFrame, aliases: DataFrame, known: DataFrame) -> D
     """(text, name): alias of the lower-cased text, else the text if known, else the shortest known name that contains it
     or is contained in it, case aside, ties by name; else null. Blank texts resolve to null.
 
-    Distinct texts only; those that equality leaves open are cut into their parts.
+    Distinct texts only; those that equality leaves open go through the automata.
     """
     t = texts.select("text").distinct().withColumn("t", F.btrim("text")).withColumn("low", F.lower("t"))
     known = known.select("name").distinct()

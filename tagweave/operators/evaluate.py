@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagweave.operators.search import shared_scores, top_k
+from tagweave.operators import blocks
 from tagweave.operators.vectors import STRONG
+from tagweave.sources.scratch import written
 
 NOT_FOUND = 1_000_000_000
 
@@ -54,7 +55,7 @@ def compare(vectors: DataFrame, items: DataFrame, queries: DataFrame, answers: D
     """(config, idf, ord, n, hit1, hit5, hit10) of vector tables with and without weights, over all queries, in one job.
 
     vectors: (config, item_id, tag, conf); items: (config, item_id), with empty vectors too; queries: (query_id, tag, conf);
-    answers: (query_id, answer_id). A weight is 1 when idf is off. An answer among the ten best counts at its rank.
+    answers: (query_id, answer_id). A weight is 1 when idf is off. Scores are products of blocks, ranks are counted.
     """
     n = items.groupBy("config").agg(F.count("*").alias("n_items"))
     df = vectors.where(F.col("conf") >= STRONG).groupBy("config", "tag").agg(F.count("*").alias("df"))
@@ -67,11 +68,14 @@ def compare(vectors: DataFrame, items: DataFrame, queries: DataFrame, answers: D
         norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("config", "idf", key)))
         return v.select("config", "idf", key, "tag", (F.col("w") / norm).alias("w"))
 
-    scores = shared_scores(unit(queries, ["tag"], "query_id"), unit(vectors, ["config", "tag"], "item_id"), ("config", "idf"))
-    top = top_k(scores, by=("config", "idf"))
-    grid = answers.crossJoin(F.broadcast(weights.select("config", "idf").distinct()))
+    by, weights = ("config", "idf"), written(weights, "weights")
+    each = F.explode(F.array(F.lit(False), F.lit(True))).alias("idf")
+    grid = answers.crossJoin(F.broadcast(weights.select(*by).distinct()))  # a few rows, one per configuration
+    left = written(blocks.packed("item_id", items.select("config", "item_id", each), unit(vectors, ["config", "tag"], "item_id"), by=by), "items")
+    right = written(blocks.packed("query_id", grid.select(*by, "query_id"), unit(queries, ["tag"], "query_id"), by=by), "queries")
+    found = blocks.ranks(left, right, grid.select(*by, "query_id", F.col("answer_id").alias("item_id")), blocks.SIDES[:1], by)
     ord_ = F.row_number().over(Window.orderBy("config", "idf"))  # over one row per configuration
-    return hit_rate(answer_rank(top, grid, ("config", "idf")), ("config", "idf")).withColumn("ord", ord_)
+    return hit_rate(answer_rank(found, grid, by), by).withColumn("ord", ord_)
 
 
 def best_config(grid: DataFrame) -> DataFrame:

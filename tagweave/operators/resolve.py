@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from tagweave.functions.dictionary import COMBOS, SYNONYMS, VOCAB
 from tagweave.functions.fields import MORPH, normalize_ja
+from tagweave.operators.substrings import shortest_within
+from tagweave.sources.scratch import written
 
 
 def synonym_index(synonyms: DataFrame, morph: list = MORPH) -> DataFrame:
@@ -41,11 +43,18 @@ def overlay_tables(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return synonyms, morph, combos
 
 
+def _after(df: DataFrame, base: DataFrame, overlay: DataFrame) -> DataFrame:
+    """df with after_: what puts the overlay's ords after all of the base's. One row of bounds."""
+    ends = base.agg(F.max("ord").alias("last_")).join(overlay.agg(F.min("ord").alias("first_")))
+    return df.join(F.broadcast(ends.select((F.coalesce("last_", F.lit(-1)) + 1 - F.coalesce("first_", F.lit(0))).alias("after_"))))
+
+
 def merge_synonyms(base: DataFrame, overlay: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(merged synonyms, one row n: entries that the overlay changed or added)."""
+    """(merged synonyms, one row n: entries that the overlay changed or added). A changed entry keeps its place; new ones come
+    after all of the base's, in the overlay's order."""
     o = overlay.select("surface", F.col("tag").alias("new"), F.col("ord").alias("new_ord"))
     both = base.join(o, "surface", "full_outer")
-    merged = both.select("surface", F.coalesce("new", "tag").alias("tag"), F.coalesce("ord", F.col("new_ord") + 1_000_000).alias("ord"))
+    merged = _after(both, base, overlay).select("surface", F.coalesce("new", "tag").alias("tag"), F.coalesce("ord", F.col("new_ord") + F.col("after_")).alias("ord"))
     return merged, both.agg(F.count_if(F.col("new").isNotNull() & ~F.col("new").eqNullSafe(F.col("tag"))).alias("n"))
 
 
@@ -61,7 +70,7 @@ def merge_combos(base: DataFrame, overlay: DataFrame) -> tuple[DataFrame, DataFr
 def merge_morph(base: DataFrame, overlay: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(merged pairs (src, dst, ord), one row n: pairs added). New pairs come after all others, in the overlay's order."""
     new = overlay.where("parts = 2 and src is not null and dst is not null").groupBy("src", "dst").agg(F.min("ord").alias("ord")).join(base, ["src", "dst"], "left_anti")
-    return base.select("src", "dst", "ord").unionAll(new.select("src", "dst", F.col("ord") + 1_000_000)), new.agg(F.count("*").alias("n"))
+    return base.select("src", "dst", "ord").unionAll(_after(new, base, overlay).select("src", "dst", F.col("ord") + F.col("after_"))), new.agg(F.count("*").alias("n"))
 
 
 def lint_dict(synonyms: DataFrame, combos: DataFrame, vocab: DataFrame, keys: DataFrame | None = None, morph: DataFrame | None = None) -> DataFrame:
@@ -77,40 +86,25 @@ def lint_dict(synonyms: DataFrame, combos: DataFrame, vocab: DataFrame, keys: Da
     return out
 
 
-def shortest_within(tokens: DataFrame, terms: DataFrame) -> DataFrame:
-    """(token, term): the shortest term that contains the token or that it contains, ties by name; both in column `form`.
-
-    A term within a token equals one of its substrings, and a token within a term one of the term's: both are equality
-    joins. Forms are words or names, so each has few substrings; none meets all others.
-    """
-    def parts(df: DataFrame, keep: str) -> DataFrame:
-        cut = F.flatten(F.transform(F.sequence(F.lit(1), F.length("form")), lambda i: F.transform(F.sequence(F.lit(1), F.length("form") - i + 1), lambda n: F.substring(F.col("form"), i, n))))
-        return df.where("form <> ''").select(keep, F.explode(F.array_distinct(cut)).alias("form"))
-
-    term = terms.select("term", "form").distinct()
-    within = parts(tokens.select("token", "form"), "token").join(term, "form").select("token", "term")
-    around = parts(term, "term").join(tokens.where("form <> ''").select("token", "form"), "form").select("token", "term")
-    return within.unionAll(around).groupBy("token").agg(F.min(F.struct(F.length("term"), "term")).alias("m")).select("token", F.col("m.term").alias("term"))
-
-
 def resolve_tags(tokens: DataFrame, vocab: DataFrame, synonyms: DataFrame, combos: DataFrame, morph: list = MORPH) -> DataFrame:
     """(token, tag) of distinct tokens: exact tag, synonym, synonym by normal form, prefix and known rest (a compound, or
     the rest's own tag), blanks and hyphens as underscores, then the shortest tag that contains the form or is contained
     in it, ties by name; else null.
 
-    Each stage is an equality join, prefixes by the token's own; only tokens that all other stages leave open are cut into
-    their parts.
+    Each stage is an equality join, prefixes by the token's own, as long as the dictionary has any; only tokens that all other
+    stages leave open go through the automata. Normal forms are made once and written.
     """
     vocab = vocab.select("tag").distinct()
-    index = synonym_index(synonyms, morph)
+    index = written(synonym_index(synonyms, morph), "index")
     t = tokens.select("token").distinct().withColumn("t", F.regexp_replace("token", r"(?U)^\s+|\s+$", "")).withColumn("norm", normalize_ja(F.col("t"), morph))
-    t = t.withColumn("us", F.translate("norm", " -", "__"))
+    t = written(t.withColumn("us", F.translate("norm", " -", "__")), "tokens")
     last = synonyms.groupBy("surface").agg(F.max_by("tag", "ord").alias("raw"))
     t = t.join(vocab.select(F.col("tag").alias("t"), F.col("tag").alias("exact")), "t", "left").join(last.select(F.col("surface").alias("t"), "raw"), "t", "left")
     t = t.join(index.select("norm", F.col("tag").alias("by_norm")), "norm", "left")
     prefixes = combos.select("prefix").distinct()
-    own = F.transform(F.sequence(F.lit(1), F.length("norm") - 1), lambda n: F.substring(F.col("norm"), F.lit(1), n))
-    rest = t.where("length(norm) > 1").select("token", "norm", F.explode(own).alias("prefix")).join(prefixes, "prefix")
+    longest = prefixes.agg(F.coalesce(F.max(F.length("prefix")), F.lit(0)).alias("longest_"))
+    own = F.transform(F.sequence(F.lit(1), F.least(F.length("norm") - 1, "longest_")), lambda n: F.substring(F.col("norm"), F.lit(1), n))
+    rest = t.join(F.broadcast(longest)).where("length(norm) > 1 and longest_ > 0").select("token", "norm", F.explode(own).alias("prefix")).join(prefixes, "prefix")
     rest = rest.withColumn("rest", F.expr("substring(norm, length(prefix) + 1)")).join(index.select(F.col("norm").alias("rest"), F.col("tag").alias("base")), "rest")
     rest = rest.join(combos.withColumnRenamed("tag", "made"), ["prefix", "base"], "left").groupBy("token").agg(F.max(F.struct(F.length("prefix"), F.coalesce("made", "base").alias("tag"))).alias("m")).select("token", F.col("m.tag").alias("composed"))
     t = t.join(rest, "token", "left").join(vocab.select(F.col("tag").alias("us"), F.col("tag").alias("by_us")), "us", "left")

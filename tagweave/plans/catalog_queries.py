@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tagweave.functions import fields
-from tagweave.operators import browse, catalog, entities, evaluate, resolve, search, vectors
+from tagweave.operators import browse, catalog, entities, evaluate, keywords, pages, resolve, search, vectors
 from tagweave.plans import adapters as ad
 from tagweave.plans import queries as plans
 from tagweave.plans import sql
 from tagweave.plans.queries import query
 from tagweave.sources import readers
-from tagweave.sources.scratch import scratch_path
+from tagweave.sources.scratch import scratch_path, written
 from tagweave.streaming import ingest
 
 #: Rows of one JSON or HTML file.
@@ -152,15 +152,38 @@ def _items(s: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT CAST(p_partkey AS VARCHAR) AS item_id FROM part WHERE contains(p_name, 'e 1') OR contains(lower(p_brand), 'e 1') OR contains(lower(p_type), 'e 1') OR contains('size ' || p_size, 'e 1')")
 def p5_keyword_hit(s, d):
-    return browse.keyword_hit(_items(s, d), "e 1").select("item_id")
+    """The keyword is typed in full-width and capital letters."""
+    return browse.keyword_hit(_items(s, d), "Ｅ　１").select("item_id")
 
 
-@query("WITH " + sql.RANKING + ", top AS (SELECT query_id, item_id, score FROM bm QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) <= 100) SELECT query_id, t.item_id, round(score, 6) AS score FROM top t JOIN part ON CAST(p_partkey AS VARCHAR) = t.item_id WHERE t.item_id IN (SELECT item_id FROM hair_v WHERE tag IN ('t05', 't11') AND conf >= 0.2) AND (contains(p_name, 'ring') OR contains(lower(p_type), 'ring'))")
+_KEYWORDS = """item AS (SELECT CAST(p_partkey AS VARCHAR) AS item_id, [p_name, lower(p_brand), lower(p_type), 'size ' || p_size, translate(substr(p_brand, 7, 2), '0123456789', 'アイウエオカキクケコ')] AS texts FROM part),
+kw AS (
+  SELECT DISTINCT upper(substr(p_name, 2, 6)) AS keyword, trim(substr(p_name, 2, 6)) AS norm FROM part UNION SELECT DISTINCT ' ' || substr(p_name, 1, 1), lower(substr(p_name, 1, 1)) FROM part
+  UNION SELECT DISTINCT translate(substr(p_brand, 7, 2), '0123456789', 'あいうえおかきくけこ'), translate(substr(p_brand, 7, 2), '0123456789', 'アイウエオカキクケコ') FROM part
+  UNION SELECT DISTINCT p_partkey || 'z', p_partkey || 'z' FROM part)"""
+
+
+@query("WITH " + _KEYWORDS + " SELECT keyword, count(*) AS n_items, min(item_id) AS first_item, max(item_id) AS last_item FROM kw JOIN item ON len(list_filter(texts, lambda t: contains(t, norm))) > 0 GROUP BY keyword")
+def p5_keyword_requests(s, d):
+    """Many keywords against all items: parts of names in capitals, single letters, kana in the other script, and ones that
+    nothing contains."""
+    part = ad.read(s, d, "part")
+    kana = lambda to: F.translate(F.substring("p_brand", 7, 2), "0123456789", to)
+    items = part.select(F.col("p_partkey").cast("string").alias("item_id"), F.col("p_name").alias("name"), F.array("p_brand", "p_type", kana("アイウエオカキクケコ")).alias("tags"), F.concat_ws(" ", F.lit("size"), F.col("p_size").cast("string")).alias("description"))
+    forms = F.array(F.upper(F.substring("p_name", 2, 6)), F.concat(F.lit(" "), F.substring("p_name", 1, 1)), kana("あいうえおかきくけこ"), F.concat(F.col("p_partkey").cast("string"), F.lit("z")))
+    texts = written(keywords.fields(items), "texts")
+    index = written(keywords.postings(texts), "postings")
+    found = keywords.hits(part.select(F.explode(forms).alias("keyword")), index, texts)
+    return found.groupBy("keyword").agg(F.count("*").alias("n_items"), F.min("item_id").alias("first_item"), F.max("item_id").alias("last_item"))
+
+
+@query("WITH " + sql.RANKING + ", kept AS (SELECT b.* FROM bm b JOIN part ON CAST(p_partkey AS VARCHAR) = b.item_id WHERE b.item_id IN (SELECT item_id FROM hair_v WHERE tag IN ('t05', 't11') AND conf >= 0.2) AND (contains(p_name, 'ring') OR contains(lower(p_type), 'ring'))) SELECT query_id, item_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank, count(*) OVER (PARTITION BY query_id) AS total FROM kept QUALIFY rank <= 10")
 def p6_filter_results(s, d):
-    """The hundred best of each query that hold a selected tag and the keyword."""
-    top = search.top_k(plans._base(s, d, k=100), 100)
-    done = browse.filter_results(top, ad.hair(s, d), _items(s, d), True, ["t05", "t11"], " ring ")
-    return done.select("query_id", "item_id", F.round("score", 6).alias("score"))
+    """The first page of each query's whole ranking, filtered by tags and a keyword."""
+    items, queries = plans._sides(s, d)
+    kept = written(browse.filter_results(items.select("item_id"), ad.hair(s, d), _items(s, d), True, ["t05", "t11"], " ＲＩＮＧ "), "kept")
+    done = pages.similar_page(items.join(kept, "item_id", "left_semi"), queries, 1)
+    return done.select("query_id", "item_id", F.round("score", 6).alias("score"), "rank", "total")
 
 
 @query("WITH " + plans._META + " SELECT item_id, bool_or(name IN ('Br11', 'イウ', 'blue bolt')) AS fits FROM named GROUP BY item_id")
@@ -231,7 +254,7 @@ def j2_enrich(s, d):
     """The ten best of each query with what the catalog, the statistics and the entities know of them."""
     part = ad.read(s, d, "part").select(F.col("p_partkey").cast("string").alias("item_id"), F.col("p_name").alias("name"), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("https://shop.example/"), F.col("p_partkey").cast("string"))).alias("url"))
     names = plans._names(s, d).groupBy("item_id").agg(F.collect_set("name").alias("avatars"))
-    done = search.enrich(search.top_k(plans._base(s, d)), part, ad.stats(s, d), names)
+    done = search.enrich(plans._best(s, d), part, ad.stats(s, d), names)
     return done.select("query_id", "item_id", F.round("score", 6).alias("score"), "rank", "name", "url", "wish", "published_at", F.array_join("avatars", ",").alias("avatars"))
 
 
@@ -266,13 +289,17 @@ stale AS (SELECT item_id FROM catalog LEFT JOIN stats USING (item_id) ORDER BY c
 fresh_new AS (SELECT * FROM new WHERE page < (SELECT p FROM stop)),
 gone AS (SELECT item_id FROM stale JOIN fetched USING (item_id) WHERE status = 404),
 fresh AS (SELECT f.* FROM fetched f WHERE status = 200 AND (item_id IN (FROM stale) OR item_id IN (SELECT item_id FROM fresh_new))),
-total AS (SELECT item_id FROM (SELECT item_id FROM catalog UNION SELECT item_id FROM fresh_new) WHERE item_id NOT IN (FROM gone))"""
+total AS (SELECT item_id FROM (SELECT item_id FROM catalog UNION SELECT item_id FROM fresh_new) WHERE item_id NOT IN (FROM gone)),
+rows AS (SELECT item_id, 'old ' || item_id || ' https://shop.example/' || item_id || ' ' || item_id || '.jpg' AS what FROM catalog UNION ALL SELECT item_id, 'new ' || item_id || ' ' || pos || ' https://shop.example/' || item_id || ' ?' FROM fresh_new)"""
 
 
 def _update(s: SparkSession, d: str) -> dict[str, DataFrame]:
-    known = ad.catalog(s, d)
+    """Catalog rows have a name, a link and, those known before, a thumbnail; the listing tells new items' names and links."""
+    link = F.concat(F.lit("https://shop.example/"), "item_id").alias("url")
+    known = ad.catalog(s, d).select("item_id", F.concat(F.lit("old "), "item_id").alias("name"), link, F.concat("item_id", F.lit(".jpg")).alias("thumbnail_url"))
+    listing = ad.listing(s, d).select("item_id", "page", "pos", F.concat_ws(" ", F.lit("new"), "item_id", F.col("pos").cast("string")).alias("name"), link)
     old = lambda df: df.join(known, "item_id", "left_semi")
-    return catalog.run_update(known, old(ad.hair(s, d)), old(ad.full(s, d)), ad.stats(s, d), ad.listing(s, d), ad.scores(s, d), _fetched(s, d), ad.vocab(s))
+    return catalog.run_update(known, old(ad.hair(s, d)), old(ad.full(s, d)), ad.stats(s, d), listing, ad.scores(s, d), _fetched(s, d), ad.vocab(s))
 
 
 @query("WITH " + _UPDATE + " SELECT 'new' AS status, count(*) AS n FROM fresh_new UNION ALL SELECT 'tagged', count(*) FROM fresh_new WHERE item_id IN (SELECT item_id FROM fetched WHERE status = 200) UNION ALL SELECT 'refreshed', count(*) FROM stale WHERE item_id IN (SELECT item_id FROM fetched WHERE status = 200) UNION ALL SELECT 'pruned', count(*) FROM gone UNION ALL SELECT 'total', count(*) FROM total")
@@ -282,21 +309,28 @@ def g10_update_report(s, d):
 
 
 @query("WITH " + _UPDATE + ", " + sql.VECTORS + ", now AS (SELECT item_id, wish, published_at, checked_at FROM fresh UNION ALL SELECT item_id, wish, published_at, checked_at FROM stats WHERE item_id NOT IN (SELECT item_id FROM fresh)) "
-    "SELECT 'catalog' AS part, item_id, '' AS what FROM total UNION ALL SELECT 'stats', item_id, concat_ws('/', wish, published_at, coalesce(checked_at, '?')) FROM now WHERE item_id NOT IN (FROM gone) "
+    "SELECT 'catalog' AS part, item_id, what FROM rows WHERE item_id IN (FROM total) UNION ALL SELECT 'stats', item_id, concat_ws('/', wish, published_at, coalesce(checked_at, '?')) FROM now WHERE item_id NOT IN (FROM gone) "
     "UNION ALL SELECT 'hair', item_id, string_agg(tag, ',' ORDER BY tag) FROM hair_v WHERE item_id IN (FROM total) GROUP BY item_id UNION ALL SELECT 'full', item_id, string_agg(tag, ',' ORDER BY tag) FROM full_v WHERE item_id IN (FROM total) GROUP BY item_id")
 def u7_weekly_update(s, d):
     """All four tables after the weekly update."""
     t = _update(s, d)
     tags = lambda n: t[n].groupBy("item_id").agg(F.array_join(F.array_sort(F.collect_list("tag")), ",").alias("what")).select(F.lit(n).alias("part"), "item_id", "what")
     stats = t["stats"].select(F.lit("stats"), "item_id", F.concat_ws("/", F.col("wish").cast("string"), "published_at", F.coalesce("checked_at", F.lit("?"))))
-    return t["catalog"].select(F.lit("catalog").alias("part"), "item_id", F.lit("").alias("what")).unionAll(stats).unionAll(tags("hair")).unionAll(tags("full"))
+    rows = t["catalog"].select(F.lit("catalog").alias("part"), "item_id", F.concat_ws(" ", "name", "url", F.coalesce("thumbnail_url", F.lit("?"))).alias("what"))
+    return rows.unionAll(stats).unionAll(tags("hair")).unionAll(tags("full"))
 
 
-@query("WITH " + _UPDATE + " SELECT (SELECT count(*) FROM fresh_new) + (SELECT count(*) FROM stale) + (SELECT count(*) FROM gone) > 0 AS changed")
+@query("WITH " + _UPDATE + ", half AS (SELECT unnest([0, 1]) AS half) SELECT half, (SELECT count(*) FROM fresh_new WHERE half = 0) + (SELECT count(*) FROM stale WHERE half = 0) + (SELECT count(*) FROM gone WHERE half = 0 AND item_id NOT IN (SELECT item_id FROM catalog)) > 0 AS changed FROM half")
 def u6_changes(s, d):
-    """Whether the update has anything to write."""
-    stale = catalog.refresh_batch(ad.catalog(s, d), ad.stats(s, d)).select("item_id")
-    return catalog.changes(catalog.new_items(ad.listing(s, d), ad.catalog(s, d)), stale, stale.join(_fetched(s, d).where("status = 404"), "item_id", "left_semi"))
+    """Whether there is anything to write: after the update's own pages, and where all listed items are known and none is due."""
+    known, listed = ad.catalog(s, d), ad.listing(s, d)
+    stale = catalog.refresh_batch(known, ad.stats(s, d)).select("item_id")
+    gone = stale.join(_fetched(s, d).where("status = 404"), "item_id", "left_semi")
+    busy = catalog.changes(catalog.new_items(listed, known), stale, gone)
+    all_known = known.unionByName(listed.select("item_id"))
+    nothing = stale.where("item_id is null")
+    idle = catalog.changes(catalog.new_items(listed, all_known), nothing, gone.join(known, "item_id", "left_anti"))
+    return busy.select(F.lit(0).alias("half"), "changed").unionAll(idle.select(F.lit(1), "changed"))
 
 
 _LABELS = "SELECT DISTINCT replace(p_name, ' ', '_') AS tag FROM part WHERE p_size % 2 = 0"
@@ -408,7 +442,7 @@ def t3_merge_combos(s, d):
     return resolve.merge_combos(ad.dictionary(s, d)[2], over)[0]
 
 
-@query("WITH b AS (SELECT p_brand AS src, p_type AS dst, min(p_partkey) AS ord FROM part WHERE p_size < 25 GROUP BY ALL), o AS (SELECT p_brand AS src, p_type AS dst, min(p_partkey) AS ord FROM part WHERE p_size > 40 AND p_size % 2 = 0 GROUP BY ALL) SELECT * FROM b UNION ALL SELECT src, dst, ord + 1000000 FROM o ANTI JOIN b USING (src, dst)")
+@query("WITH b AS (SELECT p_brand AS src, p_type AS dst, min(p_partkey) AS ord FROM part WHERE p_size < 25 GROUP BY ALL), o AS (SELECT p_brand AS src, p_type AS dst, min(p_partkey) AS ord FROM part WHERE p_size > 40 AND p_size % 2 = 0 GROUP BY ALL) SELECT * FROM b UNION ALL SELECT src, dst, ord + (SELECT max(ord) FROM b) + 1 - (SELECT min(p_partkey) FROM part WHERE p_size > 40) FROM o ANTI JOIN b USING (src, dst)")
 def t3_merge_morph(s, d):
     """Replacements with an overlay's, known ones and those that are no pairs left out."""
     part = ad.read(s, d, "part").select(F.col("p_brand").alias("src"), F.col("p_type").alias("dst"), F.col("p_partkey").alias("ord"), "p_size")

@@ -30,18 +30,6 @@ def _weights(s: SparkSession, d: str) -> DataFrame:
     return vectors.idf(vectors.doc_freq(ad.hair(s, d), ad.vocab(s)), ad.items(s, d))
 
 
-def _pairs(s: SparkSession, d: str, ask=ad.queries, k: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(pairs with base and full scores, items, full queries); the pairs are written once, as bounds, ranks and blends read them."""
-    h, f, items = ad.hair(s, d), ad.full(s, d), ad.items(s, d)
-    pairs = search.both_scores(ask(h), ask(f), h, f, _weights(s, d))
-    return written(search.with_first_items(written(pairs, "scores"), ask(h), items, k), "pairs"), items, ask(f)
-
-
-def _base(s: SparkSession, d: str, ask=ad.queries, k: int = 10) -> DataFrame:
-    h = ad.hair(s, d)
-    return search.with_first_items(search.cosine_scores(ask(h), h, _weights(s, d)), ask(h), ad.items(s, d), k)
-
-
 def _sides(s: SparkSession, d: str, ask=ad.queries) -> tuple[DataFrame, DataFrame]:
     """(items, queries) with both sides' weights of length one, packed for products of blocks; written once."""
     h, f, w = ad.hair(s, d), ad.full(s, d), _weights(s, d)
@@ -58,6 +46,12 @@ def _nearest(asked: DataFrame, vectors_: DataFrame, items: DataFrame, k: int = 1
     return search.top_k(search.with_first_items(pruned.top_items(asked, index, k).select("query_id", "item_id", "score"), asked, items, k), k)
 
 
+def _best(s: SparkSession, d: str, ask=ad.queries, k: int = 10) -> DataFrame:
+    """The k best items of each query by IDF-weighted cosine."""
+    h, w = ad.hair(s, d), written(_weights(s, d), "weights")
+    return _nearest(vectors.normalize(ask(h), w, "query_id"), vectors.normalize(h, w), ad.items(s, d), k)
+
+
 def _six(df: DataFrame, by: tuple = ()) -> DataFrame:
     return df.select(*by, "query_id", "item_id", F.round("score", 6).alias("score"), "rank")
 
@@ -69,8 +63,7 @@ def _top(table: str, score: str, k: int = 10) -> str:
 @query("WITH " + sql.RANKING + " " + _top("bm", "score"))
 def v4_hair_search(s, d):
     """Ten best items per query by IDF-weighted cosine, of which bounds leave few pairs to score."""
-    h, w = ad.hair(s, d), written(_weights(s, d), "weights")
-    return _six(_nearest(vectors.normalize(ad.queries(h), w, "query_id"), vectors.normalize(h, w), ad.items(s, d)))
+    return _six(_best(s, d))
 
 
 @query("WITH " + sql.RANKING + " " + _top("fm", "score"))
@@ -416,7 +409,7 @@ def t5_resolve_tags(s, d):
     return resolve.resolve_tags(ad.tokens(s, d), *ad.dictionary(s, d))
 
 
-@query("WITH " + sql.DICTIONARY + " SELECT coalesce(syn.surface, o.surface) AS surface, coalesce(o.tag, syn.tag) AS tag, coalesce(syn.ord, o.ord + 1000000) AS ord FROM syn FULL JOIN overlay o ON o.surface = syn.surface")
+@query("WITH " + sql.DICTIONARY + " SELECT coalesce(syn.surface, o.surface) AS surface, coalesce(o.tag, syn.tag) AS tag, coalesce(syn.ord, o.ord + (SELECT max(ord) FROM syn) + 1 - (SELECT min(ord) FROM overlay)) AS ord FROM syn FULL JOIN overlay o ON o.surface = syn.surface")
 def t3_merge_synonyms(s, d):
     return resolve.merge_synonyms(ad.dictionary(s, d)[1], ad.overlay(s, d))[0]
 
@@ -443,7 +436,6 @@ SELECT round(a, 6) AS min_scored, round(b, 6) AS median_scored, round(c, 6) AS m
   CASE WHEN a > f THEN 'separable' WHEN b > e THEN 'shifted' ELSE 'not separable' END AS verdict, CASE WHEN a > f THEN round((a + f) / 2, 6) END AS threshold FROM sides""")
 def e7_separability(s, d):
     """Best scores of the queries, every third of which counts as a distractor."""
-    h, w = ad.hair(s, d), written(_weights(s, d), "weights")
-    best = _nearest(vectors.normalize(ad.partial_queries(h), w, "query_id"), vectors.normalize(h, w), ad.items(s, d), 1).select("score", (F.col("query_id").cast("int") % 3 == 0).alias("is_distractor"))
+    best = _best(s, d, ad.partial_queries, 1).select("score", (F.col("query_id").cast("int") % 3 == 0).alias("is_distractor"))
     done = evaluate.separability(best)
     return done.select(*[c if c == "verdict" else F.round(c, 6).alias(c) for c in done.columns])
