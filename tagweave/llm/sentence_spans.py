@@ -1,10 +1,9 @@
 """Substring de-duplication by sliding sentence spans.
 
-Every run of RUN consecutive sentences is hashed, so a longer repeated passage is covered by its runs. Runs are taken with
-line ends as ends of sentences, and again without, so that a passage wrapped at other widths is found as well. They are
-joined over all documents by hash; every sentence that a repeated run covers is removed, except in the run's first
-occurrence (the least doc_id, then the earliest place). Covered sentences in a row are a stretch; one of fewer than
-MIN_WORDS words stays, unless it is the whole text: two short sentences that many texts share are phrases, not copies.
+Every run of RUN consecutive sentences is hashed, so a longer repeated passage is covered by its runs; a text of fewer
+sentences is one run. Runs are taken with line ends as ends of sentences, and again without, so that a passage wrapped at
+other widths is found as well. They are joined over all documents by hash; every sentence that a repeated run covers is
+removed, except in the run's first occurrence (the least doc_id, then the earliest place).
 """
 
 from __future__ import annotations
@@ -13,14 +12,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from tagweave.llm.shared import column, discard, durable, map_arrow, slices
 from tagweave.llm.text_arrays import mix, part_hash, signed, words
 
 #: Sentences of a run.
-RUN = 2
-#: Words of a stretch that is removed though it is not the whole text.
-MIN_WORDS = 20
+RUN = 3
 ENDS = ".!?…。！？"
 CLOSING = "\"'”’»)]"
 
@@ -52,7 +50,8 @@ def sentences(texts: list[str]):
 
 
 def spans(texts: list[str], run: int = RUN):
-    """(text index, number of its first sentence in the text, sentences, two hashes) of every run of `run` sentences."""
+    """(text index, number of its first sentence in the text, sentences, two hashes) of every run of `run` sentences, and of
+    texts that have fewer."""
     w, first, end, doc, firm = sentences(texts)
     if not len(first):
         e = np.empty(0, np.int64)
@@ -61,6 +60,10 @@ def spans(texts: list[str], run: int = RUN):
     for last in (np.arange(len(first)), np.flatnonzero(firm)):  # last line of each sentence, with line ends as ends and without
         begin = np.concatenate([[0], last[:-1] + 1])
         found.append((begin[: max(0, len(last) - run + 1)], last[run - 1 :] + 1))
+    few = np.bincount(doc[firm], minlength=len(texts)) < run
+    ends_at = np.flatnonzero(np.append(doc[1:] != doc[:-1], True)) + 1
+    begins_at = np.append(0, ends_at[:-1])
+    found.append((begins_at[few[doc[begins_at]]], ends_at[few[doc[begins_at]]]))
     at, to = np.unique(np.concatenate([np.stack(x, 1) for x in found]), axis=0).T
     ok = doc[to - 1] == doc[at]
     at, to = at[ok], to[ok]
@@ -80,9 +83,9 @@ def spans(texts: list[str], run: int = RUN):
     return doc[at], at - start, to - at, both[0], both[1]
 
 
-def _spans(batch: pa.RecordBatch):
+def _spans(batch: pa.RecordBatch, run: int):
     for lo, _, texts in slices(batch):
-        doc, i, n, h1, h2 = spans(texts)
+        doc, i, n, h1, h2 = spans(texts, run)
         if len(doc):
             take = pa.array(doc + lo)
             yield pa.RecordBatch.from_arrays(
@@ -91,13 +94,13 @@ def _spans(batch: pa.RecordBatch):
             )
 
 
-def repeated(docs: DataFrame) -> DataFrame:
+def repeated(docs: DataFrame, run: int = RUN) -> DataFrame:
     """(doc_id, key, marks): the spans to remove of each document that has some, as (first sentence, sentences).
 
     Counting shuffles partial counts; only spans found twice or more are looked at again.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), "text")
-    found = durable(map_arrow(source, _spans, "doc_id long, key long, i int, n int, h1 long, h2 long"), "spans")
+    found = durable(map_arrow(source, _spans, "doc_id long, key long, i int, n int, h1 long, h2 long", run=run), "spans")
     # Written out, counts stand beside the spans as plain tables, and a hot span's join can be split.
     often = durable(found.groupBy("h1", "h2").agg(F.count("*").alias("times")).where("times > 1").select("h1", "h2"), "often")
     again = durable(found.join(often, ["h1", "h2"]), "repeats")
@@ -107,10 +110,10 @@ def repeated(docs: DataFrame) -> DataFrame:
     return later.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set(F.struct("i", "n"))).alias("marks"))
 
 
-def _clean(batch: pa.RecordBatch, keep: list[str], min_words: int):
+def _clean(batch: pa.RecordBatch):
     for lo, hi, texts in slices(batch):
         part = batch.slice(lo, hi - lo)
-        marks = column(part, "marks_").to_pylist()
+        marks = column(part, "marks").to_pylist()
         kept, count, cut, ranges = [], [], [], []
         w, first, end, doc, _ = sentences(texts)
         at = np.searchsorted(doc, np.arange(hi - lo + 1))
@@ -120,10 +123,6 @@ def _clean(batch: pa.RecordBatch, keep: list[str], min_words: int):
             gone = np.zeros(b - a, bool)
             for m in marks[k] or ():
                 gone[m["i"] : m["i"] + m["n"]] = True
-            edge = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0))
-            for x, y in zip(edge[0::2], edge[1::2]):
-                if end[a + y - 1] - first[a + x] < min_words and y - x < b - a:
-                    gone[x:y] = False
             cut.append(int(gone.sum()))
             if not gone.any():
                 kept.append(texts[k])
@@ -136,24 +135,25 @@ def _clean(batch: pa.RecordBatch, keep: list[str], min_words: int):
             edge = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0))
             ranges.append([f"{begin[x]}:{stop[y - 1]}" for x, y in zip(edge[0::2], edge[1::2])])
         yield pa.RecordBatch.from_arrays(
-            [*(column(part, c) for c in keep), pa.array(kept, pa.string()), pa.array(count, pa.int64()), pa.array(cut, pa.int64()), pa.array(ranges, pa.list_(pa.string()))],
-            [*keep, "clean_text", "n_sentences", "n_removed", "removed"],
+            [column(part, "row"), pa.array(kept, pa.string()), pa.array(count, pa.int64()), pa.array(cut, pa.int64()), pa.array(ranges, pa.list_(pa.string()))], ["row", *RESULTS]
         )
 
 
-def remove_repeats(docs: DataFrame, keep: list[str] | None = None, min_words: int = MIN_WORDS) -> DataFrame:
+#: Columns that remove_repeats() adds.
+RESULTS = ("clean_text", "n_sentences", "n_removed", "removed")
+
+
+def remove_repeats(docs: DataFrame, keep: list[str] | None = None, run: int = RUN) -> DataFrame:
     """The columns `keep` of docs (all, if not given) with clean_text, n_sentences, n_removed and removed (start:end, in characters of the text).
 
-    A null text is empty; texts with fewer than two sentences have no run and stay as they are; others may have any length. An empty table gives no rows. Rows with
-    equal doc_id and text are one document: none of them is the other's repeat. A null doc_id comes before all others.
-    Columns with the names of results are replaced.
+    A null text is empty; a text with fewer sentences than a run goes if another is the same; others may have any length. An
+    empty table gives no rows. Rows with equal doc_id and text are one document: none of them is the other's repeat. A null
+    doc_id comes before all others. Columns with the names of results are replaced, all others pass, whatever their names.
     """
-    results = ("clean_text", "n_sentences", "n_removed", "removed")
-    keep = [c for c in (keep or docs.columns) if c not in results]
-    types = dict(docs.dtypes)
-    marks = durable(repeated(docs), "marks").select(F.col("doc_id").alias("id_"), F.col("key").alias("key_"), F.col("marks").alias("marks_"))
-    mine = docs.withColumn("text_key_", F.xxhash64(F.coalesce("text", F.lit(""))))
-    both = mine.join(marks, mine["doc_id"].cast("long").eqNullSafe(marks["id_"]) & (mine["text_key_"] == marks["key_"]), "left")
-    schema = ", ".join(f"`{c}` {types[c]}" for c in keep) + ", clean_text string, n_sentences long, n_removed long, removed array<string>"
-    need = both.select(*keep, "marks_") if "text" in keep else both.select(*keep, "text", "marks_")
-    return map_arrow(need, _clean, schema, keep=keep, min_words=min_words)
+    keep = [c for c in (keep or docs.columns) if c not in RESULTS]
+    marks = durable(repeated(docs, run), "marks")
+    mine = docs.select(F.struct(*keep).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text")
+    both = mine.join(marks, mine["id"].eqNullSafe(marks["doc_id"]) & (mine["text_key"] == marks["key"]), "left").select("row", "text", "marks")
+    text, long = StringType(), LongType()
+    schema = StructType([mine.schema["row"], *(StructField(n, t) for n, t in zip(RESULTS, (text, long, long, ArrayType(text))))])
+    return map_arrow(both, _clean, schema).select("row.*", *RESULTS)

@@ -25,6 +25,11 @@ STEPS = 1200
 BATCH = 128
 MIN_ROWS = 3
 MIN_G2 = 11.0
+#: Of the terms that tell nothing alone, those in the most rows are looked at in pairs: so many of them, in at least so many
+#: rows. A pair counts if what the linear model leaves over is that many standard deviations from nothing on its rows.
+JOINT_TERMS, JOINT_ROWS, JOINT_Z = 1500, 20, 6.0
+#: Spread of the factors at first, of terms that count alone and of those that count in pairs.
+SPREAD, JOINT_SPREAD = 0.01, 0.2
 THRESHOLD = 0.3
 
 
@@ -75,14 +80,51 @@ def associated(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     return some[g2 >= MIN_G2]
 
 
+def jointly(rows: list[np.ndarray], toxic: np.ndarray, single: np.ndarray) -> np.ndarray:
+    """Buckets that tell nothing alone, but do together with another: of pairs of frequent terms, those on whose rows the
+    residual of the linear model of the `single` terms is too large to be chance."""
+    n = np.bincount(np.concatenate(rows), minlength=BUCKETS) if rows else np.zeros(BUCKETS, np.int64)
+    varied = np.minimum(n, len(rows) - n)
+    varied[single] = 0
+    frequent = np.flatnonzero(varied >= JOINT_ROWS)
+    frequent = frequent[np.argsort(-varied[frequent], kind="stable")[:JOINT_TERMS]]
+    if not len(frequent):
+        return frequent
+    linear = _fit(rows, toxic, single, np.empty(0, np.int64), factors=0)
+    both = np.concatenate([frequent, single[np.argsort(-n[single], kind="stable")[:JOINT_TERMS]]])
+    place = np.full(BUCKETS, -1, np.int32)
+    place[both] = np.arange(len(both))
+    total, spread = (np.zeros((len(frequent), len(both)), np.float32) for _ in range(2))
+    for lo in range(0, len(rows), 2000):
+        part = rows[lo : lo + 2000]
+        x = np.zeros((len(part), len(both)), np.float32)
+        z = np.full(len(part), linear.bias)
+        for i, r in enumerate(part):
+            x[i, place[r][place[r] >= 0]] = 1
+            z[i] += linear.weight[linear.place[r][linear.place[r] >= 0]].sum()
+        p = (1 / (1 + np.exp(-np.clip(z, -30, 30)))).astype(np.float32)[:, None]
+        total += (x[:, : len(frequent)] * (toxic[lo : lo + 2000, None].astype(np.float32) - p)).T @ x
+        spread += (x[:, : len(frequent)] * (p * (1 - p))).T @ x
+    far = np.abs(total) >= JOINT_Z * np.sqrt(spread + 1)
+    far[np.arange(len(frequent)), np.arange(len(frequent))] = False
+    return np.unique(np.concatenate([frequent[far.any(1)], both[far.any(0)]]))
+
+
 def fit(rows: list[np.ndarray], toxic: np.ndarray, factors: int = FACTORS, steps: int = STEPS, rate: float = 0.1, decay: float = 1e-5) -> Model:
-    """Logistic loss, Adagrad, `steps` batches in a fixed pseudorandom order. Only associated() terms are used."""
-    often = associated(rows, toxic)
+    """Logistic loss, Adagrad, `steps` batches in a fixed pseudorandom order. The terms are those that are associated() with
+    the label by themselves, or jointly() with another."""
+    single = associated(rows, toxic)
+    return _fit(rows, toxic, single, np.setdiff1d(jointly(rows, toxic, single), single), factors, steps, rate, decay)
+
+
+def _fit(rows: list[np.ndarray], toxic: np.ndarray, single: np.ndarray, joint: np.ndarray, factors: int = FACTORS, steps: int = STEPS, rate: float = 0.1, decay: float = 1e-5) -> Model:
+    often = np.sort(np.concatenate([single, joint]).astype(np.int64))
     place = np.full(BUCKETS, -1, np.int32)
     place[often] = np.arange(len(often))
     rng = np.random.default_rng(7)
     k = max(1, len(often))
-    w, v = np.zeros(k), rng.normal(0, 0.01, (k, factors))
+    w, v = np.zeros(k), rng.normal(0, SPREAD, (k, factors))
+    v[: len(often)][np.isin(often, joint)] *= JOINT_SPREAD / SPREAD
     gw, gv = np.full(k, 1e-2), np.full((k, factors), 1e-2)
     share = min(max(toxic.mean() if len(toxic) else 0.0, 1e-3), 1 - 1e-3)
     bias, gb = float(np.log(share / (1 - share))), 1e-2
@@ -95,7 +137,7 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, factors: int = FACTORS, steps
             at = np.concatenate(own)
             row = np.repeat(np.arange(len(some)), [len(x) for x in own])
             va = v[at]
-            s = np.stack([np.bincount(row, va[:, f], len(some)) for f in range(factors)], 1)
+            s = np.stack([np.bincount(row, va[:, f], len(some)) for f in range(factors)], 1) if factors else np.zeros((len(some), 0))
             pairs = 0.5 * ((s**2).sum(1) - np.bincount(row, (va**2).sum(1), len(some)))
             z = bias + np.bincount(row, w[at], len(some)) + pairs
             g = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - toxic[some]

@@ -2,6 +2,8 @@
 
 import re
 
+import pytest
+
 
 def clean(spark, first, second, **args):
     from tagweave.llm import sentence_spans
@@ -39,7 +41,7 @@ def test_short_repeated_documents(spark):
     assert clean(spark, "One. Other words.", "One. Own words.") == {1: "One. Other words.", 2: "One. Own words."}
     shared = ("Yes it is. No more.", "Yes it is. No more. Then other words.")
     assert clean(spark, *shared) == {1: shared[0], 2: shared[1]}
-    assert clean(spark, *shared, min_words=0) == {1: shared[0], 2: "Then other words."}
+    assert clean(spark, *shared, run=2) == {1: shared[0], 2: "Then other words."}
 
 
 def split(text, lines):
@@ -60,8 +62,9 @@ def split(text, lines):
     return out
 
 
-def test_against_brute_force(spark):
-    """All runs of two sentences of a small table, in both forms, by a dictionary of whole runs: kept words are the same."""
+@pytest.mark.parametrize("size", [2, 3])
+def test_against_brute_force(spark, size):
+    """All runs of a small table, in both forms, by a dictionary of whole runs: kept words are the same."""
     from tagweave.llm import sentence_spans
     from tests.conftest import SF
     from tests.oracle import duck
@@ -71,16 +74,22 @@ def test_against_brute_force(spark):
     seen: dict[tuple, tuple] = {}
     for i, t in zip(docs.doc_id, docs.text):
         for lines in (True, False):
-            s, at = split(t, lines), 0
-            for a, b in zip(s, s[1:]):
-                run = (a, b) if len(a) and len(b) else None
-                here = (i, at)
-                whole = a + b
-                if seen.setdefault(whole, here) != here:
+            s = split(t, lines)
+            runs = [(sum(map(len, s[:k])), sum(s[k : k + size], ())) for k in range(len(s) - size + 1)]
+            if s and len(split(t, False)) < size:
+                runs = list(dict.fromkeys([*runs, (0, sum(s, ()))]))
+            for at, whole in runs:
+                if seen.setdefault(whole, (i, at)) != (i, at):
                     gone.setdefault(i, set()).update(range(at, at + len(whole)))
-                at += len(a)
-                assert run
-    r = sentence_spans.remove_repeats(spark.read.parquet(f"{SF}/documents.parquet"), ["doc_id"], min_words=0).toPandas().sort_values("doc_id")
+    r = sentence_spans.remove_repeats(spark.read.parquet(f"{SF}/documents.parquet"), ["doc_id"], run=size).toPandas().sort_values("doc_id")
     for i, t, got in zip(docs.doc_id, docs.text, r.clean_text):
         w = re.findall(r"[^\x20\x09-\x0D]+", t)
         assert re.findall(r"[^\x20\x09-\x0D]+", got) == [x for k, x in enumerate(w) if k not in gone.get(i, ())], i
+
+
+def test_columns_of_any_name_pass(spark):
+    from tagweave.llm import sentence_spans
+
+    d = spark.createDataFrame([(1, "A b. C d.", 5, 6, 7, 8, 9), (2, "A b. C d.", 5, 6, 7, 8, 9)], "doc_id long, text string, marks_ int, id_ int, key int, row int, text_key_ int")
+    got = sentence_spans.remove_repeats(d).orderBy("doc_id").collect()
+    assert [tuple(r)[2:7] for r in got] == [(5, 6, 7, 8, 9)] * 2 and [r.clean_text for r in got] == ["A b. C d.", ""]
