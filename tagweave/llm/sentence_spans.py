@@ -1,7 +1,7 @@
 """Substring de-duplication by sliding sentence spans.
 
-Every run of RUN consecutive sentences is hashed, so a longer repeated passage is covered by its runs; a text of fewer
-sentences is one run. Runs are taken with line ends as ends of sentences, and again without, so that a passage wrapped at
+Every run of RUN consecutive sentences is hashed, and every run of two that has PAIR_WORDS words, so a longer repeated passage
+is covered by its runs; a text of fewer sentences is one run. Runs are taken with line ends as ends of sentences, and again without, so that a passage wrapped at
 other widths is found as well. They are joined over all documents by hash; every sentence that a repeated run covers is
 removed, except in the run's first occurrence (the least doc_id, then the earliest place).
 """
@@ -19,6 +19,8 @@ from tagweave.llm.text_arrays import mix, part_hash, signed, words
 
 #: Sentences of a run.
 RUN = 3
+#: Words with which two sentences are a run.
+PAIR_WORDS = 20
 ENDS = ".!?…。！？"
 CLOSING = "\"'”’»)]"
 
@@ -50,8 +52,8 @@ def sentences(texts: list[str]):
 
 
 def spans(texts: list[str], run: int = RUN):
-    """(text index, number of its first sentence in the text, sentences, two hashes) of every run of `run` sentences, and of
-    texts that have fewer."""
+    """(text index, number of its first sentence in the text, sentences, two hashes) of every run of `run` sentences, of
+    every two with PAIR_WORDS words, and of texts that have fewer than `run`."""
     w, first, end, doc, firm = sentences(texts)
     if not len(first):
         e = np.empty(0, np.int64)
@@ -59,7 +61,10 @@ def spans(texts: list[str], run: int = RUN):
     found = []
     for last in (np.arange(len(first)), np.flatnonzero(firm)):  # last line of each sentence, with line ends as ends and without
         begin = np.concatenate([[0], last[:-1] + 1])
-        found.append((begin[: max(0, len(last) - run + 1)], last[run - 1 :] + 1))
+        for size in {2, run}:
+            at, to = begin[: max(0, len(last) - size + 1)], last[size - 1 :] + 1
+            far = (end[to - 1] - first[at] >= PAIR_WORDS) | (size == run)
+            found.append((at[far], to[far]))
     few = np.bincount(doc[firm], minlength=len(texts)) < run
     ends_at = np.flatnonzero(np.append(doc[1:] != doc[:-1], True)) + 1
     begins_at = np.append(0, ends_at[:-1])

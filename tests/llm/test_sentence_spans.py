@@ -76,6 +76,8 @@ def test_against_brute_force(spark, size):
         for lines in (True, False):
             s = split(t, lines)
             runs = [(sum(map(len, s[:k])), sum(s[k : k + size], ())) for k in range(len(s) - size + 1)]
+            pairs = [(sum(map(len, s[:k])), sum(s[k : k + 2], ())) for k in range(len(s) - 1)]
+            runs += [(at, whole) for at, whole in pairs if len(whole) >= 20 and size > 2]
             if s and len(split(t, False)) < size:
                 runs = list(dict.fromkeys([*runs, (0, sum(s, ()))]))
             for at, whole in runs:
