@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagweave.operators.vectors import to_vector
+from tagweave.sources import versions
+from tagweave.sources.scratch import written
 
 MAX_PAGES = 40
 REFRESH = 150
@@ -128,7 +130,8 @@ def run_update(catalog: DataFrame, hair: DataFrame, full: DataFrame, stats: Data
     New items of the listing (up to the first page with nothing new) come in with vectors cut from their scores and fetched
     statistics. The `batch` items of the old catalog that were checked longest ago take fetched statistics, or go from all
     tables if they are gone. Catalog rows keep all their columns; those of new items come from the listing, null where it has
-    none of that name. `changed` says whether there is anything to write. fetched: item_id, status (200: found, 404: gone, others: failed) and the columns of stats.
+    none of that name. new_catalog, new_hair, new_full, new_stats and gone are what changed, for write_update(); `changed`
+    says whether there is anything to write. fetched: item_id, status (200: found, 404: gone, others: failed) and the columns of stats.
     """
     new = new_items(listing, catalog, max_pages)
     found, gone = fetched.where("status = 200"), fetched.where("status = 404").select("item_id")
@@ -143,7 +146,22 @@ def run_update(catalog: DataFrame, hair: DataFrame, full: DataFrame, stats: Data
         "hair": prune(hair.unionByName(to_vector(own, vocab)), pruned), "full": prune(full.unionByName(to_vector(own)), pruned),
         "stats": prune(upsert(stats, fresh), pruned),
     }
-    return out | {"report": update_report(new, tagged, refreshed, pruned, out["catalog"]), "changed": changes(new, refreshed, pruned)}
+    steps = {
+        "catalog": catalog.where("false").unionByName(rows.join(catalog.select("item_id"), "item_id", "left_anti"), allowMissingColumns=True), "hair": to_vector(own, vocab), "full": to_vector(own), "stats": fresh,
+    }
+    return out | {f"new_{name}": prune(df, pruned) for name, df in steps.items()} | {"gone": pruned, "report": update_report(new, tagged, refreshed, pruned, out["catalog"]), "changed": changes(new, refreshed, pruned)}
+
+
+def write_update(done: dict[str, DataFrame], folders: dict[str, str]) -> dict[str, int]:
+    """What run_update() changed, into the versioned tables (catalog, hair, full, stats) under their folders; their versions.
+
+    Nothing is written if nothing is new, refreshed or gone. Buckets without a changed id stay as they are.
+    """
+    spark = done["gone"].sparkSession
+    if not done["changed"].first()["changed"]:
+        return {name: versions.latest(spark, folder) for name, folder in folders.items()}
+    gone = written(done["gone"].select("item_id"), "gone")
+    return {name: versions.update(folder, done[f"new_{name}"], gone) for name, folder in folders.items()}
 
 
 #: Path prefixes left out where a site states none.
@@ -159,11 +177,19 @@ def robots_rules(lines: DataFrame) -> DataFrame:
 
 
 def robots_filter(urls: DataFrame, rules: DataFrame, default: tuple = DEFAULT_DISALLOW) -> DataFrame:
-    """urls (site, url) whose path starts with no prefix of their site; sites without a rule have the default ones."""
+    """urls (site, url) whose path starts with no prefix of their site; sites without a rule have the default ones.
+
+    A path is looked up by its own beginnings, of the lengths that its site's prefixes have: an equality join, whose rows
+    grow with the number of different lengths, not with the number of rules.
+    """
+    rules = written(rules.select("site", "prefix").where("prefix <> ''").distinct(), "rules")
+    lengths = written(rules.groupBy("site").agg(F.collect_set(F.length("prefix")).alias("lengths_")), "lengths")
     path = F.coalesce(F.expr("try_parse_url(url, 'PATH')"), F.lit(""))
-    own = urls.withColumn("path_", path).join(rules.select("site", F.lit(True).alias("ruled_")).distinct(), "site", "left")
+    own = urls.withColumn("path_", path).join(lengths, "site", "left")
     usual = F.lit(False)
     for prefix in default:
         usual = usual | F.col("path_").startswith(prefix)
-    own = own.where(F.col("ruled_").isNotNull() | ~usual)
-    return own.join(rules, ["site"], "left").groupBy(*urls.columns).agg(F.max(F.coalesce(F.col("path_").startswith(F.col("prefix")), F.lit(False))).alias("no_")).where("not no_").select(*urls.columns)
+    own = own.where(F.col("lengths_").isNotNull() | ~usual)
+    begins = F.explode(F.transform(F.filter("lengths_", lambda n: n <= F.length("path_")), lambda n: F.substring(F.col("path_"), F.lit(1), n))).alias("prefix")
+    out = own.select("site", "path_", "lengths_").distinct().select("site", "path_", begins).join(rules, ["site", "prefix"], "left_semi").select("site", "path_").distinct()
+    return own.join(out, ["site", "path_"], "left_anti").select(*urls.columns)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagweave.operators import blocks
+from tagweave.operators.medians import medians
 from tagweave.operators.vectors import STRONG
 from tagweave.sources.scratch import written
 
@@ -83,9 +84,12 @@ def best_config(grid: DataFrame) -> DataFrame:
 
 
 def separability(top1: DataFrame) -> DataFrame:
-    """(query_id, score, is_distractor) -> bounds and medians of both classes and a verdict."""
+    """(query_id, score, is_distractor) -> bounds and medians of both classes and a verdict. Medians come by counting."""
+    top1 = written(top1.select("score", "is_distractor"), "top1")
+    middle = medians(top1, "is_distractor", "score")
     side = lambda d, f: f(F.when(F.col("is_distractor") == d, F.col("score")))
-    median = lambda c: F.percentile(c, F.lit(0.5))
-    out = top1.agg(*[side(d, f).alias(f"{n}_{name}") for d, name in ((False, "scored"), (True, "distractor")) for f, n in ((F.min, "min"), (median, "median"), (F.max, "max"))])
+    both = [(False, "scored"), (True, "distractor")]
+    ends = top1.agg(*[side(d, f).alias(f"{n}_{name}") for d, name in both for f, n in ((F.min, "min"), (F.max, "max"))])
+    out = ends.select(*[c for d, name in both for c in (f"min_{name}", F.lit(middle.get(d)).cast("double").alias(f"median_{name}"), f"max_{name}")])
     verdict = F.when(F.col("min_scored") > F.col("max_distractor"), "separable").when(F.col("median_scored") > F.col("median_distractor"), "shifted").otherwise("not separable")
     return out.withColumn("verdict", verdict).withColumn("threshold", F.when(F.col("verdict") == "separable", (F.col("min_scored") + F.col("max_distractor")) / 2))

@@ -14,7 +14,7 @@ from tagweave.plans import adapters as ad
 from tagweave.plans import queries as plans
 from tagweave.plans import sql
 from tagweave.plans.queries import query
-from tagweave.sources import readers
+from tagweave.sources import readers, versions
 from tagweave.sources.scratch import scratch_path, written
 from tagweave.streaming import ingest
 
@@ -293,13 +293,18 @@ total AS (SELECT item_id FROM (SELECT item_id FROM catalog UNION SELECT item_id
 rows AS (SELECT item_id, 'old ' || item_id || ' https://shop.example/' || item_id || ' ' || item_id || '.jpg' AS what FROM catalog UNION ALL SELECT item_id, 'new ' || item_id || ' ' || pos || ' https://shop.example/' || item_id || ' ?' FROM fresh_new)"""
 
 
-def _update(s: SparkSession, d: str) -> dict[str, DataFrame]:
-    """Catalog rows have a name, a link and, those known before, a thumbnail; the listing tells new items' names and links."""
-    link = F.concat(F.lit("https://shop.example/"), "item_id").alias("url")
-    known = ad.catalog(s, d).select("item_id", F.concat(F.lit("old "), "item_id").alias("name"), link, F.concat("item_id", F.lit(".jpg")).alias("thumbnail_url"))
-    listing = ad.listing(s, d).select("item_id", "page", "pos", F.concat_ws(" ", F.lit("new"), "item_id", F.col("pos").cast("string")).alias("name"), link)
+def _before(s: SparkSession, d: str) -> dict[str, DataFrame]:
+    """The tables as they are; catalog rows have a name, a link and a thumbnail."""
+    known = ad.catalog(s, d).select("item_id", F.concat(F.lit("old "), "item_id").alias("name"), F.concat(F.lit("https://shop.example/"), "item_id").alias("url"), F.concat("item_id", F.lit(".jpg")).alias("thumbnail_url"))
     old = lambda df: df.join(known, "item_id", "left_semi")
-    return catalog.run_update(known, old(ad.hair(s, d)), old(ad.full(s, d)), ad.stats(s, d), listing, ad.scores(s, d), _fetched(s, d), ad.vocab(s))
+    return {"catalog": known, "hair": old(ad.hair(s, d)), "full": old(ad.full(s, d)), "stats": ad.stats(s, d)}
+
+
+def _update(s: SparkSession, d: str) -> dict[str, DataFrame]:
+    """The listing tells new items' names and links, not their thumbnails."""
+    t = _before(s, d)
+    listing = ad.listing(s, d).select("item_id", "page", "pos", F.concat_ws(" ", F.lit("new"), "item_id", F.col("pos").cast("string")).alias("name"), F.concat(F.lit("https://shop.example/"), "item_id").alias("url"))
+    return catalog.run_update(t["catalog"], t["hair"], t["full"], t["stats"], listing, ad.scores(s, d), _fetched(s, d), ad.vocab(s))
 
 
 @query("WITH " + _UPDATE + " SELECT 'new' AS status, count(*) AS n FROM fresh_new UNION ALL SELECT 'tagged', count(*) FROM fresh_new WHERE item_id IN (SELECT item_id FROM fetched WHERE status = 200) UNION ALL SELECT 'refreshed', count(*) FROM stale WHERE item_id IN (SELECT item_id FROM fetched WHERE status = 200) UNION ALL SELECT 'pruned', count(*) FROM gone UNION ALL SELECT 'total', count(*) FROM total")
@@ -312,8 +317,13 @@ def g10_update_report(s, d):
     "SELECT 'catalog' AS part, item_id, what FROM rows WHERE item_id IN (FROM total) UNION ALL SELECT 'stats', item_id, concat_ws('/', wish, published_at, coalesce(checked_at, '?')) FROM now WHERE item_id NOT IN (FROM gone) "
     "UNION ALL SELECT 'hair', item_id, string_agg(tag, ',' ORDER BY tag) FROM hair_v WHERE item_id IN (FROM total) GROUP BY item_id UNION ALL SELECT 'full', item_id, string_agg(tag, ',' ORDER BY tag) FROM full_v WHERE item_id IN (FROM total) GROUP BY item_id")
 def u7_weekly_update(s, d):
-    """All four tables after the weekly update."""
-    t = _update(s, d)
+    """All four tables after the weekly update: written as a version of bucketed tables, of which it changes some, and read back."""
+    before, done = _before(s, d), _update(s, d)
+    folders = {n: scratch_path(s, n) for n in before}
+    for name, df in before.items():
+        versions.create(df, folders[name])
+    catalog.write_update(done, folders)
+    t = {n: versions.read(s, folders[n], df.schema) for n, df in before.items()}
     tags = lambda n: t[n].groupBy("item_id").agg(F.array_join(F.array_sort(F.collect_list("tag")), ",").alias("what")).select(F.lit(n).alias("part"), "item_id", "what")
     stats = t["stats"].select(F.lit("stats"), "item_id", F.concat_ws("/", F.col("wish").cast("string"), "published_at", F.coalesce("checked_at", F.lit("?"))))
     rows = t["catalog"].select(F.lit("catalog").alias("part"), "item_id", F.concat_ws(" ", "name", "url", F.coalesce("thumbnail_url", F.lit("?"))).alias("what"))
