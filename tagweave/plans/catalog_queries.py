@@ -45,10 +45,10 @@ def s1_read_catalog(s, d):
     return readers.read_catalog(s, _write_text(files, "catalog")).select("product_id", "name", "url", "price", "has_vrchat_badge")
 
 
-@query("WITH " + sql.VECTORS + " SELECT i.item_id, tag, conf FROM items i LEFT JOIN (SELECT * FROM hair_v WHERE conf >= 0.5) h USING (item_id)")
+@query("WITH " + sql.VECTORS + " SELECT i.item_id, tag, conf FROM items i LEFT JOIN hair_v h USING (item_id)")
 def s2_read_vectors(s, d):
     """Vectors through {id: {tag: conf}} files; items with empty vectors come back with a null tag."""
-    strong = ad.hair(s, d).where("conf >= 0.5").groupBy("item_id").agg(F.map_from_entries(F.collect_list(F.struct("tag", "conf"))).alias("v"))
+    strong = ad.hair(s, d).groupBy("item_id").agg(F.map_from_entries(F.collect_list(F.struct("tag", "conf"))).alias("v"))
     all_ = ad.items(s, d).join(strong, "item_id", "left").withColumn("v", F.coalesce("v", F.create_map().cast("map<string,double>")))
     v, items = readers.read_tag_vectors(s, _write_text(_maps(all_, "item_id", "v"), "vectors"))
     return items.join(v, "item_id", "left").select("item_id", "tag", "conf")
@@ -62,10 +62,10 @@ def s3_read_stats(s, d):
     return done.withColumn("tags", F.array_join("tags", ","))
 
 
-@query("WITH " + sql.IMAGES + ", n AS (SELECT item_id, image_no, row_number() OVER (PARTITION BY item_id ORDER BY image_no) - 1 AS k FROM images) SELECT CAST(n.item_id AS VARCHAR) AS item_id, CAST(k AS INTEGER) AS image_no, tag, conf FROM n LEFT JOIN (SELECT * FROM img WHERE conf >= 0.9) i ON i.item_id = n.item_id AND i.image_no = n.image_no")
+@query("WITH " + sql.IMAGES + ", n AS (SELECT item_id, image_no, row_number() OVER (PARTITION BY item_id ORDER BY image_no) - 1 AS k FROM images) SELECT CAST(n.item_id AS VARCHAR) AS item_id, CAST(k AS INTEGER) AS image_no, tag, conf FROM n LEFT JOIN img i ON i.item_id = n.item_id AND i.image_no = n.image_no")
 def s4_read_image_tags(s, d):
     """Vectors of images through {id: [{tag: conf}, ...]} files, images without a tag too."""
-    own = ad.image_tags(s, d).where("conf >= 0.9").groupBy("item_id", "image_no").agg(F.map_from_entries(F.collect_list(F.struct("tag", "conf"))).alias("v"))
+    own = ad.image_tags(s, d).groupBy("item_id", "image_no").agg(F.map_from_entries(F.collect_list(F.struct("tag", "conf"))).alias("v"))
     every = ad.images(s, d).join(own, ["item_id", "image_no"], "left").withColumn("v", F.coalesce("v", F.create_map().cast("map<string,double>")))
     lists = every.groupBy(F.col("item_id").cast("string").alias("item_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("image_no", F.map_entries("v").alias("e")))), lambda x: F.map_from_entries(x["e"])).alias("l"))
     tags, images = readers.read_image_tags(s, _write_text(_maps(lists, "item_id", "l"), "images"))

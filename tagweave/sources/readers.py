@@ -6,51 +6,41 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagweave.functions.fields import parse_price, strip_desc, tag_names
+from tagweave.sources import json_ranges
+from tagweave.sources.scratch import written
 
 CATALOG = "product_id string, name string, url string, thumbnail_url string, shop_name string, shop_url string, price int, has_vrchat_badge boolean"
 STATS = "wish int, published_at string, price int, tags array<string>, desc string, checked_at string"
 ITEM = "tags array<struct<name: string>>, description string, wish_lists_count int, published_at string, price string"
 
 
-def _whole(spark: SparkSession, path: str) -> DataFrame:
-    """(json) of each file, one row; a missing path gives no rows."""
-    try:
-        return spark.read.text(path, wholetext=True).select(F.col("value").alias("json"))
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return spark.createDataFrame([], "json string")
-
-
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of items; of items with one id the last wins."""
+    """JSON arrays of items, read by byte ranges; of items with one id the last wins, by file and place."""
     fields = [x.split(" ")[0] for x in CATALOG.split(", ")]
-    kind = "array<struct<" + ", ".join(x.replace(" ", ": ", 1) for x in CATALOG.split(", ")) + ">>"
-    rows = _whole(spark, path).select(F.posexplode(F.from_json("json", kind)).alias("pos", "r"))
-    last = rows.groupBy("r.product_id").agg(F.max_by("r", "pos").alias("r"))
+    rows = json_ranges.elements(spark, path).select(F.struct("file", "at").alias("place"), F.from_json("element", CATALOG).alias("r"))
+    last = rows.where("r.product_id is not null").groupBy("r.product_id").agg(F.max_by("r", "place").alias("r"))
     return last.select(*[F.col(f"r.{c}").alias(c) for c in fields])
 
 
 def read_tag_vectors(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(vectors, items) of a JSON object {id: {tag: conf}}; items has those with empty vectors too."""
-    maps = _whole(spark, path).select(F.explode(F.from_json("json", "map<string, map<string, double>>")).alias("item_id", "v"))
+    """(vectors, items) of JSON objects {id: {tag: conf}}; items has those with empty vectors too."""
+    maps = written(json_ranges.last_entries(spark, path, "map<string, double>"), "vectors")
     return maps.select("item_id", F.explode("v").alias("tag", "conf")), maps.select("item_id")
 
 
 def read_stats(spark: SparkSession, path: str) -> DataFrame:
-    kind = "map<string, struct<" + ", ".join(x.replace(" ", ": ", 1) for x in STATS.split(", ")) + ">>"
-    rows = _whole(spark, path).select(F.explode(F.from_json("json", kind)).alias("item_id", "s"))
-    return rows.select("item_id", "s.*")
+    """Statistics of JSON objects {id: {...}}; missing fields are null, a missing path has no rows."""
+    return json_ranges.last_entries(spark, path, STATS).select("item_id", "v.*")
 
 
 def read_image_tags(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(image tags, images) of a JSON object {id: [{tag: conf}]}."""
-    images = _whole(spark, path).select(F.explode(F.from_json("json", "map<string, array<map<string, double>>>")).alias("item_id", "l")).select("item_id", F.posexplode("l").alias("image_no", "v"))
+    """(image tags, images) of JSON objects {id: [{tag: conf}]}."""
+    lists = json_ranges.last_entries(spark, path, "array<map<string, double>>").select("item_id", F.posexplode("v").alias("image_no", "v"))
+    images = written(lists, "images")
     return images.select("item_id", "image_no", F.explode("v").alias("tag", "conf")), images.select("item_id", "image_no")
 
 
