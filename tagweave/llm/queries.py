@@ -107,7 +107,7 @@ def op9_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     labels = read(spark, sf_dir, "labels").select("doc_id", "toxic")
-    model = toxicity.train(docs.where(part_of_id(4) != 2).join(labels, "doc_id"))
+    model = toxicity.train(toxicity.with_labels(docs.where(part_of_id(4) != 2), labels))
     scored = toxicity.score(docs.withColumn("held_out", part_of_id(4) == 2), model, ["doc_id", "held_out"])
     return scored.select("doc_id", F.coalesce("held_out", F.lit(False)).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 

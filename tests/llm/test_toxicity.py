@@ -45,3 +45,13 @@ def test_scores_by_plain_python():
         z = model.bias + sum(float(model.weight[i]) for i in at)
         z += sum(float(np.dot(model.factors[i].astype(float), model.factors[j].astype(float))) for i, j in itertools.combinations(at, 2))
         assert abs(got - 1 / (1 + math.exp(-z))) < 1e-6
+
+
+def test_labels_are_drawn_before_texts_move(spark):
+    docs = spark.range(3000).selectExpr("id as doc_id", "concat('text ', id) as text")
+    labels = spark.range(3000).selectExpr("id as doc_id", "if(id % 7 = 0, null, cast(id % 2 as int)) as toxic")
+    assert toxicity.with_labels(docs, labels).count() == 3000 - 429
+    drawn = toxicity.with_labels(docs, labels, 200)
+    assert 300 <= drawn.count() <= 500 and drawn.where("toxic is null or toxic <> doc_id % 2").isEmpty()
+    same_id = labels.selectExpr("1 as doc_id", "toxic")
+    assert toxicity.with_labels(docs, same_id, 100).count() in (0, 3000 - 429)
