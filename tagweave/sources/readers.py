@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +19,16 @@ STATS = "wish int, published_at string, price int, tags array<string>, desc stri
 ITEM = "tags array<struct<name: string>>, description string, wish_lists_count int, published_at string, price string"
 
 
+def _whole(spark: SparkSession, path: str) -> DataFrame:
+    """(json) of each small file, such as a dictionary overlay, one row; a missing path gives no rows."""
+    try:
+        return spark.read.text(path, wholetext=True).select(F.col("value").alias("json"))
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], "json string")
+
+
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     """JSON arrays of items, read by byte ranges; of items with one id the last wins, by file and place."""
     fields = [x.split(" ")[0] for x in CATALOG.split(", ")]
