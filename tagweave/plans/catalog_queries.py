@@ -441,6 +441,20 @@ def r1_stream_update(s, d):
     return ingest.snapshot(s, schema, sink, ["at"])
 
 
+@query("SELECT CAST(user_id AS VARCHAR) AS item_id, epoch_us(max(ts)) AS at, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY user_id")
+def r1_keyed_state(s, d):
+    """As r1_stream_update, with each user's newest event as state of the stream and a watermark as wide as the events' span,
+    as files come in any order."""
+    schema = "item_id string, at long, event_id long, value double"
+    source, sink, checkpoint = (scratch_path(s, n) for n in ("arriving", "parts", "progress"))
+    events = ad.read(s, d, "events")
+    rows = events.select(F.col("user_id").cast("string").alias("item_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_id", "value")
+    rows.withColumn("f", F.pmod(F.xxhash64("event_id"), F.lit(4))).repartition(4, "f").drop("f").write.parquet(source)
+    span = rows.agg(F.max("at") - F.min("at")).first()[0] or 0
+    ingest.keyed_update(s, source, schema, sink, checkpoint, ["at", "event_id"], late=f"{span // 1_000_000 + 1} seconds")
+    return ingest.snapshot(s, schema, sink, ["at", "event_id"]).drop("event_id")
+
+
 _MORE = sql.DICTIONARY + ", o AS (SELECT DISTINCT lower(p_type) || ' ' || CASE WHEN p_size < 12 THEN '|' ELSE '' END || tag AS key, 'x_' || tag AS tag FROM words WHERE p_size BETWEEN 8 AND 12), n AS (SELECT split_part(key, '|', 1) AS prefix, split_part(key, '|', 2) AS base, tag FROM o WHERE key LIKE '%|%')"
 
 
