@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagweave.llm.shared import discard, durable
+from tagweave.llm.shared import discard, durable, packed, unpacked
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: They match what the plain patterns match, but start only where a match can start and give nothing back, so long runs
@@ -21,8 +21,16 @@ PATTERNS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][ -]?[0-9][ -]?[0-9]", "phone": r"\+[0-9]"}
-#: A word's letters, at least three, between other characters than letters and digits and blanks.
-TERM = r"(?<![^ \t\n\x0b\f\r])[^\p{L}\p{N} \t\n\x0b\f\r]*+(\p{L}{3,}+)[^\p{L}\p{N} \t\n\x0b\f\r]*+(?![^ \t\n\x0b\f\r])"
+#: A word between blanks, without the punctuation around it: two letters or more, with apostrophes and hyphens between them.
+SOLID = r"\p{L}\p{M}\p{N}"
+TERM = (
+    r"(?<![^ \t\n\x0b\f\r])[^\p{L}\p{M}\p{N} \t\n\x0b\f\r]*+"
+    r"(\p{L}[\p{L}\p{M}]++(?:['’-][\p{L}\p{M}]++)*+|\p{L}(?:['’-][\p{L}\p{M}]++)++)"
+    r"[^\p{L}\p{M}\p{N} \t\n\x0b\f\r]*+(?![^ \t\n\x0b\f\r])"
+)
+#: Scripts that put no blanks between words: two and three letters beside each other are terms, too.
+UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}ー\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+GRAMS = (2, 3)
 #: Digits of a number that are looked at as its prefix.
 PREFIX = 4
 MIN_TEXTS = 3
@@ -78,8 +86,25 @@ def find_base(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _terms(text: Column) -> Column:
-    """Lower-cased words of three or more letters, punctuation around them left out, each once."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(1)))
+    """Lower-cased words of two or more letters, punctuation around them left out, and letters side by side in scripts without
+    blanks, each once."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(1))
+    grams = [F.regexp_extract_all(text, F.lit(f"(?=([{UNSPACED}]{{{n}}}))"), F.lit(1)) for n in GRAMS]
+    return F.array_distinct(F.when(text.rlike(f"[{UNSPACED}]{{{GRAMS[0]}}}"), F.concat(words, *grams)).otherwise(words))
+
+
+def _places(text: Column, term: Column) -> Column:
+    """Spans of a term wherever it stands in the text, without overlaps."""
+    empty = F.expr("cast(array() as array<struct<start: int, kind: int, end: int, value: string>>)")
+
+    def step(acc, before):
+        start = acc["pos"] + F.length(before)
+        end = start + F.length(term)
+        one = F.struct(start.alias("start"), F.lit(KINDS.index("term")).alias("kind"), end.alias("end"), term.alias("value"))
+        return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(one)).alias("out"))
+
+    between = F.split(text, term, -1)
+    return F.aggregate(F.slice(between, 1, F.size(between) - 1), F.struct(F.lit(0).alias("pos"), empty.alias("out")), step)["out"]
 
 
 def _levels(e: Column) -> Column:
@@ -124,33 +149,40 @@ def disclosing_terms(based: DataFrame, min_texts: int = MIN_TEXTS, share: float
     return out
 
 
+#: Columns that sanitise() adds.
+RESULTS = ["base_", "spans_", "clean_text"]
+
+
 def sanitise(docs: DataFrame, text: str = "text", **args) -> DataFrame:
     """docs with base_, spans_ (base and terms: start, kind, end, value) and clean_text.
 
     Entities become [EMAIL], [IP], [CARD] or [PHONE]; disclosing terms become a class: [PERSON], [ORGANISATION], [PLACE],
-    [NETWORK] or [ACCOUNT]. A span that begins inside an earlier one is covered by it. Null texts are empty. Repeated rows
-    are treated alike; an empty table gives no rows; texts may have any length. Columns named base_, spans_ or clean_text
-    are replaced, others pass through.
+    [NETWORK] or [ACCOUNT]. Spans that overlap become one mark, that of the first. Null texts are empty. Repeated rows
+    are treated alike; an empty table gives no rows; texts may have any length. Columns with the names of results are
+    replaced, all others pass, whatever their names.
     """
-    told = disclosing_terms(find_base(docs.select(text), text), **args)
-    keyed = find_base(docs, text).withColumn("key_", F.xxhash64("t_"))
+    told = disclosing_terms(find_base(docs.select(F.col(text).alias("text"))), **args)
+    keyed = find_base(packed(docs, text)).withColumn("key_", F.xxhash64("t_"))
     where = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t")).select(F.xxhash64("t").alias("k_"), F.explode(_terms(F.col("t"))).alias("term"))
     own = durable(where.join(told, "term").groupBy("k_").agg(F.map_from_entries(F.collect_set(F.struct("term", "class"))).alias("own_")), "revealing")
-    df = keyed.join(own, F.col("key_") == F.col("k_"), "left").drop("key_", "k_")
+    df = keyed.join(own, F.col("key_") == F.col("k_"), "left")
     blank = r"[^\x20\x09-\x0D]+"
     empty = F.expr("cast(array() as array<struct<start: int, kind: int, end: int, value: string>>)")
 
     def step(acc, pair):
         start = acc["pos"] + F.length(pair["b"])
-        core = F.regexp_replace(pair["h"], r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
-        lead = F.length(pair["h"]) - F.length(F.regexp_replace(pair["h"], r"^[^\p{L}\p{N}]+", ""))
+        core = F.regexp_replace(pair["h"], f"^[^{SOLID}]+|[^{SOLID}]+$", "")
+        lead = F.length(pair["h"]) - F.length(F.regexp_replace(pair["h"], f"^[^{SOLID}]+", ""))
         one = F.struct((start + lead).alias("start"), F.lit(4).alias("kind"), (start + lead + F.length(core)).alias("end"), core.alias("value"))
         hit = F.map_contains_key(F.col("own_"), F.lower(core))
         return F.struct((start + F.length(pair["h"])).alias("pos"), F.when(hit, F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
 
     hits, between = F.regexp_extract_all("t_", F.lit(blank), F.lit(0)), F.split("t_", blank, -1)
     pairs = F.arrays_zip(hits.alias("h"), F.slice(between, 1, F.size(hits)).alias("b"))
-    term = F.when(F.col("own_").isNotNull(), F.aggregate(pairs, F.struct(F.lit(0).alias("pos"), empty.alias("out")), step)["out"]).otherwise(empty)
+    words = F.aggregate(pairs, F.struct(F.lit(0).alias("pos"), empty.alias("out")), step)["out"]
+    unspaced = F.filter(F.map_keys("own_"), lambda k: k.rlike(f"^[{UNSPACED}]{{{GRAMS[0]},{GRAMS[-1]}}}$"))
+    within = F.flatten(F.transform(unspaced, lambda k: _places(F.col("t_"), k)))
+    term = F.when(F.col("own_").isNotNull(), F.array_distinct(F.concat(words, within))).otherwise(empty)
     df = df.withColumn("spans_", F.array_sort(F.concat(F.col("base_"), term)))
 
     def mark(s):
@@ -159,11 +191,11 @@ def sanitise(docs: DataFrame, text: str = "text", **args) -> DataFrame:
 
     def put(acc, s):
         new = F.struct(s["end"].alias("pos"), F.concat(acc["out"], F.substring(F.col("t_"), acc["pos"] + 1, s["start"] - acc["pos"]), mark(s)).alias("out"))
-        return F.when(s["start"] >= acc["pos"], new).otherwise(acc)
+        return F.when(s["start"] >= acc["pos"], new).otherwise(F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), acc["out"].alias("out")))
 
     done = F.aggregate("spans_", F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), put)
     clean = F.when(F.size("spans_") == 0, F.col("t_")).otherwise(F.concat(done["out"], F.substring(F.col("t_"), done["pos"] + 1, F.length("t_"))))
-    return df.withColumn("clean_text", clean).drop("t_", "own_")
+    return unpacked(df.withColumn("clean_text", clean), RESULTS)
 
 
 def span_string(spans: Column) -> Column:

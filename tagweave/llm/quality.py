@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tagweave.llm.shared import packed, unpacked
+
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -62,27 +64,29 @@ def line_fails(line: Column) -> Column:
     return ~line.rlike(PUNCTUATION) | line.rlike(NAVIGATION) | line.rlike(BOILERPLATE)
 
 
+#: Columns that measures() finds, and those that clean_lines() adds.
+MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+RESULTS = ["clean_text", *MEASURES, "n_lines", "n_lines_removed", "kept_chars", "base_failed", "kept"]
+
+
 def clean_lines(docs: DataFrame, text: str = "text", min_kept_percent: int = MIN_KEPT_PERCENT) -> DataFrame:
     """docs with the measures, n_lines, n_lines_removed, kept_chars, clean_text, base_failed and kept.
 
     base_failed: under 50 words, or more than half of the words in repeated 3-word windows. kept: not base_failed, and
     the lines that stay hold at least min_kept_percent of the text's characters other than blanks. A null or empty text
     has no words and fails. Repeated rows are judged alike; an empty table gives no rows; lines and texts may have any
-    length. Other columns pass through, except that a column with the name of a result is replaced.
+    length. Columns with the names of results are replaced, all others pass, whatever their names.
     """
-    df = measures(docs, text).withColumn("v_", F.transform("l_", lambda x: F.struct(x.alias("line"), line_fails(x).alias("bad"))))
+    df = measures(packed(docs, text)).withColumn("v_", F.transform("l_", lambda x: F.struct(x.alias("line"), line_fails(x).alias("bad"))))
     df = df.withColumns({"g_": F.expr("filter(v_, v -> not v.bad).line"), "b_": F.expr("filter(v_, v -> v.bad).line")})
     df = df.withColumn("clean_text", F.array_join("g_", "\n"))
     failed = (F.col("m.n_words") < MIN_WORDS) | (100 * F.col("m.n_repeat_words") > MAX_REPEAT_PERCENT * F.col("m.n_words"))
     lost = F.length(F.translate(F.array_join("b_", ""), BLANKS, ""))
-    return (
-        df.withColumns({x: F.col(f"m.{x}") for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")})
-        .withColumns({
-            "n_lines": F.size("l_").cast("long"),
-            "n_lines_removed": F.size("b_").cast("long"),
-            "kept_chars": (F.col("m.word_chars") - lost).cast("long"),
-            "base_failed": failed,
-        })
-        .withColumn("kept", ~F.col("base_failed") & (100 * F.col("kept_chars") >= min_kept_percent * F.col("word_chars")))
-        .drop("m", "l_", "v_", "g_", "b_")
-    )
+    df = df.withColumns({x: F.col(f"m.{x}") for x in MEASURES}).withColumns({
+        "n_lines": F.size("l_").cast("long"),
+        "n_lines_removed": F.size("b_").cast("long"),
+        "kept_chars": (F.col("m.word_chars") - lost).cast("long"),
+        "base_failed": failed,
+    })
+    df = df.withColumn("kept", ~F.col("base_failed") & (100 * F.col("kept_chars") >= min_kept_percent * F.col("word_chars")))
+    return unpacked(df, RESULTS)

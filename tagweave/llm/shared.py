@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that are worked on at once: work arrays are some tens of times as large.
 SLICE_BYTES = 500_000
@@ -54,6 +55,18 @@ def discard(*tables: DataFrame) -> None:
             hadoop.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def packed(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(row, text): all columns of docs in one struct, beside which an operator's own columns cannot clash with them."""
+    return docs.select(F.struct("*").alias("row"), F.col(text).alias("text"))
+
+
+def unpacked(df: DataFrame, results: list[str]) -> DataFrame:
+    """The columns within `row`, then the results; a column with the name of a result, in any case, is replaced."""
+    names = {r.lower() for r in results}
+    own = [F.col("row").getField(f.name).alias(f.name) for f in df.schema["row"].dataType if f.name.lower() not in names]
+    return df.select(*own, *results)
+
+
 def release() -> None:
     """Give freed memory back to the system: Python workers outlive their tasks and serve other operators' tasks."""
     pa.default_memory_pool().release_unused()
