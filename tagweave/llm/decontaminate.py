@@ -15,12 +15,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagweave.llm.letters import letter_table
-from tagweave.llm.shared import durable, map_arrow, new_path, slices, texts_of
+from tagweave.llm.shared import durable, map_arrow, new_path, slices, unpacked
 from tagweave.llm.text_arrays import mix, part_hash, signed, window_hash, words
 
 WINDOW = 8
 MIN_LITERALS = 4
 MIN_COVER = 0.5
+#: Items of fewer words, such as `Yes` or `42`, tell nothing of a document that holds them.
+MIN_WORDS = 4
 MAX_SENT = 2_000_000
 #: Units of measure that become slots after a number.
 UNITS = (
@@ -126,10 +128,9 @@ def _windowed(df: DataFrame, keep: list[str], sizes: tuple, wanted: np.ndarray |
 
 
 def _size(batch: pa.RecordBatch):
-    texts = texts_of(batch)
-    doc = template(texts)[0]
-    n = np.bincount(doc, minlength=len(texts)).astype(np.int32)
-    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts), pa.array(n)], ["item_id", "text", "size"])
+    for lo, hi, texts in slices(batch):
+        n = np.bincount(template(texts)[0], minlength=hi - lo).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(texts, pa.string()), pa.array(n)], ["item_id", "text", "size"])
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_cover: float = MIN_COVER, max_sent: int = MAX_SENT) -> DataFrame:
@@ -174,16 +175,33 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_cov
     return cover.where(F.col("covered") >= min_cover * F.col("size")).groupBy(*pair).agg(F.max("covered").alias("covered"), F.max("size").alias("size"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, **args) -> DataFrame:
-    """docs with n_items (benchmark items found), item_ids (their list, ascending) and contaminated.
+#: Columns that contaminated() adds.
+RESULTS = ["item_ids", "n_items", "short_item_ids", "contaminated"]
 
-    Repeated rows are judged alike. An empty benchmark leaves all documents clean. Columns with the names of results are replaced.
-    """
-    found = durable(matches(docs, benchmark, **args), "found").groupBy("doc_id", "key").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids")).select(F.col("doc_id").alias("found_id_"), F.col("key").alias("found_key_"), F.col("item_ids").alias("found_items_"))
-    mine = docs.withColumn("text_key_", F.xxhash64(F.coalesce("text", F.lit(""))))
-    both = mine.join(found, mine["doc_id"].cast("long").eqNullSafe(found["found_id_"]) & (mine["text_key_"] == found["found_key_"]), "left")
-    return (
-        both.withColumn("item_ids", F.coalesce("found_items_", F.array().cast("array<bigint>")))
-        .withColumn("n_items", F.size("item_ids").cast("long")).withColumn("contaminated", F.size("item_ids") > 0)
-        .drop("text_key_", "found_id_", "found_key_", "found_items_")
+
+def _marked(docs: DataFrame, benchmark: DataFrame, min_words: int, **args) -> DataFrame:
+    """(row, item_ids, n_items, short_item_ids, contaminated): all columns of docs in one struct, and the results."""
+    ids = lambda some: F.sort_array(F.collect_set(F.when(some, F.col("item_id"))))
+    found = durable(matches(docs, benchmark, **args), "found").groupBy(F.col("doc_id").alias("found_id"), F.col("key").alias("found_key")).agg(
+        ids(F.col("size") >= min_words).alias("long_"), ids(F.col("size") < min_words).alias("short_")
     )
+    mine = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"))
+    none = F.array().cast("array<bigint>")
+    both = mine.join(found, F.col("id").eqNullSafe(F.col("found_id")) & (F.col("key") == F.col("found_key")), "left")
+    both = both.select("row", F.coalesce("long_", none).alias("item_ids"), F.coalesce("short_", none).alias("short_item_ids"))
+    return both.withColumns({"n_items": F.size("item_ids").cast("long"), "contaminated": F.size("item_ids") > 0})
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS, **args) -> DataFrame:
+    """docs with n_items (benchmark items found), item_ids (their list, ascending), short_item_ids and contaminated.
+
+    Items of fewer than min_words words are reported in short_item_ids alone and contaminate nothing. Repeated rows are
+    judged alike; null and empty texts are clean; an empty table gives no rows, an empty benchmark leaves all documents
+    clean; texts may have any length. Columns with the names of results are replaced, all others pass, whatever their names.
+    """
+    return unpacked(_marked(docs, benchmark, min_words, **args), RESULTS)
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS, **args) -> DataFrame:
+    """The rows of docs without a benchmark item, with all their columns, those with the names of results too."""
+    return _marked(docs, benchmark, min_words, **args).where("not contaminated").select("row.*")

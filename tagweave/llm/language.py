@@ -13,9 +13,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 from tagweave.llm.letters import OTHER, letter_runs, script_table
-from tagweave.llm.shared import column, map_arrow, slices
+from tagweave.llm.shared import column, map_arrow, slices, unpacked
 from tagweave.llm.text_arrays import mix
 
 BUCKETS = 1 << 16
@@ -149,13 +150,18 @@ def _predict(batch: pa.RecordBatch, model: Model, penalty: float):
         yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)) for c in keep] + list(out.values()), keep + list(out))
 
 
+#: Columns that identify() adds.
+RESULTS = ["lang_pred", "score", "lang_spans"]
+
+
 def identify(docs: DataFrame, model: Model, keep: list[str], penalty: float = PENALTY) -> DataFrame:
     """The columns `keep` of docs with lang_pred, score (share of letters in spans of that language) and lang_spans
     (language:start:end, character offsets in the lower-cased text).
 
     A text that is null or has no letter gets `und`, score 0 and no spans. Ties go to the language first in order. Repeated
-    rows are labelled alike, an empty table gives no rows, texts may have any length; `keep` must not name a result.
+    rows are labelled alike, an empty table gives no rows, texts may have any length. A column of `keep` with the name of a
+    result is replaced; others pass, whatever their names.
     """
-    types = dict(docs.dtypes)
-    schema = ", ".join(f"`{c}` {types[c]}" for c in keep) + ", lang_pred string, score double, lang_spans array<string>"
-    return map_arrow(docs.select(*keep, "text"), _predict, schema, model=model, penalty=penalty)
+    own = docs.select(F.struct(*keep).alias("row"), "text")
+    schema = StructType([own.schema["row"]]).add("lang_pred", "string").add("score", "double").add("lang_spans", ArrayType(StringType()))
+    return unpacked(map_arrow(own, _predict, schema, model=model, penalty=penalty), RESULTS)

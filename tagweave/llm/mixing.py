@@ -12,12 +12,15 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tagweave.llm.shared import column, durable, map_arrow, slices
 from tagweave.llm.text_arrays import mix, words
 
 BLOCK_WORDS = 32
 SHARD_SLOTS = 4096
+#: A mix has about this many shards at least, so that the last one's draw is a small part of any table.
+MIN_SHARDS = 256
 BUCKETS = 4096
 MOST = 3
 #: Shards whose slots are added up at a time.
@@ -122,7 +125,8 @@ def taken_blocks(table: DataFrame, block: int = BLOCK_WORDS, slots: int = SHARD_
     """(source, block, epoch) of every slot of the mix. table: source, source_size, target.
 
     The shards draw in waves of three quarters of those left, down to one: the weights of a wave are what the sources
-    still lack, so chance moves a source's total by no more than one shard's draw does. A source takes MOST passes over its
+    still lack, so chance moves a source's total by no more than one shard's draw does. A shard has `slots` slots at most, and
+    fewer where there would be less than MIN_SHARDS shards. A source takes MOST passes over its
     blocks at most; slots drawn beyond that are drawn again in the next wave among the others. The driver sees the sources'
     table and their totals: a row per source, not per document, shard or slot.
     """
@@ -133,6 +137,7 @@ def taken_blocks(table: DataFrame, block: int = BLOCK_WORDS, slots: int = SHARD_
     blocks = -(-size // block)
     want = t["target"].to_numpy(float) * blocks / size if len(t) else np.empty(0)
     total, limit = int(round(want.sum())), MOST * blocks
+    slots = max(1, min(slots, -(-total // MIN_SHARDS)))
     n_shards = -(-total // slots)
     filled, pending, each, lo, wave = np.zeros(len(t), np.int64), None, None, 0, 0
     while lo < n_shards or pending is not None:
@@ -199,9 +204,11 @@ def mixed_counts(docs: DataFrame, **args) -> DataFrame:
 
 
 def _cut(batch: pa.RecordBatch, columns: list[str]):
-    for lo, hi, texts in slices(batch):
-        part, out = batch.slice(lo, hi - lo), []
-        for text, piece, size in zip(texts, column(part, "pieces_").to_pylist(), column(part, "size_").to_pylist()):
+    row = column(batch, "row")
+    flat = pa.RecordBatch.from_arrays([row.field(i) for i in range(len(columns))], columns)
+    for lo, hi, texts in slices(pa.RecordBatch.from_arrays([flat.column(columns.index("text"))], ["text"])):
+        part, own, out = batch.slice(lo, hi - lo), flat.slice(lo, hi - lo), []
+        for text, piece, size in zip(texts, column(part, "pieces").to_pylist(), column(part, "size").to_pylist()):
             ranges = sorted((p["from_word"], p["to_word"]) for p in piece)
             if sum(b - a for a, b in ranges) == size:
                 out.append(text)
@@ -216,21 +223,22 @@ def _cut(batch: pa.RecordBatch, columns: list[str]):
                     runs.append([a, b])
             out.append("\n".join(text[w.start[a] : end[b - 1]].rstrip() for a, b in runs))
         new = {"text": pa.array(out, pa.string()), "n_chars": pa.array([len(t) for t in out], pa.int64())}
-        yield pa.RecordBatch.from_arrays([new.get(c, column(part, c)) for c in columns], columns)
+        yield pa.RecordBatch.from_arrays([new[c] if c in new else own.column(i) for i, c in enumerate(columns)], columns)
 
 
 def mix_documents(docs: DataFrame, **args) -> DataFrame:
     """The mix itself, with the columns of docs: a row per document and epoch it is taken in, whose text is the taken words
     (n_chars, where docs has it, is their length). A document taken whole keeps its text as it was.
 
-    Repeated rows have a place each, and each gives its own rows. A document that is not taken gives none.
+    Repeated rows have a place each, and each gives its own rows; of rows with one doc_id, source and text but other columns
+    that differ, the one whose columns have the least hash stands for all, so runs agree. A document that is not taken,
+    such as one without words, gives none; an empty table gives no rows; texts may have any length. Columns may have any name.
     """
     _, _, parts = mix_parts(docs, **args)
     own = parts.groupBy("doc_id", "key", "source", "at", "size", "epoch").agg(F.collect_list(F.struct("from_word", "to_word")).alias("pieces"))
-    own = own.select(F.col("doc_id").alias("id_"), F.col("key").alias("key_"), F.col("source").alias("source_"), F.col("size").alias("size_"), F.col("pieces").alias("pieces_"))
-    rows = docs.withColumn("text_key_", F.xxhash64(F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", "source", "text_key_"])
-    same = rows["doc_id"].cast("long").eqNullSafe(own["id_"]) & (rows["text_key_"] == own["key_"]) & rows["source"].eqNullSafe(own["source_"])
-    both = rows.join(own, same).select(*docs.columns, "size_", "pieces_")
-    types = dict(docs.dtypes)
-    schema = ", ".join(f"`{c}` {'bigint' if c == 'n_chars' else types[c]}" for c in docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("source").alias("of"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), F.xxhash64("*").alias("hash"))
+    rows = rows.groupBy("id", "of", "text_key").agg(F.min_by("row", "hash").alias("row"))
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("text_key") == F.col("key")) & F.col("of").eqNullSafe(F.col("source"))
+    both = rows.join(own, same).select("row", "size", "pieces")
+    schema = StructType([StructField(f.name, LongType()) if f.name == "n_chars" else f for f in docs.schema])
     return map_arrow(both, _cut, schema, columns=docs.columns)

@@ -96,7 +96,7 @@ def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return decontaminate.contaminated(docs, read(spark, sf_dir, "benchmark")).select("doc_id", "contaminated", "n_items", "item_ids")
+    return decontaminate.contaminated(docs, read(spark, sf_dir, "benchmark")).select("doc_id", "contaminated", "n_items", "item_ids", "short_item_ids")
 
 
 def op9_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of text that are worked on at once: work arrays are some tens of times as large.
 SLICE_BYTES = 500_000
@@ -75,7 +76,7 @@ def release() -> None:
         trim(0)
 
 
-def map_arrow(df: DataFrame, fn, schema: str, **args) -> DataFrame:
+def map_arrow(df: DataFrame, fn, schema: str | StructType, **args) -> DataFrame:
     """fn(batch, **args) -> RecordBatch for each Arrow batch of df."""
 
     def over(batches):

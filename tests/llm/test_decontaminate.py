@@ -52,6 +52,18 @@ def test_items_of_numbers_and_names(spark):
     assert not found(spark, names, "They are Xenia Yvonne Zoe Wanda Vera Uta Tina Sina Rita here.")
 
 
+def test_items_of_hardly_a_word(spark):
+    """They are reported, but do not contaminate; the least number of words is a parameter."""
+    from tagweave.llm import decontaminate
+
+    bench = spark.createDataFrame([(1, "Yes"), (2, "42"), (3, "the cat ran home"), (4, "")], "item_id long, text string")
+    d = spark.createDataFrame([(1, "Yes, it is 42 here."), (2, "So the cat ran home today."), (3, "Nothing."), (4, None)], "doc_id long, text string")
+    got = {r.doc_id: (r.contaminated, r.item_ids, r.short_item_ids) for r in decontaminate.contaminated(d, bench).collect()}
+    assert got == {1: (False, [], [1, 2]), 2: (True, [3], []), 3: (False, [], []), 4: (False, [], [])}
+    assert {r.doc_id for r in decontaminate.keep_clean(d, bench).collect()} == {1, 3, 4}
+    assert {r.doc_id for r in decontaminate.keep_clean(d, bench, min_words=1).collect()} == {3, 4}
+
+
 def test_passes_over_the_documents(spark):
     """Several blocks of hashes find what one finds."""
     from tagweave.llm import decontaminate
