@@ -27,9 +27,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item. Null and empty texts stay; repeated rows stay or go together; an empty benchmark
-    leaves all. Only the columns of docs come out, so results' names may clash with them."""
-    marked = decontaminate.contaminated(docs, read(spark, sf_dir, "benchmark"))
-    return marked.where("not contaminated").select(*docs.columns)
+    leaves all. The columns of docs come out as they are, those with the names of results too."""
+    return decontaminate.keep_clean(docs, read(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
