@@ -2,13 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tagweave.llm import decontaminate, mixing, near_dup, token_frames, toxicity
 from tagweave.llm.queries import read, tokenizer_path
-from tagweave.llm.shared import durable
+from tagweave.llm.shared import bounded_batches, durable
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def in_small_batches(stage: Stage) -> Stage:
+    """The executors keep memory of one stage in the next ones: so all of them take texts to Python in batches of bounded bytes."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        bounded_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
 
 
+@in_small_batches
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is under the threshold; the model learns from the labels of the given documents.
 
@@ -19,24 +36,28 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep_clean(docs, toxicity.train(docs.select("doc_id", "text").join(labels, "doc_id")))
 
 
+@in_small_batches
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least doc_id of each class of near-duplicates, once; documents without words are near each
     other only as copies. Nulls in any column, empty tables and long texts are as near_dup.keep_one() says."""
     return near_dup.keep_one(docs)
 
 
+@in_small_batches
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item. Null and empty texts stay; repeated rows stay or go together; an empty benchmark
     leaves all. The columns of docs come out as they are, those with the names of results too."""
     return decontaminate.keep_clean(docs, read(spark, sf_dir, "benchmark"))
 
 
+@in_small_batches
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row per document and pass that the mix takes it in, whose text is the words taken. Documents without words are
     never taken; a null source is a source; repeated rows have a place each; an empty table gives no rows."""
     return mixing.mix_documents(docs)
 
 
+@in_small_batches
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token shards' documents: doc_id, start, n_tokens, ids_crc32. Rows of one doc_id follow by their texts, null doc_ids
     come first, null texts are empty; an empty table gives no shards and no rows."""

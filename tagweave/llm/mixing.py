@@ -149,7 +149,7 @@ def taken_blocks(table: DataFrame, block: int = BLOCK_WORDS, slots: int = SHARD_
         got = counts.groupBy("source_no").agg(F.sum("n").alias("n")).toPandas()
         drawn = np.zeros(len(t), np.int64)
         drawn[got["source_no"]] = got["n"]
-        room = spark.createDataFrame(pd.DataFrame({"source_no": np.arange(len(t), dtype=np.int32), "room": limit - filled, "filled": filled}))
+        room = spark.createDataFrame(pa.table({"source_no": np.arange(len(t), dtype=np.int32), "room": limit - filled, "filled": filled}))  # by Arrow: pandas rows would pass through Python workers
         c = counts.join(F.broadcast(room), "source_no").withColumn("fits", F.greatest(F.lit(0), F.least("n", F.col("room") - F.col("begin"))))
         some = c.where("fits > 0").select("source_no", (F.col("filled") + F.col("begin")).alias("j"), "fits")
         each = some if each is None else each.unionAll(some)
