@@ -1,7 +1,7 @@
 """Pages of filtered lists for many queries, without listing a query's items.
 
 A batch of queries shares one filter. Its items have one order by popularity or by date, which all queries share; a query's own
-order is by similarity. The threshold algorithm reads both from the top until no item further down either can be on the page.
+order is by similarity. Both are merged in products of blocks, of which only a page's items and those before it come out.
 Totals and page numbers are counts of the filtered items.
 """
 
@@ -16,8 +16,9 @@ from tagweave.operators.search import running
 from tagweave.sources.scratch import written
 
 PLACES = blocks.PLACES
-#: Items read from the top of both orders at first, and how many times as many in each further round.
-FIRST, MORE = 64, 4
+#: Candidates that gather for a page before they are cut to its end: how many at least, and how many times as many as are kept.
+FIRST, MORE = 1024, 4
+PAGED: blocks.Methods = [("page", "page")]
 
 
 def place(n: int, p: int, size: int = PAGE) -> tuple[int, int, int, int]:
@@ -71,34 +72,17 @@ def recency(items: DataFrame) -> DataFrame:
 
 def merged_page(items: DataFrame, queries: DataFrame, prior: DataFrame, p: int, size: int = PAGE, share: float = SIMILAR) -> DataFrame:
     """(query_id, item_id, sort_key, rank, total, pages, page, shown_from, shown_to): page p of the packed items by share of the
-    normalised base score and 1 - share of the prior (item_id, prior between 0 and 1), ties by item_id.
+    normalised base score and 1 - share of the prior (item_id, prior between 0 and 1), ties by item_id. Pages of the second half
+    are read from the end.
 
-    What is in neither order's first m items has at most the key of both orders' m-th values. Queries whose page is not above
-    that read MORE times as many; the driver sees whether any is left.
+    All keys are formed in the blocks, for which the prior goes along with the items; only the first or last ones come out.
     """
     n = items.count()
     _, _, lo, hi = place(n, p, size)
-    items, prior = written(items, "listed"), written(prior, "prior")
-    open_ = written(queries.join(blocks.bounds(items, queries).select("query_id", F.col("lo_base").alias("lo_"), F.col("hi_base").alias("hi_")), "query_id"), "open")
-    near = F.when(F.col("hi_") == F.col("lo_"), 0.5).otherwise((F.col("score") - F.col("lo_")) / (F.col("hi_") - F.col("lo_")))
-    m, done = max(FIRST, 2 * hi), None
-    while True:
-        first = written(prior.orderBy(F.desc("prior"), "item_id").limit(m), "first")
-        least = first.agg(F.min("prior").alias("least_"))
-        own = blocks.best(items, open_, blocks.SIDES[:1], m).select("query_id", "item_id", "score", F.lit(True).alias("own_"))
-        of_first = blocks.best(items.join(first.select("item_id"), "item_id", "left_semi"), open_, blocks.SIDES[:1], m).select("query_id", "item_id", "score", F.lit(False).alias("own_"))
-        both = own.unionAll(of_first).groupBy("query_id", "item_id").agg(F.max("score").alias("score"), F.max("own_").alias("own_"))
-        keyed = both.join(prior, "item_id").join(open_.select("query_id", "lo_", "hi_"), "query_id")
-        keyed = written(keyed.select("query_id", "item_id", near.alias("near_"), "own_", F.round(share * near + (1 - share) * F.col("prior"), PLACES).alias("sort_key")), "keyed")
-        beyond = keyed.groupBy("query_id").agg(F.min(F.when(F.col("own_"), F.col("near_"))).alias("near_")).join(F.broadcast(least))
-        beyond = beyond.select("query_id", (share * F.col("near_") + (1 - share) * F.col("least_") + 2 * 10.0**-PLACES).alias("beyond_"))
-        order = Window.partitionBy("query_id").orderBy(F.desc("sort_key"), "item_id")
-        top = written(keyed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= hi).select("query_id", "item_id", "sort_key", "rank"), "top")
-        sure = beyond.select("query_id") if m >= n else top.where(F.col("rank") == hi).join(beyond, "query_id").where(F.col("sort_key") > F.col("beyond_")).select("query_id")
-        sure = written(sure, "sure")
-        here = top.join(sure, "query_id", "left_semi")
-        done = here if done is None else done.unionAll(here)
-        open_ = written(open_.join(sure, "query_id", "left_anti"), "open")
-        if open_.isEmpty():
-            return _numbered(done, n, p, size)
-        m *= MORE
+    rows = blocks.dealt(items.join(prior, "item_id"), "item_id", ids=items)
+    asked = blocks.with_bounds(rows, queries, ("base",)).withColumn("share_", F.lit(float(share)))
+    if 2 * lo <= n + 1:
+        found = blocks.best(rows, asked, PAGED, hi, gather=(FIRST, MORE))
+    else:
+        found = blocks.best(rows, asked, PAGED, n - lo + 1, last=True, gather=(FIRST, MORE)).withColumn("rank", F.lit(n) - F.col("rank") + 1)
+    return _numbered(found.withColumnRenamed("score", "sort_key").drop("method"), n, p, size)
